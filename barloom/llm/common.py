@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +49,12 @@ def words(text: Column) -> Column:
     )
 
 
-def bounds_of(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending keys that cut ``df`` into ranges of about equal row counts."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    cut = df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts)).alias("b")).first()["b"]
-    return sorted(set(cut or []))
+def range_bounds(df: DataFrame, key: str, rows_per_part: int, grid: int = 4096) -> list[int]:
+    """Ascending keys that cut ``df`` into at most ``grid`` ranges of about ``rows_per_part`` rows: one pass over one column."""
+    at = [i / grid for i in range(1, grid)]
+    got = df.agg(F.count(key).alias("n"), F.percentile_approx(key, at, 20 * grid).alias("q")).first()
+    parts = min(grid, -(-got["n"] // rows_per_part))
+    return sorted({got["q"][round(i * grid / parts) - 1] for i in range(1, parts)}) if parts > 1 else []
 
 
 def range_of(bounds: list[int], keys: np.ndarray) -> np.ndarray:
@@ -63,5 +62,14 @@ def range_of(bounds: list[int], keys: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.asarray(bounds, dtype=np.int64), keys, side="right").astype(np.int32)
 
 
-def n_parts(df: DataFrame, rows: int, rows_per_part: int) -> int:
-    return max(1, -(-rows // rows_per_part))
+def groups_of(texts: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``size`` characters or one longer text: the bound of working memory."""
+    group, n = [], 0
+    for t in texts:
+        group.append(t)
+        n += len(t)
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group

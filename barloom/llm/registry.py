@@ -1,10 +1,13 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import quality_rules, simhash
+from barloom.llm import bpe, minhash, quality_rules, records, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_records": records.op4_records,
+    "op7_minhash": minhash.op7_minhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL = {
