@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import bpe, minhash, quality_rules, records, simhash
+from barloom.llm import bpe, minhash, pii, quality_rules, records, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_minhash": minhash.op7_minhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
