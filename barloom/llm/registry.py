@@ -1,10 +1,12 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import bpe, minhash, pii, quality_rules, records, simhash
+from barloom.llm import bpe, minhash, pii, quality_rules, records, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_records": records.op4_records,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_minhash": minhash.op7_minhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,

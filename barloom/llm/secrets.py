@@ -1,0 +1,205 @@
+"""Operator 5, secrets: patterns, and a battery of randomness tests under false-discovery control.
+
+Only DataFrame functions; no Python runs on the executors.
+
+The base finds assignments of a secret, access keys and long hexadecimal runs by pattern. The method
+adds ``random`` spans: runs of 20 or more key characters, whose encoding is inferred (hexadecimal, base
+32, alphanumeric, base 64), are put through three tests on their characters' places in that alphabet:
+
+* chi-squared of the counts against a uniform alphabet,
+* the number of runs above and below the middle of the alphabet,
+* the serial correlation of neighbours.
+
+Each gives a normal score (chi-squared by the Wilson-Hilferty cube root). Prose in an alphabet is far
+from uniform, all the more the longer the run, so the battery asks how surprising a run's closeness to
+uniform is *if it were prose*: per character, prose exceeds the uniform chi-squared by
+``PROSE_EXCESS`` of an alphabet; the p-value is that of a chi-squared statistic as low as the one seen.
+Runs that fail a test of order (|score| > ``ORDER_LIMIT``) are no candidates for discovery.
+
+False discoveries are controlled by Benjamini and Hochberg's rule within each stratum of encoding and
+length, over the whole corpus: p-values are counted in ``BINS`` bins of equal width in log10 (a bin
+counts with its upper end, so the bound holds), which gives each stratum's threshold from a table of a
+fixed size, joined back by broadcast.
+
+Null texts are empty. Repeated rows each get their spans. Positions are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from barloom.llm.common import let, table, written
+
+#: The base patterns. Possessive runs find the same matches in linear time.
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
+KINDS = ("assign", "access", "hex", "random")
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+
+#: Encodings in the order in which they are tried: name, pattern of the whole run, alphabet.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ENCODINGS = (
+    ("hex", r"^[0-9a-f]+$", _DIGITS + "abcdef"),
+    ("HEX", r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("base32", r"^[A-Z2-7]+=*$", _UPPER + "234567"),
+    ("lower36", r"^[a-z0-9]+$", _LOWER + _DIGITS),
+    ("upper36", r"^[A-Z0-9]+$", _UPPER + _DIGITS),
+    ("alnum62", r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
+    ("base64", r"^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
+)
+#: The chance that two letters of prose are equal; an alphabet of k uniform characters has 1 / k.
+PROSE_COINCIDENCE = 0.066
+ORDER_LIMIT = 3.0
+Q = 0.01
+BINS = 400
+BINS_PER_DECADE = 10
+STRATA = (20, 24, 32, 40, 64, 128)
+
+
+def matches(text: Column, pattern: str, group: int | None = None) -> Column:
+    """Structs ``s, e`` (and ``g``, a group's text) of the leftmost non-overlapping matches, which must not be empty.
+
+    Splitting at the pattern gives what lies between its matches, so lengths add up to places.
+    """
+    found = lambda g: F.regexp_extract_all(text, F.lit(pattern if "(" in pattern.replace("(?", "") else f"({pattern})"), F.lit(g))
+    value = F.struct(F.split(text, pattern, -1).alias("p"), found(0).alias("m"), (found(group) if group else F.array().cast("array<string>")).alias("g"))
+
+    def placed(v: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<s:int,e:int,g:string>>").alias("out"), F.lit(0).alias("at"))
+
+        def step(acc: Column, i: Column) -> Column:
+            s = acc["at"] + F.length(F.get(v["p"], i))
+            e = s + F.length(F.get(v["m"], i))
+            one = F.struct(s.alias("s"), e.alias("e"), F.get(v["g"] if group else v["m"], i).alias("g"))
+            return F.struct(F.array_append(acc["out"], one).alias("out"), e.alias("at"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(v["m"]) - 1), start, step, lambda acc: acc["out"])
+
+    none = F.array().cast("array<struct<s:int,e:int,g:string>>")
+    return F.when(text.rlike(pattern), let(value, placed)).otherwise(none)
+
+
+def _kind(found: Column, k: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
+
+
+def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with arrays ``__assign, __access, __hex`` of structs ``s, k, e``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return (
+        docs.withColumn("__assign", _kind(F.filter(matches(text, ASSIGN, 2), lambda x: F.length(x["g"]) >= 6), 0))
+        .withColumn("__access", _kind(matches(text, ACCESS), 1))
+        .withColumn("__hex", _kind(matches(text, HEX), 2))
+    )
+
+
+def _normal_cdf(z: Column) -> Column:
+    """The normal distribution function, to 1e-7 of its value in the body; the lower tail by its asymptotic series."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-z * z / 2) / 2.5066282746310002 * poly
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
+def battery(run: Column) -> Column:
+    """A struct of the tests of a run of key characters: ``enc, n, p, runs_z, serial_z``."""
+    enc = F.lit(None).cast("int")
+    for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        enc = F.when(run.rlike(pattern), F.lit(i)).otherwise(enc)
+    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+
+    def tested(v: Column) -> Column:
+        k = F.length(v["alphabet"]).cast("double")
+        return let(F.struct(k.alias("k"), F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?!^)", -1), lambda c: F.instr(v["alphabet"], c) - 1).alias("x")), lambda u: _tests(v, u))
+
+    return let(F.struct(run.alias("run"), enc.alias("enc"), F.get(alphabets, enc).alias("alphabet")), lambda v: F.when(v["enc"].isNotNull(), tested(v)))
+
+
+def _tests(v: Column, u: Column) -> Column:
+    k, x = u["k"], u["x"]
+    n = F.size(x).cast("double")
+    each = F.aggregate(x, F.array_repeat(F.lit(0), F.length(v["alphabet"])), lambda acc, i: F.transform(acc, lambda c, j: F.when(j == i, c + 1).otherwise(c)))
+    squares = F.aggregate(each, F.lit(0.0), lambda acc, c: acc + c * c)
+    chi2 = squares * k / n - n
+    # if it were prose: a non-central chi-squared, scaled to a central one of the same mean and spread
+    df, excess = k - 1, n * (k * PROSE_COINCIDENCE - 1)
+    mean, var = df + excess, 2 * (df + 2 * excess)
+    scale, eff = var / (2 * mean), 2 * mean * mean / var
+    wilson = (F.pow(F.greatest(chi2, F.lit(1e-9)) / (scale * eff), F.lit(1 / 3)) - (1 - 2 / (9 * eff))) / F.sqrt(2 / (9 * eff))
+    above = F.transform(x, lambda i: (i.cast("double") >= k / 2).cast("int"))
+
+    def ordered(a: Column) -> Column:
+        n1 = F.aggregate(a, F.lit(0), lambda acc, b: acc + b).cast("double")
+        n2 = n - n1
+        changes = F.aggregate(F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, F.size(a) - 1), lambda b, c: (b != c).cast("int")), F.lit(1), lambda acc, b: acc + b).cast("double")
+        mu = 2 * n1 * n2 / n + 1
+        sd2 = F.greatest((mu - 1) * (mu - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
+        return F.when((n1 == 0) | (n2 == 0), F.lit(99.0)).otherwise((changes - mu) / F.sqrt(sd2))
+
+    middle = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + i) / n
+    spread = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + (i - middle) * (i - middle))
+    lagged = F.aggregate(F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda b, c: (b - middle) * (c - middle)), F.lit(0.0), lambda acc, b: acc + b)
+    serial = F.when(spread <= 0, F.lit(99.0)).otherwise((lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
+    return F.struct(v["enc"].alias("enc"), F.size(x).alias("n"), F.greatest(_normal_cdf(wilson), F.lit(1e-300)).alias("p"), let(above, ordered).alias("runs_z"), serial.alias("serial_z"))
+
+
+def candidates(docs: DataFrame, text_col: str = "text") -> Column:
+    """An array of structs ``s, e, t``: key-like runs of a text with both letters and digits, and their tests."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    runs = F.filter(matches(text, CANDIDATE), lambda x: x["g"].rlike("[0-9]") & x["g"].rlike("[A-Za-z]"))
+    tested = F.transform(runs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["g"]).alias("t")))
+    return F.filter(tested, lambda x: x["t"].isNotNull() & (F.abs(x["t"]["runs_z"]) <= ORDER_LIMIT) & (F.abs(x["t"]["serial_z"]) <= ORDER_LIMIT))
+
+
+def _stratum(n: Column) -> Column:
+    out = F.lit(0)
+    for s in STRATA:
+        out = out + (n >= s).cast("int")
+    return out
+
+
+def _bin(p: Column) -> Column:
+    """0 is the bin of the smallest p-values."""
+    return F.greatest(F.lit(0), F.lit(BINS) - 1 - F.floor(-F.log10(p) * BINS_PER_DECADE).cast("int"))
+
+
+def thresholds(tested: DataFrame, q: float = Q) -> DataFrame:
+    """``(enc, stratum, bin)``: the last bin whose runs are discoveries, from columns ``enc, n, p``; at most a row a stratum."""
+    binned = tested.select("enc", _stratum(F.col("n")).alias("stratum"), _bin(F.col("p")).alias("bin"))
+    counts = binned.groupBy("enc", "stratum", "bin").agg(F.count("*").alias("c"))
+    whole = W.partitionBy("enc", "stratum")
+    up_to = counts.withColumn("m", F.sum("c").over(whole)).withColumn("r", F.sum("c").over(whole.orderBy("bin")))
+    upper = F.pow(F.lit(10.0), -(F.lit(BINS) - 1 - F.col("bin")) / BINS_PER_DECADE)
+    return up_to.filter(upper <= q * F.col("r") / F.col("m")).groupBy("enc", "stratum").agg(F.max("bin").alias("bin"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
+    """Per row: the id, counts, the base's digest and all spans; ``random`` spans overlap no base span."""
+    d = base(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = F.concat("__assign", "__access", "__hex")
+    d = d.select("doc_id", F.array_sort(found).alias("base"), F.col("text"))
+    d = d.select("doc_id", "base", candidates(d).alias("runs"))
+    d = written(d)
+    held = thresholds(d.select(F.explode("runs").alias("r")).select("r.t.enc", "r.t.n", "r.t.p"), q)
+    limits = held.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "enc", "stratum"), "bin"))).alias("limits"))
+
+    def discovered(r: Column) -> Column:
+        limit = F.col("limits")[F.concat_ws(":", r["t"]["enc"], _stratum(r["t"]["n"]))]
+        return F.coalesce(_bin(r["t"]["p"]) <= limit, F.lit(False))
+
+    # one row of at most len(ENCODINGS) * (len(STRATA) + 1) entries
+    d = d.join(F.broadcast(limits), F.lit(True), "left")
+    apart = lambda r, b: (r["e"] <= b["s"]) | (r["s"] >= b["e"])
+    extra = F.filter(F.col("runs"), lambda r: discovered(r) & F.forall(F.col("base"), lambda b: apart(r, b)))
+    every = F.array_sort(F.concat("base", F.transform(extra, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("k"), r["e"].alias("e")))))
+    named = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]), x["s"], x["e"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return d.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(every).alias("spans"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
