@@ -1,11 +1,13 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import bpe, minhash, pii, quality_rules, records, secrets, simhash, toxicity
+from barloom.llm import bpe, minhash, packing, pii, quality_rules, records, secret_scan, simhash, toxicity, weak_quality
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_weak_quality": weak_quality.op2_weak_quality,
+    "op3_packing": packing.op3_packing,
     "op4_records": records.op4_records,
-    "op5_secrets": secrets.op5_secrets,
+    "op5_secrets": secret_scan.op5_secrets,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_minhash": minhash.op7_minhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
