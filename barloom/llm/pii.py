@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,83 +101,113 @@ def _terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int,
     return out
 
 
+def _context(terms: list[tuple[str, int, int]], i: int) -> int:
+    """A hash of the terms around the i-th, itself included."""
+    return xxhash.xxh64_intdigest(" ".join([t for t, _, _ in terms[max(0, i - WINDOW) : i + WINDOW + 1]])) - (1 << 63)
+
+
 def _mentions(text: str) -> Iterator[tuple[str, str, int]]:
-    """``(entity, term, context)`` for the terms around each base span of a text."""
+    """``(entity, term, context)`` for each term within the window of a base span."""
     base = base_spans(text)
     if not base:
         return
     terms = _terms(text, base)
     starts = [s for _, s, _ in terms]
-    from bisect import bisect_left
-
     for kind, s, e in base:
         at = bisect_left(starts, s)
-        near = [t for t, _, _ in terms[max(0, at - WINDOW) : at + WINDOW]]
-        context = xxhash.xxh64_intdigest(" ".join(near)) - (1 << 63)
         name = entity(kind, text[s:e])
-        for t in set(near):
-            yield name, t, context
+        for i in range(max(0, at - WINDOW), min(len(terms), at + WINDOW)):
+            yield name, terms[i][0], _context(terms, i)
 
 
-def _occurrences(text: str, wanted: frozenset | set | None) -> Iterator[tuple[str, int, str | None]]:
-    """``(term, context, entity)`` for each occurrence of a wanted term; no entity near gives one row with None."""
-    words = {w.lower() for w in WORD.findall(text)} if wanted is not None else None
-    if words is not None and words.isdisjoint(wanted):
-        return
-    from bisect import bisect_left
+class _Contexts:
+    """Distinct contexts of terms; a term with more than its limit is given up, told by a row without a context.
 
-    base = base_spans(text)
-    terms = _terms(text, base)
-    starts = [s for _, s, _ in terms]
-    near_of: dict[int, set[str]] = {}
-    for kind, s, e in base:
-        at = bisect_left(starts, s)
-        for i in range(max(0, at - WINDOW), min(len(terms), at + WINDOW)):
-            near_of.setdefault(i, set()).add(entity(kind, text[s:e]))
-    for i, (t, _, _) in enumerate(terms):
-        if wanted is None or t in wanted:
-            context = xxhash.xxh64_intdigest(" ".join(x for x, _, _ in terms[max(0, i - WINDOW) : i + WINDOW + 1])) - (1 << 63)
-            yield from ((t, context, e) for e in near_of.get(i, (None,)))
+    One task that sees more than the limit is enough: the corpus has at least as many.
+    """
+
+    HELD = 300_000
+
+    def __init__(self, limits: dict[str, float] | None) -> None:
+        self.limits, self.of, self.n = limits, {}, 0
 
+    def add(self, text: str) -> None:
+        if self.limits is not None and self.limits.keys().isdisjoint({w.lower() for w in WORD.findall(text)}):
+            return
+        terms = _terms(text, base_spans(text))
+        for i, (t, _, _) in enumerate(terms):
+            if self.limits is not None and t not in self.limits:
+                continue
+            seen = self.of.setdefault(t, set())
+            if seen is not None:
+                before = len(seen)
+                seen.add(_context(terms, i))
+                self.n += len(seen) - before
+                if self.limits is not None and len(seen) > self.limits[t]:
+                    self.n -= len(seen)
+                    self.of[t] = None
 
-def _flat(docs: DataFrame, text_col: str, rows, schema: str, kinds: list) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+    def rows(self) -> list[tuple[str, int | None]]:
+        """All that is held; terms given up stay so."""
+        out = [(t, c) for t, seen in self.of.items() for c in (seen if seen is not None else (None,))]
+        self.of = {t: None for t, seen in self.of.items() if seen is None} if self.limits is not None else {}
+        self.n = 0
+        return out
+
+
+def _flat(docs: DataFrame, text_col: str) -> DataFrame:
+    """Distinct mentions of each batch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple] = set()
             for t in b.column(0):
-                found.update(rows(t.as_py() or ""))
+                found.update(_mentions(t.as_py() or ""))
                 if len(found) > 100_000:
-                    yield made(found)
+                    yield _made(list(found), _MENTION)
                     found = set()
-            yield made(found)
+            yield _made(list(found), _MENTION)
+
+    return docs.select(F.col(text_col)).mapInArrow(run, "entity string, term string, context long")
+
+
+_MENTION = pa.schema([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())])
+_CONTEXT = pa.schema([("term", pa.string()), ("context", pa.int64())])
+
 
-    def made(found: set[tuple]) -> pa.RecordBatch:
-        columns = zip(*found, strict=True) if found else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | None) -> DataFrame:
+    """``(term, context)`` of the terms with a limit, or of all; see :class:`_Contexts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Contexts(limits)
+        for b in batches:
+            for t in b.column(0):
+                held.add(t.as_py() or "")
+                if held.n > held.HELD:
+                    yield _made(held.rows(), _CONTEXT)
+        yield _made(held.rows(), _CONTEXT)
 
-    return docs.select(F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(text_col)).mapInArrow(run, "term string, context long")
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, doubt: float = DOUBT, max_terms: int = MAX_TERMS) -> DataFrame:
     """``(term, bits)``: the doubt that the term leaves about the entity it discloses most."""
-    mentions = _flat(docs, text_col, _mentions, "entity string, term string, context long", [pa.string(), pa.string(), pa.int64()])
-    often = mentions.distinct().groupBy("entity", "term").count().filter(F.col("count") >= support)
-    candidates = written(often.select("term").distinct())
-    few = _few(candidates, max_terms)
-    if few is not None and not few:
+    with_entity = _flat(docs, text_col).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    candidates = written(with_entity.groupBy("term").agg(F.max("n_e").alias("n_e")))
+    got = candidates.limit(max_terms + 1).collect()
+    if not got:
         return candidates.select("term", F.lit(0.0).alias("bits"))
-    schema, kinds = "term string, context long, entity string", [pa.string(), pa.int64(), pa.string()]
-    if few is None:
-        seen = _flat(docs, text_col, lambda t: _occurrences(t, None), schema, kinds).join(candidates, "term", "left_semi")
-    else:
-        seen = _flat(docs, text_col, lambda t: _occurrences(t, few), schema, kinds)
-    seen = seen.distinct()
-    of_term = seen.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n"))
-    with_entity = seen.filter("entity is not null").groupBy("term", "entity").agg(F.count("*").alias("n_e"))
-    most = with_entity.filter(F.col("n_e") >= support).groupBy("term").agg(F.max("n_e").alias("n_e"))
-    bits = most.join(of_term, "term").select("term", (-F.log2(F.col("n_e") / F.col("n"))).alias("bits"))
+    limits = {r["term"]: r["n_e"] * 2.0**doubt for r in got} if len(got) <= max_terms else None
+    seen = _contexts(docs, text_col, limits)
+    if limits is None:
+        seen = seen.join(candidates.select("term"), "term", "left_semi")
+    of_term = seen.distinct().groupBy("term").agg(F.count("context").alias("n"), F.bool_or(F.col("context").isNull()).alias("many")).filter(~F.col("many"))
+    bits = candidates.join(of_term, "term").select("term", (F.log2(F.col("n")) - F.log2(F.col("n_e"))).alias("bits"))
     return written(bits.filter(F.col("bits") <= doubt))
 
 
