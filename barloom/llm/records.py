@@ -33,16 +33,19 @@ from barloom.llm.common import groups_of, range_bounds, range_of, shared_dir, ta
 
 FILE_TOKENS = 4_000_000
 ROWS_PER_RANGE = 4_096
-KNOWN = 500_000
+KNOWN = 700_000
 #: Fixed value: added to the rotated checksum.
 MASK = 0xA282EAD8
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u4"), ("flags", "<u4")])
 HEAD = np.dtype([("doc_id", "<i8"), ("flags", "<u4"), ("n_tokens", "<u4")])
 
-#: The word pattern of the vocabulary for lower-cased ASCII text.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The word pattern of the vocabulary for lower-cased text of ASCII and Latin-1 letters, and what is beyond that.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
+BEYOND = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿ]")
 #: str.split() cuts at these, the vocabulary's pattern doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words that the library gets at once.
+TOGETHER = 100
 
 
 def masked(data: bytes) -> int:
@@ -87,8 +90,9 @@ class Encoder:
     """Whole texts by the tokenizers library; what it gave for a word is remembered.
 
     The vocabulary drops white space and starts anew at it, so a text's ids are those of its words in
-    order. ASCII words are cut further, as its pattern does, so that case and punctuation share
-    entries. Texts with separators that Python takes for white space go to the library whole.
+    order, each word ending in a token that says so. Plain texts are cut as its pattern does; of others
+    the chunks between white space are, and chunks with other letters or special tokens go to the
+    library as they are. Texts with separators that Python takes for white space go there whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -99,7 +103,9 @@ class Encoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
+        self.ends = np.zeros(self.t.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.t.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> Iterator[bytes]:
@@ -107,27 +113,42 @@ class Encoder:
             for e in self.t.encode_batch_fast(texts[i : i + 1_000], add_special_tokens=False):
                 yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > KNOWN:
-            self.chunks = {}
-        if len(self.words) > KNOWN:
-            self.words = {}
-        cut = {c: ASCII_WORDS.findall(c.lower()) if c.isascii() and not any(s in c for s in self.special) else [c] for c in chunks}
-        new = list({w for ws in cut.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, self._library(new), strict=True))
-        self.chunks.update((c, b"".join([self.words[w] for w in ws])) for c, ws in cut.items())
+    def _library_words(self, words: list[str]) -> Iterator[bytes]:
+        """Words of the pattern, many in one text: each ends with a token of a word's end."""
+        together = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, got in zip(together, self._library([" ".join(g) for g in together]), strict=True):
+            last = np.nonzero(self.ends[np.frombuffer(got, "<u4")])[0]
+            if len(last) != len(group) or 4 * (last[-1] + 1) != len(got):
+                yield from self._library(group)
+                continue
+            at = 0
+            for e in ((last + 1) * 4).tolist():
+                yield got[at:e]
+                at = e
+
+    def _plain(self, text: str) -> bool:
+        return not BEYOND.search(text) and not any(s in text for s in self.special)
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Words of the pattern, and chunks for the library with a space before each; None: the library takes the text whole."""
+        if self._plain(text):
+            return PLAIN_WORDS.findall(text.lower())
+        if SEPARATORS.search(text):
+            return None
+        return [w for c in text.split() for w in (PLAIN_WORDS.findall(c.lower()) if self._plain(c) else (f" {c}",))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut = [None if SEPARATORS.search(t) else t.split() for t in texts]
+        cut = [self._cut(t) for t in texts]
         need = set().union(*(c for c in cut if c))
-        missing = need.difference(self.chunks)
-        if len(self.chunks) + len(missing) > KNOWN:
-            missing = need
-        if missing:
-            self._learn(missing)
+        missing = need.difference(self.words)
+        if len(self.words) + len(missing) > KNOWN:
+            self.words, missing = {}, need
+        words, chunks = [w for w in missing if w[0] != " "], [w for w in missing if w[0] == " "]
+        self.words.update(zip(words, self._library_words(words), strict=True))
+        self.words.update(zip(chunks, self._library(chunks), strict=True))
         whole = iter(self._library([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
