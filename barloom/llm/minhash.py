@@ -1,7 +1,7 @@
 """Operator 7, MinHash document fingerprints, and near-duplicates by banding with Jaccard verified.
 
 Words are lower-cased and hashed to 64 bits; a shingle of five words is hashed from its words' hashes,
-all in numpy. ``PERMS`` universal hash functions (multiply, add, keep the high bits) are drawn once
+all in numpy. ``PERMS`` universal hash permutations of 32-bit numbers (multiply, add) are drawn once
 from a fixed seed; a signature holds the low 16 bits of the least value of each. The likeness of two
 signatures is the share of equal places, an unbiased estimate of the Jaccard similarity up to 2**-16.
 
@@ -21,17 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import range_bounds, range_of, table, words, written
+from barloom.llm.common import range_bounds, range_of, table, written
 from barloom.llm.graph import connected_components
 
 PERMS = 128
 SHINGLE = 5
-CHUNK = 1 << 12
+#: Shingles that are hashed at once: a block of PERMS rows stays in a core's cache.
+BLOCK = 512
 KNOWN = 400_000
 ROWS_PER_RANGE = 2_048
 _rng = np.random.default_rng(7)
-A = (_rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2)
+#: x -> A x + B modulo 2**32 with odd A: permutations of the 32-bit numbers.
+A = _rng.integers(0, 1 << 31, (PERMS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+B = _rng.integers(0, 1 << 32, (PERMS, 1), dtype=np.uint32)
 FACTORS = [np.uint64(_rng.integers(1, 1 << 63)) * np.uint64(2) + np.uint64(1) for _ in range(SHINGLE)]
 _WORDS: dict[bytes, int] = {}
 
@@ -56,19 +58,15 @@ def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """``PERMS`` 16-bit places."""
-    least = np.full(PERMS, (1 << 32) - 1, dtype=np.uint64)
-    hashes = np.unique(hashes) if len(hashes) < CHUNK else hashes
-    if len(hashes) and len(hashes) < 64:
-        least = ((A[:, None] * hashes[None, :] + B[:, None]) >> np.uint64(32)).min(axis=1)
-    else:
-        for i in range(0, len(hashes), CHUNK):
-            x = hashes[i : i + CHUNK]
-            v = np.empty_like(x)
-            for p in range(PERMS):
-                np.multiply(x, A[p], out=v)
-                v += B[p]
-                least[p] = min(least[p], v.min() >> np.uint64(32))
-    return (least & np.uint64(0xFFFF)).astype(">u2")
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(PERMS, 0xFFFFFFFF, dtype=np.uint32)
+    v = np.empty((PERMS, min(BLOCK, len(x))), dtype=np.uint32)
+    for i in range(0, len(x), BLOCK):
+        part = v[:, : len(x) - i]
+        np.multiply(A, x[i : i + BLOCK], out=part)
+        part += B
+        np.minimum(least, part.min(axis=1), out=least)
+    return (least & np.uint32(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,6 +88,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, class_id)`` per row with an id: classes of documents linked by Jaccard similarity of their shingle sets.
+
+    Equal texts are one node. Signatures are cut into bands; nodes that share a band's bucket meet its
+    smallest node, and the nodes of a bucket are compared in rounds: those that are not
+    similar to a bucket's first are dealt a bucket of their own and meet again, until none is left. So a
+    bucket of n nodes emits at most n candidates a round, never all pairs. Candidates are verified by the
+    exact Jaccard similarity. A band holds ``PERMS / bands`` places; at 32 bands a pair of similarity 0.8
+    is missed with a chance below 1e-7.
+    """
+    d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    keyed = d.select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    of_doc = written(keyed.select("doc_id", "key"))
+    nodes = keyed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("text").alias("text"))
+    width = PERMS // bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, band, bucket, sets = [], [], [], []
+            for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = np.unique(shingle_hashes(t.as_py()))
+                sig = signature(h)
+                node.append(n)
+                bucket.append([xxhash.xxh64_intdigest(sig[i : i + width].tobytes(), i) - (1 << 63) for i in range(0, PERMS, width)])
+                sets.append(h.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bucket, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "buckets", "shingles"])
+
+    signed = written(nodes.select(F.col("node").cast("long"), "text").mapInArrow(run, "node long, buckets array<long>, shingles array<long>"))
+    shingles = signed.select("node", "shingles")
+    left = signed.select("node", F.posexplode("buckets").alias("band", "bucket"))
+    links = None
+    while True:
+        firsts = left.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        met = written(left.join(firsts.drop("n"), ["band", "bucket"]).filter("node <> first"))
+        if met.isEmpty():
+            break
+        pairs = met.select("first", "node").distinct()
+        pairs = pairs.join(shingles.withColumnRenamed("shingles", "x"), "node").join(shingles.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first")
+        both = F.size(F.array_intersect("x", "y"))
+        alike = both >= similarity * F.greatest(F.size("x") + F.size("y") - both, F.lit(1))
+        alike = alike | ((F.size("x") == 0) & (F.size("y") == 0))
+        found = written(pairs.filter(alike).select(F.col("first").alias("a"), F.col("node").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        left = met.join(found.select(F.col("a").alias("first"), F.col("b").alias("node")), ["first", "node"], "left_anti").select("node", "band", "bucket")
+    firsts_of = of_doc.groupBy("key").agg(F.min("doc_id").alias("node"))
+    by_key = firsts_of
+    if links is not None:
+        roots = connected_components(links)
+        by_key = by_key.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
+    return of_doc.join(by_key, "key").select("doc_id", F.col("node").alias("class_id"))
+
+
 def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """``docs`` dealt by ranges of the id, each range also with the row that follows it, ids descending.
 
