@@ -666,3 +666,36 @@ def get_data_cascade(spark, d):
     loaders = [E.Loader("CACHE", lambda spark, wanted: bars(spark, d, "1h", SPARSE)), E.Loader("VISION", lambda spark, wanted: bars(spark, d, "1h", PICK["VISION"]))]
     got = E.Engine(spark, loaders).get_data(ranges(spark, d), "1h")
     return got.select("symbol", "open_us", "close", F.coalesce(S.SOURCE, F.lit("NONE")).alias(S.SOURCE))
+
+
+# streaming ---------------------------------------------------------------------------------
+
+
+def _replayed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of a streaming plan over hourly bars that are replayed from files until all are read."""
+    import uuid
+
+    from barloom.sources.scratch import scratch_dir
+
+    base = scratch_dir(spark)
+    b = bars(spark, d, "1h", SPARSE).select("symbol", F.lit("1h").alias("interval"), "open_us", (F.col("open_us") + H - 1).alias("close_us"), "open", "high", "low", "close", "volume", (F.pmod(F.xxhash64("open_us"), F.lit(10)) != 0).alias("is_closed"))
+    b.unionByName(b.filter("open_us % 7200000000 = 0")).repartition(3, "symbol").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    name = f"replay_{uuid.uuid4().hex}"
+    q = build(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query()
+def stream_closed_gate(spark, d):
+    from barloom.streaming import live
+
+    return _replayed(spark, d, live.gate)
+
+
+@query()
+def stream_reconcile(spark, d):
+    from barloom.streaming import live
+
+    return _replayed(spark, d, lambda s: live.reconcile(live.gate(s)))

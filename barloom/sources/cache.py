@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.intervals import DAY, day_us
 from barloom.operators.merge import priority_merge
 from barloom.operators.schema import SOURCE
+from barloom.sources.scratch import scratch_dir
 
 PARTITION = ("market", "symbol", "interval", "date")
 SCHEMA = "open_us bigint, open double, high double, low double, close double, volume double, trades bigint, _data_source string, market string, symbol string, interval string, date date"
@@ -31,12 +32,9 @@ def write(bars: DataFrame, path: str, merge: bool = True) -> None:
 
 def _cut(df: DataFrame) -> DataFrame:
     """The merged days are written elsewhere before they replace what they were read from."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
