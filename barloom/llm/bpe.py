@@ -181,19 +181,15 @@ class Codec:
 
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._words_of(c) for c in chunks}
-        new = list({w for ws in cut.values() for w in ws if w not in self.words})
+        every = {w for ws in cut.values() for w in ws}
+        new = list(every.difference(self.words))
         if len(self.words) + len(new) > KNOWN:
-            self.words = {}
-            new = list({w for ws in cut.values() for w in ws})
+            self.words, new = {}, list(every)
         for w, t in zip(new, self.v.encode_words(new), strict=True):
             self.words[w] = np.array(t, dtype="<u4").tobytes()
-        if len(self.chunks) + len(chunks) > KNOWN:
-            self.chunks = {}
-        if len(self.after_space) > KNOWN:
-            self.after_space = {}
         for c, ws in cut.items():
             ids = b"".join([self.words[w] for w in ws])
-            if c[:1] == " ":
+            if c[0] == " ":
                 self.after_space[c[1:]] = ids
             else:
                 self.chunks[c] = ids
@@ -201,7 +197,6 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         parts: list[list] = []  # per text: ids of special tokens, lists of chunks, or (first, after a space)
-        need: set[str] = set()
         for text in texts:
             out: list = []
             at = 0
@@ -210,22 +205,26 @@ class Codec:
                 at = m.end()
             out.append(self._cut(text[at:]))
             parts.append(out)
-            for p in out:
-                if isinstance(p, list):
-                    need.update(p)
-                elif isinstance(p, tuple):
-                    need.add(p[0])
-                    need.update([f" {w}" for w in set(p[1]).difference(self.after_space)])
-        known = self.chunks.keys()
-        missing = {c for c in need if c and not (c[1:] in self.after_space if c[0] == " " else c in known)}
+        missing = self._unknown(parts)
+        if len(self.chunks) + len(self.after_space) + len(missing) > KNOWN:
+            self.chunks, self.after_space = {}, {}
+            missing = self._unknown(parts)
         if missing:
-            before = (self.chunks, self.after_space)
             self._learn(missing)
-            if before[0] is not self.chunks or before[1] is not self.after_space:  # started anew: the rest of this group too
-                everything = set().union(*(p if isinstance(p, list) else [p[0], *(f" {w}" for w in p[1])] for out in parts for p in out if not isinstance(p, int)))
-                self._learn({c for c in everything if c and not (c[1:] in self.after_space if c[0] == " " else c in self.chunks)})
         return [b"".join(map(self._ids, out)) for out in parts]
 
+    def _unknown(self, parts: list[list]) -> set[str]:
+        """Chunks that aren't in the tables; those of the second kind get their space back."""
+        found: set[str] = set()
+        for out in parts:
+            for p in out:
+                if isinstance(p, list):
+                    found.update(p)
+                elif isinstance(p, tuple):
+                    found.add(p[0])
+                    found.update([f" {w}" for w in set(p[1]).difference(self.after_space)])
+        return {c for c in found if c and (c[1:] not in self.after_space if c[0] == " " else c not in self.chunks)}
+
     @staticmethod
     def _cut(text: str) -> list | tuple:
         if UNEVEN.search(text) or text[:1] == " ":
