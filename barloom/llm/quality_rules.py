@@ -85,8 +85,8 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(whole)
 
 
-def measures(text: Column) -> Column:
-    """A struct of the counts that the rules read, each a long."""
+def measures(text: Column, repeats: bool = True) -> Column:
+    """A struct of the counts that the rules read, each a long; without ``repeats`` the dearest one is left out."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
 
@@ -95,7 +95,7 @@ def measures(text: Column) -> Column:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-            _repeat_words(w).cast("long").alias("n_repeat_words"),
+            *([_repeat_words(w).cast("long").alias("n_repeat_words")] if repeats else []),
         ]
 
     def of_lines(n: Column) -> Column:

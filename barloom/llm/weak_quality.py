@@ -2,11 +2,11 @@
 
 Heuristic labellers vote good, bad or abstain on each document (one projection of built-in functions).
 Expectation-maximisation over the votes estimates, without any given labels, how often each labeller
-votes what on good and on bad documents. It needs only how often each *pattern* of votes occurs in the
+votes what on good documents and on each kind of bad ones. It needs only how often each *pattern* of votes occurs in the
 whole corpus: at most ``3 ** len(LABELLERS)`` rows, whatever the data. The posteriors of the patterns
 are the soft labels of a hashed linear scorer, fit on at most ``MAX_FIT`` documents of each side (those
 first by a hash of their id), which scores every whole text and generalises over the labellers: it sees
-shapes of words, stop words, and grades of compression, variety and length.
+shapes of words, stop words, and grades of stutter, variety and length.
 
 Null texts are empty, and empty texts score as such: low. Equal texts have equal scores. An empty table
 gives an empty result; without both sides in the sample the scorer keeps its start, which passes all.
@@ -15,10 +15,10 @@ gives an empty result; without both sides in the sample the scorer keeps its sta
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +50,26 @@ LABELLERS = (
     Labeller("length", "n_words < 3", "n_words >= 20"),
     Labeller("symbols", "100 * n_symbols > 5 * word_chars", "200 * n_symbols < word_chars"),
     Labeller("stop_words", "n_words >= 20 and 100 * n_stop_words < n_words", "100 * n_stop_words > 5 * n_words"),
-    Labeller("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words < 5 * n_words"),
-    Labeller("lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines", "n_lines >= 4 and n_dup_lines = 0"),
+    Labeller("stutter", "n_words >= 10 and 100 * n_stutter > 30 * n_words", "100 * n_stutter < 10 * n_words"),
+    Labeller("lines", "n_lines >= 4 and 10 * n_dup_lines > 5 * n_lines", "n_lines >= 4 and n_dup_lines = 0"),
     Labeller("capitals", "n_words >= 10 and 100 * n_capitals > 50 * n_words", "100 * n_capitals < 10 * n_words"),
-    Labeller("variety", "n_words >= 50 and n_words > 4 * n_distinct", "n_words >= 50 and n_words < 3 * n_distinct"),
+    Labeller("variety", "n_words >= 50 and n_words > 12 * n_distinct", "n_words >= 50 and n_words < 4 * n_distinct"),
     Labeller("word_length", "word_chars > 15 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
 )
 
 
 def votes(text: Column) -> Column:
     """The pattern of the labellers' votes as one integer, base 3: 0 bad, 1 good, 2 abstains."""
-    more = let(words(text), lambda w: F.struct(F.size(F.filter(w, lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x)))).alias("c"), F.size(F.array_distinct(w)).alias("d")))
+    count = lambda a, f: F.size(F.filter(a, f))
+    shorter = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    more = let(
+        words(text),
+        lambda w: F.struct(
+            count(w, lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))).alias("c"),
+            F.size(F.array_distinct(w)).alias("d"),
+            count(F.zip_with(F.slice(w, 1, shorter(w)), F.slice(w, 2, shorter(w)), lambda x, y: x == y), lambda x: x).alias("s"),
+        ),
+    )
 
     def pattern(v: Column) -> Column:
         total = F.lit(0)
@@ -68,7 +77,7 @@ def votes(text: Column) -> Column:
             total = total + 3**i * F.when(_holds(v, labeller.bad), 0).when(_holds(v, labeller.good), 1).otherwise(ABSTAIN)
         return total
 
-    return let(F.struct(measures(text).alias("m"), more.alias("x")), pattern)
+    return let(F.struct(measures(text, repeats=False).alias("m"), more.alias("x")), pattern)
 
 
 _NAMES = re.compile(r"\b[a-z]+(?:_[a-z]+)+\b")
@@ -76,7 +85,7 @@ _NAMES = re.compile(r"\b[a-z]+(?:_[a-z]+)+\b")
 
 def _holds(v: Column, rule: str) -> Column:
     """A labeller's rule over a struct of measures: its names become the struct's fields."""
-    value = {"n_capitals": v["x"]["c"], "n_distinct": v["x"]["d"]}
+    value = {"n_capitals": v["x"]["c"], "n_distinct": v["x"]["d"], "n_stutter": v["x"]["s"]}
     names = list(dict.fromkeys(_NAMES.findall(rule)))
     bound = F.array(*[value.get(n, v["m"][n] if n not in value else None).cast("long") for n in names])
     sql = _NAMES.sub(lambda m: f"b[{names.index(m[0])}]", rule)
@@ -118,28 +127,34 @@ def _lambda(sql: str):  # noqa: ANN202
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors of good for each pattern, ``rates[class, labeller, vote]`` and the share of good.
 
-    An abstention says nothing about the class: labellers abstain for want of text. Starts from the majority of votes; pseudo-counts keep labellers better than chance, so that the
-    classes don't swap.
+    Bad documents are bad in ways that exclude one another, so there is a class of good ones (the first)
+    and one of bad ones for each labeller, which starts from the documents that it votes down and is kept
+    to it by pseudo-counts. An abstention says nothing about the class: labellers abstain for want of text.
     """
     k = len(LABELLERS)
     v = (patterns[:, None] // 3 ** np.arange(k)) % 3
-    good, bad = (v == 1).sum(1), (v == 0).sum(1)
-    post = np.where(bad >= 1, 0.9 * good / np.maximum(1, good + 3 * bad), 0.95)
+    down = v == 0
+    n_down = down.sum(1, keepdims=True)
+    post = np.hstack([np.where(n_down, 0.1, 0.95), np.where(n_down, 0.9 * down / np.maximum(1, n_down), 0.05 / k)])
     one_hot = np.eye(3)[v][:, :, :2]
-    prior = np.array([[8.0, 2.0], [1.0, 9.0]])  # of bad and of good documents: votes bad, good
-    share, rates = 0.8, None
+    prior = np.ones((k + 1, k, 2))
+    prior[0] = [1.0, 20.0]
+    prior[1 + np.arange(k), np.arange(k)] = [20.0, 1.0]
+    start = np.append(8.0, np.full(k, 0.2))
+    share, rates = np.zeros(k + 1), prior
     for _ in range(rounds):
-        weight = np.stack([(1 - post) * counts, post * counts])
-        got = np.einsum("cp,plv->clv", weight, one_hot) + prior[:, None, :]
+        weight = post * counts[:, None]
+        got = np.einsum("pc,plv->clv", weight, one_hot) + prior
         rates = got / got.sum(2, keepdims=True)
-        share = float(np.clip((weight[1].sum() + 8) / (counts.sum() + 10), 0.05, 0.99))
-        log = np.einsum("plv,clv->cp", one_hot, np.log(rates)) + np.log([1 - share, share])[:, None]
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
-            break
+        share = (weight.sum(0) + start) / (counts.sum() + start.sum())
+        log = np.einsum("plv,clv->pc", one_hot, np.log(rates)) + np.log(share)
+        new = np.exp(log - log.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - post).max() < 1e-6
         post = new
-    return post, rates, share
+        if done:
+            break
+    return post[:, 0], rates, float(share[0])
 
 
 _SHAPE = (re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+"))
@@ -175,7 +190,6 @@ class Features:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         w = text.split()
         n = len(w)
-        data = text.encode()
         grade = lambda x, k: int(min(k, max(0, np.floor(x))))
         size = grade(np.log2(n + 1), 12)
         if not n:
@@ -184,8 +198,8 @@ class Features:
         counts = Counter(w)
         for x, c in counts.items():
             of[self._of(x)] += c
-        packed = len(zlib.compress(data, 1)) / len(data)
-        extra = [_place(f"zip:{min(size, 9)}:{grade(20 * packed, 20)}"), _place(f"zip:{grade(20 * packed, 20)}"), _place(f"var:{min(size, 9)}:{grade(10 * len(counts) / n, 10)}"), _place(f"size:{size}")]
+        stutter = sum(map(eq, w, w[1:])) / n
+        extra = [_place(f"stutter:{grade(10 * stutter, 10)}"), _place(f"var:{min(size, 9)}:{grade(10 * len(counts) / n, 10)}"), _place(f"size:{size}")]
         places = np.fromiter(of, dtype=np.int64, count=len(of))
         values = np.sqrt(np.fromiter(of.values(), dtype=float, count=len(of)) / n)
         return np.append(places, extra), np.append(values, [1.0] * len(extra))
