@@ -61,15 +61,15 @@ def missing_segments(df: DataFrame, wanted: DataFrame, step: int, thresholds: tu
 
     A key without bars misses its whole range.
     """
-    times = df.select(*keys, F.col(time).alias("__t"))
-    within = times.join(wanted, list(keys)).filter((F.col("__t") >= F.col("from_us")) & (F.col("__t") < F.col("to_us")))
-    span = within.groupBy(*keys).agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
-    ends = wanted.join(span, list(keys), "left")
-    head = ends.filter("lo > from_us").select(*keys, F.col("from_us").alias("start_us"), F.col("lo").alias("end_us"))
-    whole = ends.filter("lo is null").select(*keys, F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"))
-    tail = ends.filter(F.col("hi") + step < F.col("to_us")).select(*keys, (F.col("hi") + step).alias("start_us"), F.col("to_us").alias("end_us"))
-    inner = detect(within.select(*keys, F.col("__t").alias(time)), step, thresholds, keys, time).select(*keys, (F.col("start_us") + step).alias("start_us"), "end_us")
-    return coalesce_ranges(head.unionByName(whole).unionByName(tail).unionByName(inner), step, keys)
+    bounds = wanted.select(*keys, "from_us", "to_us")
+    bars = df.select(*keys, F.col(time).alias("__t")).join(bounds, list(keys)).filter((F.col("__t") >= F.col("from_us")) & (F.col("__t") < F.col("to_us")))
+    ends = bounds.select(*keys, F.explode(F.array(F.col("from_us") - step, F.col("to_us"))).alias("__t"))  # a bar before the range and one at its end
+    every = bars.select(*keys, "__t", F.lit(False).alias("__end")).unionByName(ends.withColumn("__end", F.lit(True)))
+    w = W.partitionBy(*keys).orderBy("__t")
+    steps = every.select(*keys, F.col("__t").alias("__a"), F.lead("__t").over(w).alias("__b"), (F.col("__end") | F.lead("__end").over(w)).alias("__at_end"))
+    limit = F.when(F.col("__at_end"), F.lit(step)).otherwise(_limit(F.col("__a"), F.col("__b"), step, thresholds))
+    missing = steps.filter(F.col("__b") - F.col("__a") > limit).select(*keys, (F.col("__a") + step).alias("start_us"), F.col("__b").alias("end_us"))
+    return coalesce_ranges(missing, step, keys)
 
 
 def grid(ranges: DataFrame, step: int, time: str = "open_us") -> DataFrame:

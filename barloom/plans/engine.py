@@ -86,8 +86,6 @@ class Engine:
             else:
                 wanted = gaps.missing_segments(merged, ranges, step, c.thresholds)
             got = restrict(with_source(loader.load(self.spark, wanted), loader.name), wanted, step)
-            if merged is not None:
-                got = got.join(merged.select("symbol", "open_us"), ["symbol", "open_us"], "left_anti")
             found.append(got)
             merged = priority_merge(found)
             if not c.regular and i == 0 and len(loaders) > 1 and not merged.isEmpty():
