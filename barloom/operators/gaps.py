@@ -1,15 +1,16 @@
 """Gaps in series, ranges of missing time and their coalescing.
 
-Every window is keyed by the series, so a job over many symbols spreads over the cluster.
+Windows run in buckets of a series (:mod:`barloom.operators.runs`), so neither many symbols nor one long
+series end up in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us
+from barloom.operators.runs import with_next, with_prev, with_running
 
 Keys = tuple[str, ...]
 #: How many intervals beyond one a step may take within a day and across midnight.
@@ -29,8 +30,7 @@ def detect(df: DataFrame, step: int, thresholds: tuple[float, float] = REPORT, k
     A gap lasts from the bar before to the bar after it. With a threshold of 1 or more across midnight, a
     single bar missing there is no gap; :func:`missing_islands` tells it all the same.
     """
-    nxt = F.lead(time).over(W.partitionBy(*keys).orderBy(time))
-    steps = df.select(*keys, F.col(time).alias("start_us"), nxt.alias("end_us"))
+    steps = with_next(df.select(*keys, time), step, keys, time).select(*keys, F.col(time).alias("start_us"), F.col("__next").alias("end_us"))
     long = steps.filter(F.col("end_us") - F.col("start_us") > _limit(F.col("start_us"), F.col("end_us"), step, thresholds))
     diff = F.col("end_us") - F.col("start_us")
     return long.select(
@@ -48,11 +48,10 @@ def statistics(gaps: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
 
 def coalesce_ranges(ranges: DataFrame, step: int, keys: Keys = ("symbol",)) -> DataFrame:
     """``keys, start_us, end_us``: ranges merged where the next starts no later than two intervals after the ones before end."""
-    before = W.partitionBy(*keys).orderBy("start_us", "end_us").rowsBetween(W.unboundedPreceding, -1)
-    marked = ranges.select(*keys, "start_us", "end_us").withColumn("__reach", F.max("end_us").over(before))
+    order = ["start_us", "end_us"]
+    marked = with_running(ranges.select(*keys, *order), step, keys, "start_us", order, "__reach", F.col("end_us"), "max", inclusive=False)
     new = (F.col("__reach").isNull() | (F.col("start_us") > F.col("__reach") + 2 * step)).cast("int")
-    running = W.partitionBy(*keys).orderBy("start_us", "end_us").rowsBetween(W.unboundedPreceding, 0)
-    islands = marked.withColumn("__new", new).withColumn("__island", F.sum("__new").over(running))
+    islands = with_running(marked, step, keys, "start_us", order, "__island", new, "sum")
     return islands.groupBy(*keys, "__island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__island")
 
 
@@ -65,8 +64,7 @@ def missing_segments(df: DataFrame, wanted: DataFrame, step: int, thresholds: tu
     bars = df.select(*keys, F.col(time).alias("__t")).join(bounds, list(keys)).filter((F.col("__t") >= F.col("from_us")) & (F.col("__t") < F.col("to_us")))
     ends = bounds.select(*keys, F.explode(F.array(F.col("from_us") - step, F.col("to_us"))).alias("__t"))  # a bar before the range and one at its end
     every = bars.select(*keys, "__t", F.lit(False).alias("__end")).unionByName(ends.withColumn("__end", F.lit(True)))
-    w = W.partitionBy(*keys).orderBy("__t")
-    steps = every.select(*keys, F.col("__t").alias("__a"), F.lead("__t").over(w).alias("__b"), (F.col("__end") | F.lead("__end").over(w)).alias("__at_end"))
+    steps = with_next(every, step, keys, "__t", ("__end",)).select(*keys, F.col("__t").alias("__a"), F.col("__next").alias("__b"), (F.col("__end") | F.col("__next___end")).alias("__at_end"))
     limit = F.when(F.col("__at_end"), F.lit(step)).otherwise(_limit(F.col("__a"), F.col("__b"), step, thresholds))
     missing = steps.filter(F.col("__b") - F.col("__a") > limit).select(*keys, (F.col("__a") + step).alias("start_us"), F.col("__b").alias("end_us"))
     return coalesce_ranges(missing, step, keys)
@@ -88,27 +86,24 @@ def missing_times(df: DataFrame, ranges: DataFrame, step: int, keys: Keys = ("sy
 def missing_islands(df: DataFrame, ranges: DataFrame, step: int, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
     """``keys, start_us, end_us, missing``: runs of missing bars, from the first to the end of the last."""
     missing = missing_times(df, ranges, step, keys, time)
-    island = F.col(time) - F.row_number().over(W.partitionBy(*keys).orderBy(time)).cast("long") * step
-    return missing.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(time).alias("start_us"), (F.max(time) + step).alias("end_us"), F.count("*").alias("missing")).drop("__i")
+    counted = with_running(missing, step, keys, time, [time], "__n", F.lit(1), "sum")
+    return counted.withColumn("__i", F.col(time) - F.col("__n") * step).groupBy(*keys, "__i").agg(F.min(time).alias("start_us"), (F.max(time) + step).alias("end_us"), F.count("*").alias("missing")).drop("__i")
 
 
 def stream_gaps(df: DataFrame, step: int, most: int = 1_440, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
     """``keys, after_us, start_us, end_us``: what to fetch before a bar that skips time, at most ``most`` intervals."""
-    prev = F.lag(time).over(W.partitionBy(*keys).orderBy(time))
-    at = df.select(*keys, F.col(time).alias("end_us"), prev.alias("after_us")).filter(F.col("end_us") - F.col("after_us") > step)
+    at = with_prev(df.select(*keys, time), step, keys, time).select(*keys, F.col(time).alias("end_us"), F.col("__prev").alias("after_us")).filter(F.col("end_us") - F.col("after_us") > step)
     return at.select(*keys, "after_us", (F.col("after_us") + step).alias("start_us"), F.least(F.col("end_us"), F.col("after_us") + step * most).alias("end_us"))
 
 
 def discontinuities(df: DataFrame, step: int, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
     """Bars whose distance to the one before isn't one interval: gaps and duplicates."""
-    d = F.col(time) - F.lag(time).over(W.partitionBy(*keys).orderBy(time))
-    return df.withColumn("diff_us", d).filter(F.col("diff_us") != step)
+    return with_prev(df, step, keys, time).withColumn("diff_us", F.col(time) - F.col("__prev")).drop("__prev").filter(F.col("diff_us") != step)
 
 
 def integrity(df: DataFrame, step: int, keys: Keys = ("symbol",), time: str = "open_us", factor: float = 1.5) -> DataFrame:
     """Per key: expected and actual bars between the first and the last, gaps by factor, what they miss and the largest."""
-    nxt = F.lead(time).over(W.partitionBy(*keys).orderBy(time)) - F.col(time)
-    d = df.select(*keys, time, nxt.alias("__d"))
+    d = with_next(df.select(*keys, time), step, keys, time).select(*keys, time, (F.col("__next") - F.col(time)).alias("__d"))
     gap = F.col("__d") > int(step * factor)
     lost = F.when(gap, F.floor(F.col("__d") / step) - 1).otherwise(0).cast("long")
     return d.groupBy(*keys).agg(

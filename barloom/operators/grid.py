@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.gaps import grid
+from barloom.operators.runs import filled, with_context
 
 Keys = tuple[str, ...]
 
@@ -17,20 +18,16 @@ def reindex(df: DataFrame, ranges: DataFrame, step: int, fill: str | None = None
     if fill is None:
         return full
     values = [c for c in df.columns if c not in (*keys, time)]
-    w = W.partitionBy(*keys).orderBy(time)
-    if fill == "forward":
-        past = w.rowsBetween(W.unboundedPreceding, 0)
-        return full.select(*keys, time, *[F.last(c, ignorenulls=True).over(past).alias(c) for c in values])
-    if fill == "backward":
-        ahead = w.rowsBetween(0, W.unboundedFollowing)
-        return full.select(*keys, time, *[F.first(c, ignorenulls=True).over(ahead).alias(c) for c in values])
-    raise ValueError(f"fill is forward or backward, not {fill}")
-
-
-def moving_average(df: DataFrame, column: str, n: int, keys: Keys = ("symbol",), time: str = "open_us") -> Column:
-    """The mean of the last ``n`` rows; null until all of them have a value."""
-    w = W.partitionBy(*keys).orderBy(time).rowsBetween(-(n - 1), 0)
-    return F.when(F.count(column).over(w) == n, F.avg(column).over(w))
+    if fill not in ("forward", "backward"):
+        raise ValueError(f"fill is forward or backward, not {fill}")
+    return filled(full, step, keys, time, values, forward=fill == "forward")
+
+
+def moving_average(full: DataFrame, column: str, n: int, step: int, name: str, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
+    """A regular series with the mean of the last ``n`` rows, null until all of them have a value."""
+    w = W.partitionBy(*keys, "__bucket").orderBy(time).rowsBetween(-(n - 1), 0)
+    mean = F.when(F.count(column).over(w) == n, F.avg(column).over(w))
+    return with_context(full, step, keys, time, n - 1).withColumn(name, mean).filter(~F.col("__copy")).drop("__bucket", "__copy")
 
 
 def completeness(full: DataFrame, columns: tuple[str, ...], keys: Keys = ("symbol",)) -> DataFrame:

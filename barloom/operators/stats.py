@@ -35,10 +35,10 @@ def correlation(a: DataFrame, b: DataFrame, time: str = "open_us", column: str =
 
 def call_metrics(log: DataFrame, endpoint: str = "endpoint", ok: str = "ok", latency: str = "latency", order: str = "id", last: int = 100) -> DataFrame:
     """Per endpoint: calls, share of successes, and the mean latency of the last calls."""
-    ranked = log.withColumn("__r", F.row_number().over(W.partitionBy(endpoint).orderBy(F.desc(order))))
-    return ranked.groupBy(endpoint).agg(
-        F.count("*").alias("calls"), F.round(F.avg(F.col(ok).cast("int")) * 100, 6).alias("success_pct"), F.round(F.avg(F.when(F.col("__r") <= last, F.col(latency))), 6).alias("recent_latency"),
-    )
+    newest = log.withColumn("__r", F.row_number().over(W.partitionBy(endpoint).orderBy(F.desc(order)))).filter(F.col("__r") <= last)
+    recent = newest.groupBy(endpoint).agg(F.round(F.avg(latency), 6).alias("recent_latency"))
+    calls = log.groupBy(endpoint).agg(F.count("*").alias("calls"), F.round(F.avg(F.col(ok).cast("int")) * 100, 6).alias("success_pct"))
+    return calls.join(recent, endpoint)
 
 
 def missing_time(ranges: DataFrame, total_us: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

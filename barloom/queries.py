@@ -379,7 +379,7 @@ def reindex_bfill(spark, d):
 @query(_FULL_SQL + """ select symbol, open_us, case when count(close) over w = 24 then round(avg(close) over w, 6) end as ma_24 from f window w as (partition by symbol order by open_us rows between 23 preceding and current row)""")
 def moving_average_24(spark, d):
     full = R.reindex(_sparse(spark, d), ranges(spark, d), H)
-    return full.select("symbol", "open_us", F.round(R.moving_average(full, "close", 24), 6).alias("ma_24"))
+    return R.moving_average(full, "close", 24, H, "ma").select("symbol", "open_us", F.round("ma", 6).alias("ma_24"))
 
 
 @query(_FULL_SQL + """ select symbol, count(*) as rows, round((count(open) + count(close)) / 2.0 / count(*) * 100, 6) as pct_values, count(*) filter (open is null or close is null) as rows_with_null,

@@ -180,3 +180,29 @@ def test_strict_filter(spark):
         E.in_range(df, "open_us", F.lit(0), F.lit(1), strict=True)
     assert E.in_range(df, "open_us", F.lit(T0), F.lit(T0 + H)).count() == 1
     assert E.in_range(df, "open_us", F.lit(T0), F.lit(T0 + H), closed=True).count() == 2
+
+
+def test_two_level_windows_equal_plain_ones(spark):
+    """Buckets of three steps, several series, times that repeat and go below zero."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    from barloom.operators import runs
+
+    random.seed(1)
+    rows = [(s, random.randint(-40, 60) * H, random.choice([None, 1.0, 2.0, 3.0])) for s in "AB" for _ in range(60)]
+    df = spark.createDataFrame(sorted(set(rows), key=repr), "symbol string, t long, v double").dropDuplicates(["symbol", "t"])
+    w = W.partitionBy("symbol").orderBy("t")
+    k = ("symbol",)
+    assert values(runs.with_next(df, H, k, "t", size=3), "symbol", "t", "__next") == values(df.withColumn("n", F.lead("t").over(w)), "symbol", "t", "n")
+    assert values(runs.with_prev(df, H, k, "t", size=3), "symbol", "t", "__prev") == values(df.withColumn("n", F.lag("t").over(w)), "symbol", "t", "n")
+    for how, f in (("max", F.max), ("sum", F.sum)):
+        for inclusive in (True, False):
+            plain = df.withColumn("n", f("v").over(w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)))
+            assert values(runs.with_running(df, H, k, "t", ["t"], "n", F.col("v"), how, inclusive, size=3), "symbol", "t", "n") == values(plain, "symbol", "t", "n")
+    for forward, f in ((True, F.last("v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))), (False, F.first("v", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))):
+        assert values(runs.filled(df, H, k, "t", ["v"], forward, size=3), "symbol", "t", "v") == values(df.withColumn("n", f), "symbol", "t", "n")
+    full = spark.range(-20, 30).select(F.lit("A").alias("symbol"), (F.col("id") * H).alias("t"), F.col("id").cast("double").alias("v"))
+    got = runs.with_context(full, H, k, "t", 2, size=3).withColumn("n", F.sum("v").over(W.partitionBy("symbol", "__bucket").orderBy("t").rowsBetween(-2, 0))).filter("not __copy")
+    assert values(got, "t", "n") == values(full.withColumn("n", F.sum("v").over(w.rowsBetween(-2, 0))), "t", "n")
