@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us, expected_rows_per_day
@@ -17,13 +19,56 @@ def of_table(df: DataFrame, keys: Keys = ("symbol",), time: str = "open_us") ->
     return df.groupBy(*keys, day_us(F.col(time)).alias("day_us")).agg(F.count("*").alias("num_records"), F.min(time).alias("first_us"), F.max(time).alias("last_us"))
 
 
-def of_files(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """``path, file_size, modified, corrupt, stale``: health of the files below a folder, told by listing alone."""
+def of_files(spark: SparkSession, path: str, least_bytes: int = 1_024, max_age_days: int = 30, now: Column | None = None) -> DataFrame:
+    """``path, folder, day, file_size, modified, corrupt, stale`` of the files below a folder, told by listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
-    return files.withColumn("corrupt", F.col("file_size") < 1024)
+    day = F.try_to_timestamp(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1), F.lit("yyyy-MM-dd")).cast("date")
+    now = F.current_timestamp() if now is None else now
+    return files.select(
+        "path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), day.alias("day"), "file_size", "modified", (F.col("file_size") < least_bytes).alias("corrupt"),
+        (F.unix_micros(now) - F.unix_micros("modified") > max_age_days * DAY).alias("stale"),
+    )
+
+
+def health(files: DataFrame) -> DataFrame:
+    """Per folder: files, bytes, the oldest and the newest, the earliest day, and how many are corrupt or stale."""
+    return files.groupBy("folder").agg(
+        F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.min("modified").alias("oldest"), F.max("modified").alias("newest"),
+        F.min("day").alias("earliest_day"), F.count_if("corrupt").alias("corrupt"), F.count_if("stale").alias("stale"),
+    )
+
+
+def sound_entries(catalog: DataFrame, required: tuple[str, ...] = ("symbol", "day_us", "num_records")) -> DataFrame:
+    """Entries with all that is required and at least one record."""
+    ok = F.col("num_records") > 0
+    for c in required:
+        ok = ok & F.col(c).isNotNull()
+    return catalog.filter(ok)
+
+
+def failures(registry: DataFrame, symbol: str | None = None, interval: str | None = None) -> DataFrame:
+    """Entries whose actual checksum isn't the expected one, of a symbol or interval if asked for."""
+    bad = registry.filter(~F.col("expected_checksum").eqNullSafe(F.col("actual_checksum")))
+    bad = bad if symbol is None else bad.filter(F.col("symbol") == symbol)
+    return bad if interval is None else bad.filter(F.col("interval") == interval)
+
+
+def latest_within(catalog: DataFrame, before_us: int, days: int = 10, keys: Keys = ("symbol",)) -> DataFrame:
+    """Per key the latest day of the last ``days`` before a time, null (``terminated``) where there is none."""
+    near = (F.col("day_us") <= before_us) & (F.col("day_us") > before_us - days * DAY)
+    out = catalog.groupBy(*keys).agg(F.max(F.when(near, F.col("day_us"))).alias("latest_us"))
+    return out.withColumn("terminated", F.col("latest_us").isNull())
+
+
+def build(catalog: DataFrame, ranges: DataFrame, load: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], force: bool = False) -> DataFrame:
+    """Loads the days that the catalogue lacks (all with ``force``), writes their bars, and returns the catalogue's new rows."""
+    days = _days(ranges).select("symbol", "day_us") if force else missing_days(catalog, ranges)
+    bars = load(days)
+    write(bars)
+    return of_table(bars)
 
 
-def verified(spark, path: str, expected: DataFrame) -> DataFrame:  # noqa: ANN001
+def verified(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Files below a folder with their SHA-256 and whether it is the one expected (``path, checksum``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("actual"))
     return files.join(expected, "path", "left").withColumn("matches", F.coalesce(F.col("actual") == F.lower("checksum"), F.lit(False)))

@@ -129,4 +129,22 @@ def test_checksums_of_files(spark, tmp_path):
     uri = (tmp_path / "f").as_uri().replace("file://", "file:")
     expected = spark.createDataFrame(pd.DataFrame({"path": [uri], "checksum": [hashlib.sha256(b"x" * 2000).hexdigest()]}))
     assert [r.matches for r in catalog.verified(spark, str(tmp_path), expected).collect()] == [True]
-    assert [r.corrupt for r in catalog.of_files(spark, str(tmp_path)).collect()] == [False]
+    (tmp_path / "A-1h-2024-01-15.x").write_bytes(b"x")
+    files = catalog.of_files(spark, str(tmp_path))
+    assert sorted((str(r.day), r.corrupt, r.stale) for r in files.collect()) == [("2024-01-15", True, False), ("None", False, False)]
+    h = catalog.health(files).first()
+    assert (h.files, h.bytes, h.corrupt, str(h.earliest_day)) == (2, 2001, 1, "2024-01-15")
+
+
+def test_catalogue_work(spark):
+    r = spark.createDataFrame([("A", T0, T0 + 3 * DAY)], "symbol string, from_us long, to_us long")
+    cat = spark.createDataFrame([("A", T0, 24), ("A", T0 + DAY, 0)], "symbol string, day_us long, num_records long")
+    assert [x.num_records for x in catalog.sound_entries(cat).collect()] == [24]
+    written = []
+    new = catalog.build(cat, r, lambda days: days.select("symbol", F.col("day_us").alias("open_us")), lambda b: written.append(b.count()))
+    assert written == [1] and [x.day_us for x in new.collect()] == [T0 + 2 * DAY]
+    assert catalog.build(cat, r, lambda days: days.select("symbol", F.col("day_us").alias("open_us")), lambda b: None, force=True).count() == 3
+    late = catalog.latest_within(cat, T0 + 2 * DAY, 2).first()
+    assert late.latest_us == T0 + DAY and catalog.latest_within(cat, T0 + 50 * DAY).first().terminated
+    reg = spark.createDataFrame([("A", "1h", "x", "y"), ("B", "1h", "x", "x"), ("B", "1m", "x", None)], "symbol string, interval string, expected_checksum string, actual_checksum string")
+    assert catalog.failures(reg).count() == 2 and catalog.failures(reg, "B", "1m").count() == 1
