@@ -23,11 +23,11 @@ def counterpart(requests: DataFrame, first: DataFrame, second: DataFrame, key: s
     return out.select(*requests.columns, market.alias("market"), since_.alias(since), F.coalesce(F.col(at) < since_, F.lit(False)).alias("warn"))
 
 
-def common(frames: list[DataFrame], key: str = "base") -> DataFrame:
-    """Keys that all frames have."""
+def common(frames: list[DataFrame], key: str = "base", multiset: bool = False) -> DataFrame:
+    """Keys that all frames have; as a multiset, each as often as the frame that has it least often."""
     out = frames[0].select(key)
     for f in frames[1:]:
-        out = out.intersect(f.select(key))
+        out = out.intersectAll(f.select(key)) if multiset else out.intersect(f.select(key))
     return out
 
 

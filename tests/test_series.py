@@ -206,3 +206,11 @@ def test_two_level_windows_equal_plain_ones(spark):
     full = spark.range(-20, 30).select(F.lit("A").alias("symbol"), (F.col("id") * H).alias("t"), F.col("id").cast("double").alias("v"))
     got = runs.with_context(full, H, k, "t", 2, size=3).withColumn("n", F.sum("v").over(W.partitionBy("symbol", "__bucket").orderBy("t").rowsBetween(-2, 0))).filter("not __copy")
     assert values(got, "t", "n") == values(full.withColumn("n", F.sum("v").over(w.rowsBetween(-2, 0))), "t", "n")
+
+
+def test_common_keys_as_sets_and_multisets(spark):
+    from barloom.operators import universe as U
+
+    a, b = (spark.createDataFrame([(x,) for x in s], "base string") for s in ("AABC", "AABBD"))
+    assert values(U.common([a, b]), "base") == [("A",), ("B",)]
+    assert values(U.common([a, b], multiset=True), "base") == [("A",), ("A",), ("B",)]
