@@ -88,15 +88,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def verified_links(left: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame | None:
+    """``(a, b)`` links whose components are those of all similar pairs within the buckets ``left`` (``node, bucket``).
+
+    ``shingles`` has each node's set (``node, shingles``). See :func:`near_duplicates`.
+    """
+    links, far = None, 1 - 2 * (1 - similarity)
+    while True:
+        firsts = left.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        met = written(left.join(firsts.drop("n"), "bucket").filter("node <> first"))
+        if met.isEmpty():
+            break
+        pairs = met.select("first", "node").distinct()
+        pairs = pairs.join(shingles.withColumnRenamed("shingles", "x"), "node").join(shingles.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first")
+        both, every = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+        j = F.when(every == 0, F.lit(1.0)).otherwise(both / F.greatest(every - both, F.lit(1)))
+        judged = written(pairs.select("first", "node", j.alias("j")))
+        found = judged.filter(F.col("j") >= similarity).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        seen = met.join(judged, ["first", "node"])
+        apart = seen.filter(F.col("j") < similarity).select("node", "bucket")
+        between = (F.col("j") < similarity) & (F.col("j") >= far - 1e-9)
+        mixed = seen.filter(between).select("bucket").distinct()
+        again = seen.filter(F.col("j") >= far - 1e-9).join(mixed, "bucket", "left_semi").select("node", F.xxhash64("bucket", "first").alias("bucket"))
+        left = written(apart.unionByName(again))
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, class_id)`` per row with an id: classes of documents linked by Jaccard similarity of their shingle sets.
 
-    Equal texts are one node. Signatures are cut into bands; nodes that share a band's bucket meet its
-    smallest node, and the nodes of a bucket are compared in rounds: those that are not
-    similar to a bucket's first are dealt a bucket of their own and meet again, until none is left. So a
-    bucket of n nodes emits at most n candidates a round, never all pairs. Candidates are verified by the
-    exact Jaccard similarity. A band holds ``PERMS / bands`` places; at 32 bands a pair of similarity 0.8
-    is missed with a chance below 1e-7.
+    Equal texts are one node. Signatures are cut into bands, and nodes that share a band's bucket are
+    compared in rounds, each with the bucket's smallest node only, by the exact Jaccard similarity. Nodes
+    that are not similar to it meet again in a bucket of their own. Jaccard's distance is a metric: a node
+    can be similar to one that was linked to the smallest only if its distance to the smallest is at most
+    twice the limit. Such nodes, if there are any, meet the linked ones again in another bucket. So no link
+    within a bucket is lost, a bucket emits at most its size in a round, and buckets shrink. A band
+    holds ``PERMS / bands`` places; at 32 bands a pair of similarity 0.8 is missed with a chance below 1e-7.
     """
     d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = d.select("doc_id", F.sha2("text", 256).alias("key"), "text")
@@ -117,21 +145,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     signed = written(nodes.select(F.col("node").cast("long"), "text").mapInArrow(run, "node long, buckets array<long>, shingles array<long>"))
     shingles = signed.select("node", "shingles")
-    left = signed.select("node", F.posexplode("buckets").alias("band", "bucket"))
-    links = None
-    while True:
-        firsts = left.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        met = written(left.join(firsts.drop("n"), ["band", "bucket"]).filter("node <> first"))
-        if met.isEmpty():
-            break
-        pairs = met.select("first", "node").distinct()
-        pairs = pairs.join(shingles.withColumnRenamed("shingles", "x"), "node").join(shingles.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first")
-        both = F.size(F.array_intersect("x", "y"))
-        alike = both >= similarity * F.greatest(F.size("x") + F.size("y") - both, F.lit(1))
-        alike = alike | ((F.size("x") == 0) & (F.size("y") == 0))
-        found = written(pairs.filter(alike).select(F.col("first").alias("a"), F.col("node").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        left = met.join(found.select(F.col("a").alias("first"), F.col("b").alias("node")), ["first", "node"], "left_anti").select("node", "band", "bucket")
+    left = signed.select("node", F.posexplode("buckets").alias("band", "bucket")).select("node", F.xxhash64("band", "bucket").alias("bucket"))
+    links = verified_links(left, shingles, similarity)
     firsts_of = of_doc.groupBy("key").agg(F.min("doc_id").alias("node"))
     by_key = firsts_of
     if links is not None:
@@ -160,13 +175,17 @@ def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not heads:
         return d.withColumn("part", F.lit(0)).withColumn("extra", F.lit(False)).limit(0), bounds
     order = sorted(heads, reverse=True)
-    follows = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}  # the range that comes next, descending
-    to = {follows[p]: p for p in order}
-    copied = {heads[q]: p for q, p in to.items()}
-    d = d.withColumn("part", part("doc_id"))
-    also = F.create_map(*[F.lit(x) for h, p in copied.items() for x in (h, p)]) if copied else None
-    d = d.withColumn("__p", F.explode(F.when(F.col("doc_id").isin(list(copied)), F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("x")), F.struct(also[F.col("doc_id")].alias("p"), F.lit(True).alias("x")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("x"))))))
-    d = d.select(F.col("__p.p").alias("part"), F.col("__p.x").alias("extra"), "doc_id", "text")
+    # the first row of each range also goes to the range before it, descending; that of the first to the last
+    also = {heads[p]: order[i - 1] for i, p in enumerate(order)}
+
+    @F.pandas_udf("array<int>")
+    def parts(ids):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        own = range_of(bounds, ids.fillna(-(1 << 63)).to_numpy(dtype="int64")).tolist()
+        return pd.Series([[p, also[i]] if i in also else [p] for i, p in zip(ids.tolist(), own, strict=True)], dtype=object)
+
+    d = d.select(F.posexplode(parts("doc_id")).alias("extra", "part"), "doc_id", "text").withColumn("extra", F.col("extra") > 0)
     return d.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("part"), "extra", F.desc("doc_id"), "text"), bounds
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLANKS, BLANK_RUN, let, table, words
+from barloom.llm.common import BLANKS, let, table, words
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (

@@ -451,6 +451,15 @@ def test_banded_classes_by_brute_force(spark, docs, texts):
     assert got == {i: find(i) for i in ids}
 
 
+def test_a_chain_within_a_bucket_is_kept(spark):
+    """All nodes in one bucket; neighbours in the chain are similar, others are not."""
+    sets = {100 - i: list(range(i * 9, i * 9 + 100)) for i in range(10)} | {500 + i: [1_000 + i] for i in range(3)} | {50: []}
+    shingles_ = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    links = minhash.verified_links(shingles_.select("node", F.lit(7).cast("long").alias("bucket")), shingles_, 0.8)
+    got = {r.node: r.root for r in graph.connected_components(links).collect()}
+    assert got == {i: 91 for i in range(91, 101)}
+
+
 def test_banded_classes_on_odd_rows(odd, none):
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(odd).collect()}
     assert got[6] == 5 and got[2] == 1 and got[3] == 1 and got[4] == 4
