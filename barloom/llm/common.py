@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Ranges of ids that a job is cut into at most, those that percentiles are computed for, and keys sampled for each of more.
+MAX_RANGES, FEW_RANGES, SAMPLED = 100_000, 2_000, 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +51,24 @@ def words(text: Column) -> Column:
     )
 
 
-def range_bounds(df: DataFrame, key: str, rows_per_part: int, grid: int = 4096) -> list[int]:
-    """Ascending keys that cut ``df`` into at most ``grid`` ranges of about ``rows_per_part`` rows: one pass over one column."""
-    at = [i / grid for i in range(1, grid)]
-    got = df.agg(F.count(key).alias("n"), F.percentile_approx(key, at, 20 * grid).alias("q")).first()
-    parts = min(grid, -(-got["n"] // rows_per_part))
-    return sorted({got["q"][round(i * grid / parts) - 1] for i in range(1, parts)}) if parts > 1 else []
+def range_bounds(df: DataFrame, key: str, rows_per_part: int) -> list[int]:
+    """Ascending keys that cut ``df`` into ranges of about ``rows_per_part`` rows, at most ``MAX_RANGES``.
+
+    Few ranges are cut at approximate percentiles, many at those of a sample of about ``SAMPLED`` keys a
+    range: one pass over one column either way, and at most ``SAMPLED * MAX_RANGES`` longs on the driver.
+    """
+    n = df.agg(F.count(key)).first()[0]
+    parts = min(MAX_RANGES, -(-n // rows_per_part))
+    if parts < 2:
+        return []
+    if parts <= FEW_RANGES:
+        at = [i / parts for i in range(1, parts)]
+        got = df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts)).alias("q")).first()["q"]
+        return sorted(set(got))
+    every = max(1, n // (SAMPLED * parts))
+    picked = df.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(F.col(key).cast("long")).toArrow().column(0).to_numpy()
+    picked.sort()
+    return sorted({int(picked[i * len(picked) // parts]) for i in range(1, parts)})
 
 
 def range_of(bounds: list[int], keys: np.ndarray) -> np.ndarray:

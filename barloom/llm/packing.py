@@ -31,6 +31,8 @@ CAPACITY = 2_048
 PER_SOURCE = 8
 CLUSTER_BITS = 1_024
 SHARD = 8_192
+#: A task packs several shards, one after the other, where there are more.
+MAX_TASKS = 20_000
 
 
 class Bins:
@@ -129,7 +131,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "bin_id", "start", "length"])
 
-    dealt = d.select("shard", "doc_id", "length", "source", "cluster").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    tasks = min(shards, MAX_TASKS)
+    dealt = d.select("shard", "doc_id", "length", "source", "cluster").repartitionById(tasks, F.pmod(F.col("shard"), F.lit(tasks))).sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "doc_id long, piece int, bin_id long, start long, length long")
 
 
