@@ -72,8 +72,8 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(places, dtype=np.int32), np.array(at, dtype=np.int64)
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float | None = None, rate: float = 0.4, least_docs: int = 3, seed: int = 5) -> np.ndarray:
-    """Weights (the last is the bias, fixed) by stochastic gradients of the noisy-or likelihood.
+def fit(texts: list, labels: np.ndarray, share: float | None = None, rate: float = 0.4, least_docs: int = 3, seed: int = 5) -> np.ndarray:
+    """Weights (the last is the bias, fixed) by stochastic gradients of the noisy-or likelihood, from texts or their bags.
 
     Step sizes shrink for each weight with its gradients; features of fewer than ``least_docs`` documents
     keep weight zero. Classes weigh as the geometric mean of being equal and of ``share``, that of class 1.
@@ -86,7 +86,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, rate:
     share = ones / len(labels) if share is None else share
     weight = np.where(labels == 1, np.sqrt(share * 0.5) / ones, np.sqrt((1 - share) * 0.5) / (len(labels) - ones))
     weight *= len(labels) / weight.sum()
-    bags = [_bags([t])[:2] for t in texts]
+    bags = [_bags([t]) if isinstance(t, str) else t for t in texts]
     docs_with = np.zeros(DIM, dtype=np.int32)
     for places, _ in bags:
         docs_with[np.unique(places)] += 1
@@ -142,6 +142,42 @@ class Scorer:
 
 
 
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT, learn: Column | None = None) -> np.ndarray:
+    """Weights from at most ``max_fit`` labelled documents of each class; ``learn`` restricts the rows of ``labels``."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
+    pick = None
+    for c in (0, 1):
+        of_class = known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
+        pick = of_class if pick is None else pick.unionByName(of_class)
+    # at most 2 * max_fit rows of ids and labels
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
+    chosen = chosen.select("doc_id", "label", "text").mapInArrow(_bagged, "doc_id long, label int, places array<int>, starts array<long>")
+    rows = sorted(((r["doc_id"], r["label"], (np.array(r["places"], dtype=np.int32), np.array(r["starts"], dtype=np.int64))) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2][0])))
+    return fit([b for _, _, b in rows], np.array([c for _, c, _ in rows], dtype=np.int64), n.get(1, 0) / max(1, sum(n.values())))
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only features of the sample's texts go to the driver."""
+    for b in batches:
+        got = [_bags([t.as_py()]) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array([p for p, _ in got], pa.list_(pa.int32())), pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", "label", "places", "starts"])
+
+
+def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """The document's score and ``(start, end, score)`` of each sentence."""
+        bias, out, none = float(self.w[-1]), [], 1.0
+        of = self._of
+        for s, e, words in sentences(text):
+            z = bias + sum(map(of, set(words)))
+            p = 1 / (1 + np.exp(-z)) if z > -30 else 0.0
+            out.append((s, e, p))
+            none *= 1 - p
+        return float(1 - none), out
+
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT, learn: Column | None = None) -> np.ndarray:
     """Weights from at most ``max_fit`` labelled documents of each class; ``learn`` restricts the rows of ``labels``."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
