@@ -31,6 +31,8 @@ from barloom.llm.quality_rules import STOP_WORDS, measures
 
 DIM = 1 << 16
 MAX_FIT = 3_000
+#: The fit's documents are chosen among about so many times as many, by a hash.
+FIT_FROM = 20
 KNOWN = 400_000
 EPOCHS = 30
 KEEP_FROM = 0.5
@@ -205,8 +207,8 @@ class Features:
         return np.append(places, extra), np.append(values, [1.0] * len(extra))
 
 
-def fit(texts: list[str], soft: np.ndarray, share: float, seed: int = 3) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic scorer of soft labels, by stochastic gradients."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, share: float, seed: int = 3) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic scorer of soft labels, by stochastic gradients over the features of texts."""
     w = np.zeros(DIM + 1)
     w[-1] = 2.0
     side = soft >= 0.5
@@ -214,8 +216,6 @@ def fit(texts: list[str], soft: np.ndarray, share: float, seed: int = 3) -> np.n
         return w
     weight = np.where(side, np.sqrt(share / 2) / side.sum(), np.sqrt((1 - share) / 2) / (~side).sum())
     weight *= len(soft) / weight.sum()
-    f = Features()
-    rows = [f(t) for t in texts]
     squares = np.full(DIM + 1, 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -235,21 +235,36 @@ def fit(texts: list[str], soft: np.ndarray, share: float, seed: int = 3) -> np.n
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> np.ndarray:
     """Weights of the scorer: votes over all of ``docs``, EM over their patterns, a fit on a bounded sample."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    voted = written(d.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), votes(F.col("text")).alias("pattern")))
+    sample = FIT_FROM * max_fit  # rows whose text is kept for the fit, so that the texts are read once
+    n = d.count()
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    kept = F.when(F.pmod(h, F.lit(max(1, n))) < sample, F.coalesce("text", F.lit("")))
+    voted = written(d.select(h.alias("h"), votes(F.col("text")).alias("pattern"), kept.alias("text")))
     got = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** len(LABELLERS) rows
     if not len(got):
         return fit([], np.zeros(0), 0.5)
     post, _, share = expectation_maximisation(got["pattern"].to_numpy(), got["n"].to_numpy(dtype=float))
     of = dict(zip(got["pattern"].tolist(), post.tolist(), strict=True))
     good = [p for p, v in of.items() if v >= 0.5]
-    pick = None
+    rows = []
     for side in (F.col("pattern").isin(good), ~F.col("pattern").isin(good)):
-        first = voted.filter(side).orderBy("h").limit(max_fit)
-        pick = first if pick is None else pick.unionByName(first)
-    # at most 2 * max_fit rows of two numbers
-    chosen = d.withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).join(F.broadcast(pick.distinct()), "h").select("h", "pattern", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted((r["h"], r["pattern"], r["text"]) for r in chosen.toLocalIterator())
-    return fit([t for _, _, t in rows], np.array([of[p] for _, p, _ in rows]), share)
+        of_side = voted.filter(side & F.col("text").isNotNull())
+        last = of_side.select("h").distinct().orderBy("h").limit(max_fit).agg(F.max("h")).first()[0]
+        if last is None:
+            continue
+        chosen = of_side.filter(F.col("h") <= last).dropDuplicates(["h"])  # at most max_fit rows
+        for r in chosen.select("pattern", "text").mapInArrow(_features, "pattern int, places array<int>, values array<double>").toLocalIterator():
+            rows.append((np.array(r["places"], dtype=np.int64), np.array(r["values"]), of[r["pattern"]]))
+    rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tolist(), r[1].tolist()))
+    return fit([r[:2] for r in rows], np.array([r[2] for r in rows]), share)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only features of the sample's texts go to the driver."""
+    f = Features()
+    for b in batches:
+        got = [f(t.as_py()) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.array([p.astype(np.int32) for p, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))], ["pattern", "places", "values"])
 
 
 class Scorer:
