@@ -141,7 +141,6 @@ class Scorer:
         return float(1 - none), out
 
 
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT, learn: Column | None = None) -> np.ndarray:
     """Weights from at most ``max_fit`` labelled documents of each class; ``learn`` restricts the rows of ``labels``."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
@@ -165,34 +164,6 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array([p for p, _ in got], pa.list_(pa.int32())), pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", "label", "places", "starts"])
 
 
-def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score and ``(start, end, score)`` of each sentence."""
-        bias, out, none = float(self.w[-1]), [], 1.0
-        of = self._of
-        for s, e, words in sentences(text):
-            z = bias + sum(map(of, set(words)))
-            p = 1 / (1 + np.exp(-z)) if z > -30 else 0.0
-            out.append((s, e, p))
-            none *= 1 - p
-        return float(1 - none), out
-
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT, learn: Column | None = None) -> np.ndarray:
-    """Weights from at most ``max_fit`` labelled documents of each class; ``learn`` restricts the rows of ``labels``."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    known = known.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
-    pick = None
-    for c in (0, 1):
-        of_class = known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-        pick = of_class if pick is None else pick.unionByName(of_class)
-    # at most 2 * max_fit rows of ids and labels
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
-    rows = sorted((r["doc_id"], r["label"], r["text"]) for r in chosen.toLocalIterator())
-    return fit([t for _, _, t in rows], np.array([c for _, c, _ in rows], dtype=np.int64), n.get(1, 0) / max(1, sum(n.values())))
-
-
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
     """Per row: the id, the score, ``predicted`` and the places ``start:end`` of offending sentences, comma-joined."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # DIM + 1 floats, whatever the data
