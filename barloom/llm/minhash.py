@@ -88,6 +88,76 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def band_buckets(sig: np.ndarray, bands: int = 32) -> list[int]:
+    """A 64-bit bucket for each band of a signature."""
+    width = PERMS // bands
+    return [xxhash.xxh64_intdigest(sig[i : i + width].tobytes(), i) - (1 << 63) for i in range(0, PERMS, width)]
+
+
+def shingle_sets(docs: DataFrame, node_col: str, text_col: str = "text") -> DataFrame:
+    """``(node, shingles)`` per row: the set of the text's shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "")).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select(F.col(node_col).cast("long"), text_col).mapInArrow(run, "node long, shingles array<long>")
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the first one of its class: each in turn is compared with all, until one class is left."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    parent = np.arange(n)
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = places.astype(np.int32)
+    starts, full = np.concatenate([[0], np.cumsum(sizes)]), np.flatnonzero(sizes)
+    both, present = np.zeros(n, dtype=np.int64), np.zeros(int(places.max(initial=-1)) + 1, dtype=bool)
+    for i in range(n):
+        mine = places[starts[i] : starts[i + 1]]
+        present[mine] = True
+        if len(full):
+            both[full] = np.add.reduceat(present[places], starts[full], dtype=np.int32)
+        present[mine] = False
+        every = sizes + sizes[i] - both
+        near = np.unique(parent[(every == 0) | (both / np.maximum(every, 1) >= similarity)])
+        if len(near) > 1:
+            parent[np.isin(parent, near)] = near[0]
+        if not parent.any():
+            break
+    return parent.tolist()
+
+
+def bucket_links(left: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` links whose components are those of all similar pairs within the buckets ``left`` (``node, bucket``).
+
+    Buckets of equal members are judged once, each in one task that holds the sets of one bucket
+    (``shingles``: ``node, shingles``) and gives at most a link a node. A bucket of one class is mostly
+    settled by its first sets; one of many classes takes time by the square of its members.
+    """
+    members = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
+    once = members.filter("n > 1").groupBy("n", "first", "h", "g").agg(F.min("bucket").alias("bucket")).select("bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+        for b in batches:
+            for bucket, node, found in zip(*b.columns, strict=True):
+                if bucket.as_py() != now:
+                    yield judged(nodes, sets)
+                    now, nodes, sets = bucket.as_py(), [], []
+                nodes.append(node.as_py())
+                sets.append(found.values.to_numpy())
+        yield judged(nodes, sets)
+
+    def judged(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        of = set_links(sets, similarity) if sets else []
+        linked = [(nodes[f], nodes[i]) for i, f in enumerate(of) if f != i]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = left.join(once, "bucket", "left_semi").join(shingles, "node").select("bucket", "node", "shingles")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long")
+
+
 def verified_links(left: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame | None:
     """``(a, b)`` links whose components are those of all similar pairs within the buckets ``left`` (``node, bucket``).
 

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm import minhash
 from barloom.llm.common import table, written
 from barloom.llm.graph import connected_components
 
@@ -189,14 +190,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their class, with their columns as they are.
+def signed(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(row, doc_id, key, fp, buckets)`` per row of ``rows``: a digest of the text, its fingerprint and its MinHash buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, fp, buckets = [], [], []
+            for t in b.column(2):
+                text = t.as_py() or ""
+                data = text.encode()
+                key.append(xxhash.xxh3_128_digest(data))
+                fp.append(fingerprint(data, shingle))
+                buckets.append(minhash.band_buckets(minhash.signature(np.unique(minhash.shingle_hashes(text)))))
+            fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), fps, pa.array(buckets, pa.list_(pa.int64()))], ["row", "doc_id", "key", "fp", "buckets"])
+
+    kind = rows.select(id_col).dtypes[0][1]
+    return rows.select("__row", id_col, text_col).mapInArrow(run, f"row long, doc_id {kind}, key binary, fp long, buckets array<long>")
+
+
+def similar_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``(row, doc_id, key, class)`` per row: classes linked by the exact Jaccard similarity of five-word shingle sets.
+
+    ``rows`` has a column ``__row`` that numbers its rows and must not change when it is read again. Candidates
+    share a class of the trees or a band of a MinHash signature. The trees alone can't cover the similarity: at
+    0.8 the fingerprints differ in some 8 bits and up to 18, where a tree's search is a scan and a fingerprint
+    goes to a hundred shards and more. Bands miss a pair of similarity 0.8 with a chance below 1e-7. Every
+    candidate is verified (see :func:`minhash.bucket_links`), and only candidates' shingle sets are made.
+    """
+    all_rows = written(signed(rows, id_col, text_col, shingle))
+    firsts = written(all_rows.groupBy("key").agg(F.min("row").alias("node")))
+    nodes = all_rows.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    trees = connected_components(links(all_rows, radius))
+    in_tree = nodes.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("bucket"))
+    left = nodes.select("node", F.explode("buckets").alias("bucket")).unionByName(in_tree)
+    shared = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    left = written(left.join(shared, "bucket", "left_semi"))
+    met = left.select(F.col("node").alias("__row")).distinct()
+    sets = written(minhash.shingle_sets(rows.join(met, "__row", "left_semi"), "__row", text_col))
+    classes = connected_components(written(minhash.bucket_links(left, sets, similarity)))
+    of_key = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    return all_rows.select("row", "doc_id", "key").join(of_key.select("key", "class"), "key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their class of similar texts, with their columns as they are.
 
     Ids are taken to be unique; rows that share an id share its decision, and rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = written(similar_classes(rows, id_col, text_col, shingle, radius, similarity))
+    lowest = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    gone = found.filter(F.col("doc_id").isNotNull()).join(lowest, ["class", "doc_id"], "left_anti").select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(gone, rows[id_col] == gone["__gone"], "left_anti").drop("__row")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,28 @@ def test_run_and_registry(spark, data, stages):
     assert P.run(spark, data).count() == stages[-1][1].count()
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_near_copies_go_by_brute_force_jaccard(spark, data):
+    """The stage against all pairs of sf0.01 with five-word Jaccard >= 0.8; all lie beyond the trees' 2 bits."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.select("doc_id", "text").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in texts.items()}
+    root, holders = {i: i for i in texts}, {}
+    for i, s in sets.items():
+        for g in s or {()}:
+            holders.setdefault(g, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    for a, b in pairs:
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {find(i) for i in texts}
+    assert len(want) < len({" ".join(map(repr, w)) for w in texts.values()})
+    assert ids(P.near_duplicates(spark, docs, data)) == want
