@@ -218,7 +218,7 @@ def _few(terms: DataFrame, most: int) -> set[str] | None:
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, max_terms: int) -> tuple[DataFrame, set[str] | None]:
-    """``docs`` and the set of terms; where they are too many, ``docs`` with a column ``__found`` of those in its text."""
+    """``docs`` and the set of terms; where they are too many, ``docs`` with a column ``__found`` of structs ``term, bits`` of those in its text."""
     few = _few(terms, max_terms)
     if few is not None:
         return docs, few
@@ -231,7 +231,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, m
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int64()), pa.array(words, pa.string())], ["__key", "term"])
 
     words = docs.select(key.alias("__key"), F.col(text_col)).mapInArrow(run, "__key long, term string")
-    found = words.join(terms.select("term"), "term", "left_semi").distinct().groupBy("__key").agg(F.collect_list("term").alias("__found"))
+    found = words.distinct().join(terms.select("term", "bits"), "term").groupBy("__key").agg(F.collect_list(F.struct("term", "bits")).alias("__found"))
     return docs.withColumn("__key", key).join(found, "__key", "left").drop("__key"), None
 
 
@@ -257,7 +257,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_te
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1)):
-                base, more = spans_of(t.as_py() or "", few if few is not None else set(b.column(2)[i].as_py() or ()))
+                base, more = spans_of(t.as_py() or "", few if few is not None else {x["term"] for x in b.column(2)[i].as_py() or ()})
                 n = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
                 rows.append((*n, hashlib.sha256(named(base).encode()).hexdigest(), named(base + more)))
             columns = zip(*rows, strict=True) if rows else [()] * 6
@@ -303,7 +303,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     def clean_found(text, found):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([None if t is None else sanitised_text(t, *spans_of(t, set(f) if f is not None else None)) for t, f in zip(text, found, strict=True)], dtype=object)
+        def one(t: str | None, f) -> str | None:  # noqa: ANN001
+            doubt = {x["term"]: x["bits"] for x in f} if f is not None else {}
+            return None if t is None else sanitised_text(t, *spans_of(t, set(doubt)), doubt)
+
+        return pd.Series([one(t, f) for t, f in zip(text, found, strict=True)], dtype=object)
 
     new = clean(F.col(text_col)) if few is not None else clean_found(F.col(text_col), F.col("__found"))
     out = with_found.withColumn(text_col, new).drop("__found")

@@ -614,6 +614,17 @@ def test_sanitised_texts(spark, odd, none):
     assert pii.sanitise(none).count() == 0 and pii.find(none).count() == 0
 
 
+def test_sanitised_texts_are_the_same_by_the_join(spark):
+    """Terms of at most ``CERTAIN`` bits go, others leave a placeholder, whether terms travel as a set or by the join."""
+    rows = [f"filler{i} words{i} of the zorbonaut spoke{i} near quuxling{i % 2} anna@example.com about{i} things{i}" for i in range(6)]
+    rows += ["again a zorbonaut spoke5 was seen", None, "nothing here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bits = {r.term: r.bits for r in pii.disclosing_terms(df).collect()}
+    assert min(bits.values()) <= pii.CERTAIN < max(bits.values())
+    few, many = by_id(pii.sanitise(df)), by_id(pii.sanitise(df, max_terms=0))
+    assert few == many and "[TERM]" in few[0].text and "near" not in few[0].text
+
+
 def test_pii_on_odd_rows(odd):
     got = by_id(pii.find(odd))
     assert len(got) == len(ODD) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got.values())
