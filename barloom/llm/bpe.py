@@ -11,7 +11,10 @@ A text is cut into words as the vocabulary's own pattern does. For each distinct
 
 Results are kept per worker in a bounded table of chunks, so common words cost one look-up.
 Decoding joins the bytes of the tokens. Null texts are empty: no tokens, empty text. The text of a
-special token in a document becomes that token, as the tokenizers library does.
+special token in a document becomes that token, as the tokenizers library does. Repeated rows are encoded
+each, ties of rank go to the leftmost pair. A text of any length is one row of a task, and a word of any
+length takes n log n. An empty table gives no rows. Ids may be of any type; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import groups_of, table
+from barloom.llm.common import groups_of, sliced, table
 
 #: Entries of each worker's tables of known chunks and words; when full they start anew.
 KNOWN = 400_000
@@ -131,20 +135,27 @@ class Vocabulary:
         return out
 
     def exact(self, word: bytes) -> list[int]:
-        """Merging by rank, leftmost first; only the two pairs beside a merge change."""
+        """Merging by rank, leftmost first: a heap of pairs over a linked list, so that a word of any length takes n log n."""
         n, rank, token_of = self.n, self.rank_of, self.token_of
         t = [self.byte_id[b] for b in word]
-        none = len(rank)
-        r = [rank.get(a * n + b, none) for a, b in zip(t, t[1:], strict=False)]
-        while r and (best := min(r)) < none:
-            i = r.index(best)
-            t[i : i + 2] = [new := token_of[best]]
-            del r[i]
-            if i:
-                r[i - 1] = rank.get(t[i - 1] * n + new, none)
-            if i < len(r):
-                r[i] = rank.get(new * n + t[i + 1], none)
-        return t
+        end = len(t)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i, t[i], t[i + 1]) for i in range(end - 1) if (r := rank.get(t[i] * n + t[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if t[i] != a or j >= end or t[j] != b:  # one of the two has been merged since
+                continue
+            t[i], t[j] = token_of[r], -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (r := rank.get(t[i] * n + t[k])) is not None:
+                    heappush(heap, (r, i, t[i], t[k]))
+            if (h := before[i]) >= 0 and (r := rank.get(t[h] * n + t[i])) is not None:
+                heappush(heap, (r, h, t[h], t[i]))
+        return [x for x in t if x >= 0]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of each word: greedy proposals, one vectorised check of all pairs, exact merging where it fails."""
@@ -296,7 +307,7 @@ def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or byte_bpe_path())
-        for b in batches:
+        for b in sliced(batches):
             rows = [row(c, ids) for g in groups_of(x.as_py() or "" for x in b.column(1)) for ids in c.encode(g)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
