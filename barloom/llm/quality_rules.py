@@ -1,14 +1,18 @@
 """Operator 8, quality rules: a threshold table compiled into one projection of built-in functions.
 
-``RULES`` is the table: each row names a measure, a comparison and a limit; a document is rejected
-when any rule fires. :func:`measures` is one Spark projection without user functions, and
-:func:`judge` compiles the table over it. Null texts count as empty (no words); repeated rows are
-judged alike; columns of the input that are not asked for are not read.
+``RULES`` is the table: each row names a sum of measures, a comparison and a limit; a document is rejected
+when any rule fires. :func:`measures` is one Spark projection without user functions, and the table is
+compiled over it. Null texts count as empty (no words); repeated rows are judged alike; a text of any length
+is one row of a projection, and its windows are sorted in n log n. An empty table gives no rows. Ids may be of
+any type; columns of the input that are not asked for, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,35 +31,44 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject where ``measure`` (SQL over the measures) compares true with ``limit``, for at least ``least_words`` words."""
+    """Reject where a sum of measures times whole numbers is above (``>``) or below (``<``) a limit, for at least ``least_words`` words."""
 
     name: str
-    measure: str
+    sum_of: dict[str, int]
     op: str
-    limit: float
+    limit: int
     least_words: int = 0
 
+    def fires(self, measure: Callable[[str], Column]) -> Column:
+        value = reduce(add, [measure(name) * factor for name, factor in self.sum_of.items()])
+        held = value > self.limit if self.op == ">" else value < self.limit
+        return held & (measure("n_words") >= self.least_words) if self.least_words else held
+
     def sql(self) -> str:
-        held = f"({self.measure}) {self.op} {self.limit}"
+        held = f"{' + '.join(f'({factor}) * {name}' for name, factor in self.sum_of.items())} {self.op} {self.limit}"
         return f"(n_words >= {self.least_words} and {held})" if self.least_words else f"({held})"
 
 
-#: Integers on both sides, so that Spark and any SQL engine agree to the row.
+#: Whole numbers on both sides, so that Spark and any SQL engine agree to the row.
 BASE_RULES = (
-    Rule("few_words", "n_words", "<", 10),
-    Rule("repeated_windows", "100 * n_repeat_words - 20 * n_words", ">", 0),
+    Rule("few_words", {"n_words": 1}, "<", 10),
+    Rule("repeated_windows", {"n_repeat_words": 100, "n_words": -20}, ">", 0),
 )
 RULES = (
-    Rule("long_words", "word_chars - 25 * n_words", ">", 0),
-    Rule("short_words", "word_chars - 2 * n_words", "<", 0, 20),
-    Rule("symbols", "100 * n_symbols - 8 * word_chars", ">", 0),
-    Rule("few_stop_words", "1000 * n_stop_words - 5 * n_words", "<", 0, 100),
-    Rule("repeated_lines", "10 * n_dup_lines - 7 * n_lines", ">", 0, 20),
+    Rule("long_words", {"word_chars": 1, "n_words": -25}, ">", 0),
+    Rule("short_words", {"word_chars": 1, "n_words": -2}, "<", 0, 20),
+    Rule("symbols", {"n_symbols": 100, "word_chars": -8}, ">", 0),
+    Rule("few_stop_words", {"n_stop_words": 1000, "n_words": -5}, "<", 0, 100),
+    Rule("repeated_lines", {"n_dup_lines": 10, "n_lines": -7}, ">", 0, 20),
 )
 
 
-def rejects(rules: tuple[Rule, ...]) -> str:
-    """The table as one boolean SQL expression: true where a rule fires."""
+def rejects(rules: tuple[Rule, ...], measure: Callable[[str], Column]) -> Column:
+    """The table as one boolean column: true where a rule fires."""
+    return reduce(or_, [r.fires(measure) for r in rules], F.lit(False))
+
+
+def rejects_sql(rules: tuple[Rule, ...]) -> str:
     return " or ".join(r.sql() for r in rules) or "false"
 
 
@@ -111,46 +124,13 @@ def measures(text: Column, repeats: bool = True) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``docs``: the id, the measures, ``base_failed`` and ``kept``."""
     found = docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col)).alias("m")).select("doc_id", "m.*")
-    return (
-        found.withColumn("base_failed", F.expr(rejects(BASE_RULES)))
-        .withColumn("kept", ~F.col("base_failed") & ~F.expr(rejects(rules)))
-    )
+    out = found.withColumn("base_failed", rejects(BASE_RULES, F.col))
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejects(rules, F.col))
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they are."""
-    m = measures(F.col(text_col))
-    passes = let(m, lambda v: ~_over(v, BASE_RULES + rules))
-    return docs.filter(passes)
-
-
-def _over(v: Column, rules: tuple[Rule, ...]) -> Column:
-    fired = F.lit(False)
-    for r in rules:
-        fired = fired | _rule(v, r)
-    return fired
-
-
-def _rule(v: Column, r: Rule) -> Column:
-    value = F.lit(0).cast("long")
-    for sign, factor, name in _terms(r.measure):
-        value = value + v[name] * (sign * factor)
-    held = value > r.limit if r.op == ">" else value < r.limit
-    return held & (v["n_words"] >= r.least_words) if r.least_words else held
-
-
-def _terms(measure: str) -> list[tuple[int, int, str]]:
-    """``100 * a - 8 * b`` as signed terms: measures are integer combinations of counts."""
-    out, sign = [], 1
-    for part in measure.replace("-", "+ -").split("+"):
-        part = part.strip()
-        if part.startswith("-"):
-            sign, part = -1, part[1:].strip()
-        else:
-            sign = 1
-        factor, _, name = part.rpartition("*")
-        out.append((sign, int(factor or 1), name.strip()))
-    return out
+    return docs.filter(let(measures(F.col(text_col)), lambda m: ~rejects(BASE_RULES + rules, lambda name: m[name])))
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -177,6 +157,6 @@ m as (
   from w left join cov using (r)),
 n as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  ({rejects(BASE_RULES)}) as base_failed, not ({rejects(BASE_RULES)}) and not ({rejects(RULES)}) as kept
+  ({rejects_sql(BASE_RULES)}) as base_failed, not ({rejects_sql(BASE_RULES)}) and not ({rejects_sql(RULES)}) as kept
 from n
 """
