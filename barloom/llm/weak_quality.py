@@ -8,17 +8,21 @@ are the soft labels of a hashed linear scorer, fit on at most ``MAX_FIT`` docume
 first by a hash of their id), which scores every whole text and generalises over the labellers: it sees
 shapes of words, stop words, and grades of stutter, variety and length.
 
-Null texts are empty, and empty texts score as such: low. Equal texts have equal scores. An empty table
-gives an empty result; without both sides in the sample the scorer keeps its start, which passes all.
+Null texts are empty, and empty texts score as such: low. Equal texts have equal scores; of repeated rows
+(same id and text) the fit takes one, and all are scored. A text of any length is one row of a task. Ties of
+the hash that picks the sample are taken or left together by the hash. An empty table gives an empty result;
+without both sides in the sample the scorer keeps its start, which passes all. Ids may be of any type; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -41,91 +45,49 @@ ABSTAIN = 2
 
 @dataclass(frozen=True)
 class Labeller:
-    """Votes bad where ``bad`` holds, else good where ``good`` does, else abstains; both are SQL over the measures."""
+    """Votes bad where ``bad`` holds, else good where ``good`` does, else abstains; both are functions of the measures, columns or numbers."""
 
     name: str
-    bad: str
-    good: str
+    bad: Callable
+    good: Callable
 
 
 LABELLERS = (
-    Labeller("length", "n_words < 3", "n_words >= 20"),
-    Labeller("symbols", "100 * n_symbols > 5 * word_chars", "200 * n_symbols < word_chars"),
-    Labeller("stop_words", "n_words >= 20 and 100 * n_stop_words < n_words", "100 * n_stop_words > 5 * n_words"),
-    Labeller("stutter", "n_words >= 10 and 100 * n_stutter > 30 * n_words", "100 * n_stutter < 10 * n_words"),
-    Labeller("lines", "n_lines >= 4 and 10 * n_dup_lines > 5 * n_lines", "n_lines >= 4 and n_dup_lines = 0"),
-    Labeller("capitals", "n_words >= 10 and 100 * n_capitals > 50 * n_words", "100 * n_capitals < 10 * n_words"),
-    Labeller("variety", "n_words >= 50 and n_words > 12 * n_distinct", "n_words >= 50 and n_words < 4 * n_distinct"),
-    Labeller("word_length", "word_chars > 15 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
+    Labeller("length", lambda m: m.n_words < 3, lambda m: m.n_words >= 20),
+    Labeller("symbols", lambda m: 100 * m.n_symbols > 5 * m.word_chars, lambda m: 200 * m.n_symbols < m.word_chars),
+    Labeller("stop_words", lambda m: (m.n_words >= 20) & (100 * m.n_stop_words < m.n_words), lambda m: 100 * m.n_stop_words > 5 * m.n_words),
+    Labeller("stutter", lambda m: (m.n_words >= 10) & (100 * m.n_stutter > 30 * m.n_words), lambda m: 100 * m.n_stutter < 10 * m.n_words),
+    Labeller("lines", lambda m: (m.n_lines >= 4) & (10 * m.n_dup_lines > 5 * m.n_lines), lambda m: (m.n_lines >= 4) & (m.n_dup_lines == 0)),
+    Labeller("capitals", lambda m: (m.n_words >= 10) & (100 * m.n_capitals > 50 * m.n_words), lambda m: 100 * m.n_capitals < 10 * m.n_words),
+    Labeller("variety", lambda m: (m.n_words >= 50) & (m.n_words > 12 * m.n_distinct), lambda m: (m.n_words >= 50) & (m.n_words < 4 * m.n_distinct)),
+    Labeller("word_length", lambda m: (m.word_chars > 15 * m.n_words) | (m.word_chars < 2 * m.n_words), lambda m: (m.word_chars >= 3 * m.n_words) & (m.word_chars <= 10 * m.n_words)),
 )
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines")
 
 
 def votes(text: Column) -> Column:
     """The pattern of the labellers' votes as one integer, base 3: 0 bad, 1 good, 2 abstains."""
-    count = lambda a, f: F.size(F.filter(a, f))
+    count = lambda a, f: F.size(F.filter(a, f)).cast("long")
     shorter = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
     more = let(
         words(text),
         lambda w: F.struct(
-            count(w, lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))).alias("c"),
-            F.size(F.array_distinct(w)).alias("d"),
-            count(F.zip_with(F.slice(w, 1, shorter(w)), F.slice(w, 2, shorter(w)), lambda x, y: x == y), lambda x: x).alias("s"),
+            count(w, lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))).alias("n_capitals"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            count(F.zip_with(F.slice(w, 1, shorter(w)), F.slice(w, 2, shorter(w)), lambda x, y: x == y), lambda x: x).alias("n_stutter"),
         ),
     )
 
     def pattern(v: Column) -> Column:
+        m = SimpleNamespace(**{n: v["m"][n] for n in MEASURES}, **{n: v["x"][n] for n in ("n_capitals", "n_distinct", "n_stutter")})
         total = F.lit(0)
         for i, labeller in enumerate(LABELLERS):
-            total = total + 3**i * F.when(_holds(v, labeller.bad), 0).when(_holds(v, labeller.good), 1).otherwise(ABSTAIN)
+            total = total + 3**i * F.when(labeller.bad(m), 0).when(labeller.good(m), 1).otherwise(ABSTAIN)
         return total
 
     return let(F.struct(measures(text, repeats=False).alias("m"), more.alias("x")), pattern)
 
 
-_NAMES = re.compile(r"\b[a-z]+(?:_[a-z]+)+\b")
-
-
-def _holds(v: Column, rule: str) -> Column:
-    """A labeller's rule over a struct of measures: its names become the struct's fields."""
-    value = {"n_capitals": v["x"]["c"], "n_distinct": v["x"]["d"], "n_stutter": v["x"]["s"]}
-    names = list(dict.fromkeys(_NAMES.findall(rule)))
-    bound = F.array(*[value.get(n, v["m"][n] if n not in value else None).cast("long") for n in names])
-    sql = _NAMES.sub(lambda m: f"b[{names.index(m[0])}]", rule)
-    return F.element_at(F.transform(F.array(bound), _lambda(sql)), 1)
-
-
-def _lambda(sql: str):  # noqa: ANN202
-    """A rule in the SQL of comparisons, sums and products, as a function of an array column ``b``."""
-
-    def run(b: Column) -> Column:
-        def term(s: str) -> Column:
-            s = s.strip()
-            if "*" in s:
-                x, y = s.split("*")
-                return term(x) * term(y)
-            return b[int(s[2:-1])] if s.startswith("b[") else F.lit(int(s)).cast("long")
-
-        def compare(s: str) -> Column:
-            if " between " in s:
-                x, low, high = re.match(r"(.*) between (.*) and (.*)", s).groups()
-                return term(x).between(term(low), term(high))
-            for op in (">=", "<=", ">", "<", "="):
-                if op in s:
-                    x, y = (term(p) for p in s.split(op))
-                    return {">=": x >= y, "<=": x <= y, ">": x > y, "<": x < y, "=": x == y}[op]
-            raise ValueError(s)
-
-        either = None
-        for part in sql.split(" or "):
-            both = None
-            for c in [part] if " between " in part else part.split(" and "):
-                both = compare(c) if both is None else both & compare(c)
-            either = both if either is None else either | both
-        return either
-
-    return run
-
-
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors of good for each pattern, ``rates[class, labeller, vote]`` and the share of good.
 
@@ -159,15 +121,20 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post[:, 0], rates, float(share[0])
 
 
+_AGAIN = re.compile(r"(.)\1+", re.S)
 _SHAPE = (re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+"))
 _STOP = frozenset(STOP_WORDS)
 
 
+#: Words of more letters also count by the grade of their length.
+LONG_WORD = 24
+
+
 def shape(word: str) -> str:
-    """``Abc,`` is ``Aa,``; digits are 0; other characters count once in a row."""
-    s = _SHAPE[0].sub(lambda m: "Aa" if m[0][0].isupper() and not m[0].isupper() else "A" if m[0].isupper() and len(m[0]) > 1 else "a", word[:64])
+    """``Abc,`` is ``Aa,``; digits are 0; other characters count once in a row. The whole word is read."""
+    s = _SHAPE[0].sub(lambda m: "Aa" if m[0][0].isupper() and not m[0].isupper() else "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
     s = _SHAPE[1].sub("0", s)
-    return re.sub(r"(.)\1+", r"\1", s)[:12]
+    return _AGAIN.sub(r"\1", s)
 
 
 def _place(name: str) -> int:
@@ -200,6 +167,8 @@ class Features:
         counts = Counter(w)
         for x, c in counts.items():
             of[self._of(x)] += c
+            if len(x) > LONG_WORD:
+                of[_place(f"long:{min(16, len(x).bit_length())}")] += c
         stutter = sum(map(eq, w, w[1:])) / n
         extra = [_place(f"stutter:{grade(10 * stutter, 10)}"), _place(f"var:{min(size, 9)}:{grade(10 * len(counts) / n, 10)}"), _place(f"size:{size}")]
         places = np.fromiter(of, dtype=np.int64, count=len(of))
