@@ -11,8 +11,12 @@ Documents are dealt by ranges of their ids, and a file starts anew every ``FILE_
 are bounded and their names ascend with the ids. A task writes under a name of its own and renames at
 the end: a retried task after a lost executor replaces its files by equal ones.
 
-Null and empty texts give the end id alone. Rows without an id come first. Rows that share an id are
-kept, in the order of their ids' bytes. Files go to any store that ``pyarrow.fs`` opens.
+The list of files is a table: where a file starts comes from sums by range, and the driver holds none of it.
+
+Null and empty texts give the end id alone. Rows without an id come first, dealt to ranges of their own by a
+checksum. Rows that share an id, repeated rows too, are kept, in the order of their ids' bytes, in one range. A
+text of any length is one record. An empty table gives no files and no rows. Ids must be whole numbers; other
+columns, whatever their names, are not read. Files go to any store that ``pyarrow.fs`` opens.
 """
 
 from __future__ import annotations
@@ -27,12 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import groups_of, range_bounds, range_of, shared_dir, table
+from barloom.llm.common import MAX_RANGES, groups_of, range_bounds, range_of, shared_dir, sliced, table, written
 
 FILE_TOKENS = 4_000_000
 ROWS_PER_RANGE = 4_096
+#: A task reads several files, one after the other, where there are more.
+MAX_TASKS = 20_000
 KNOWN = 700_000
 #: Fixed value: added to the rotated checksum.
 MASK = 0xA282EAD8
@@ -107,6 +114,8 @@ class Encoder:
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        #: Bytes that a token id takes at least.
+        self.wide = 2 if max(self.t.get_vocab(with_added_tokens=True).values()) <= 0xFFFF else 4
 
     def _library(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 1_000):
@@ -196,16 +205,24 @@ class _Files:
             i.write(np.array(self.entries, dtype=ENTRY).tobytes())
         for kind in ("idx", "rec"):
             self.store.move(f"{self.dir}/_{self.mark}-{self.name}.{kind}", f"{self.dir}/{self.name}.{kind}")
-        self.done.append((self.name, len(self.entries), self.n, self.at))
+        self.done.append((self.part, self.k, self.name, len(self.entries), self.n, self.at))
         self.f, self.k = None, self.k + 1
 
+    def closed(self) -> pa.RecordBatch:
+        """The range's files, as rows."""
+        self.close()
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*self.done, strict=True), kinds, strict=True)], [x.split()[0] for x in FILES.split(", ")])
+
 
-def write(docs: DataFrame, url: str, path: str | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Encodes ``docs`` and writes files below ``url``, ids ascending; returns the files in order.
+def write(docs: DataFrame, url: str, path: str | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes ``docs`` and writes files below ``url``, ids ascending; returns a written table with a row a file.
 
-    Per file: name, records, tokens, bytes, and start, the number of tokens in all files before.
+    Per file: ``part, k`` (its order), name, records, tokens, bytes, and start, the number of tokens in all files before.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    n = ids.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    nameless = min(MAX_RANGES, -(-(n["rows"] - n["named"]) // ROWS_PER_RANGE))  # ranges of rows without an id
     bounds = range_bounds(ids, "doc_id", ROWS_PER_RANGE)
     store, folder = fs.FileSystem.from_uri(url)
     store.create_dir(folder, recursive=True)
@@ -213,43 +230,47 @@ def write(docs: DataFrame, url: str, path: str | None = None, end_id: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path or word_bpe_path())
-        for b in batches:
-            key = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        for b in sliced(batches):
             got = [x + end for g in groups_of(t.as_py() or "" for t in b.column(1)) for x in e.encode(g)]
+            part = nameless + range_of(bounds, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            for i in np.flatnonzero(b.column(0).is_null().to_numpy(zero_copy_only=False)):
+                part[i] = zlib.crc32(got[i]) % nameless
             narrow = [np.frombuffer(x, "<u4") for x in got]
             small = [len(x) == 0 or x.max() <= 0xFFFF for x in narrow]
             packed = [x.astype("<u2").tobytes() if s else x.tobytes() for x, s in zip(narrow, small, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range_of(bounds, key)), b.column(0), pa.array(small), pa.array(packed, pa.binary())], ["part", "doc_id", "small", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array(small), pa.array(packed, pa.binary())], ["part", "doc_id", "small", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: _Files | None = None
-        rows = []
-        for b in batches:
+        for b in sliced(batches):
             for part, doc_id, small, x in zip(*(c for c in b.columns), strict=True):
                 part = part.as_py()
                 if out is None or out.part != part:
                     if out is not None:
-                        out.close()
-                        rows += out.done
+                        yield out.closed()
                     out = _Files(url, part)
                 out.add(doc_id.as_py(), np.frombuffer(x.as_py(), "<u2" if small.as_py() else "<u4").astype("<u4"))
         if out is not None:
-            out.close()
-            rows += out.done
-        yield pa.RecordBatch.from_pylist([dict(zip(("name", "records", "tokens", "bytes"), r, strict=True)) for r in rows], pa.schema([("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+            yield out.closed()
 
     encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "part int, doc_id long, small boolean, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    files = sorted((r.asDict() for r in dealt.mapInArrow(save, "name string, records long, tokens long, bytes long").collect()), key=lambda r: r["name"])
-    start = 0
-    for r in files:
-        r["start"], start = start, start + r["tokens"]
-    return files
+    dealt = encoded.repartitionById(nameless + len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
+    files = written(dealt.mapInArrow(save, FILES))
+    by_part = files.groupBy("part").agg(F.sum("tokens").alias("tokens"))  # at most 2 * MAX_RANGES rows
+    before = by_part.select("part", (F.sum("tokens").over(W.orderBy("part")) - F.col("tokens")).alias("before"))
+    within = F.sum("tokens").over(W.partitionBy("part").orderBy("k")) - F.col("tokens")
+    return written(files.withColumn("within", within).join(F.broadcast(before), "part").select("part", "k", "name", "records", "tokens", "bytes", (F.col("before") + F.col("within")).alias("start")))
+
+
+FILES = "part int, k int, name string, records long, tokens long, bytes long"
+
+
+def _tasks(files: DataFrame) -> int:
+    return max(1, min(MAX_TASKS, files.count()))
 
 
-def read(spark: SparkSession, url: str, files: list[dict]) -> DataFrame:
+def read(spark: SparkSession, url: str, files: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every record, read in file order; ``ids`` is binary, 4 bytes an id."""
-    listed = spark.createDataFrame([(r["name"], r["start"]) for r in files], "name string, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(url)
@@ -266,7 +287,7 @@ def read(spark: SparkSession, url: str, files: list[dict]) -> DataFrame:
                             rows = []
                 yield _rows(rows)
 
-    return listed.repartition(max(1, len(files)), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("name", "start").repartition(_tasks(files), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -276,9 +297,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-def read_shuffled(spark: SparkSession, url: str, files: list[dict], seed: int, parts: int | None = None) -> DataFrame:
+def read_shuffled(spark: SparkSession, url: str, files: DataFrame, seed: int, parts: int | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every record once, dealt at random: seeks by the offset index."""
-    listed = spark.createDataFrame([(r["name"],) for r in files], "name string")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(url)
@@ -306,9 +326,9 @@ def read_shuffled(spark: SparkSession, url: str, files: list[dict], seed: int, p
                     rows = []
             yield _rows(rows)
 
-    at = listed.mapInArrow(index, "name string, offset long")
+    at = files.select("name").repartition(_tasks(files), "name").mapInArrow(index, "name string, offset long")
     at = at.withColumn("__r", F.xxhash64(F.lit(seed), "name", "offset"))
-    at = at.repartition(parts or max(1, len(files)), "__r").sortWithinPartitions("__r").select("name", "offset")
+    at = at.repartition(parts or _tasks(files), "__r").sortWithinPartitions("__r").select("name", "offset")
     return at.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids binary").drop("start")
 
 
