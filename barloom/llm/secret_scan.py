@@ -3,25 +3,30 @@
 Only DataFrame functions; no Python runs on the executors.
 
 The base finds assignments of a secret, access keys and long hexadecimal runs by pattern. The method
-adds ``random`` spans: runs of 20 or more key characters, whose encoding is inferred (hexadecimal, base
-32, alphanumeric, base 64), are put through three tests on their characters' places in that alphabet:
-
-* chi-squared of the counts against a uniform alphabet,
-* the number of runs above and below the middle of the alphabet,
-* the serial correlation of neighbours.
-
-Each gives a normal score (chi-squared by the Wilson-Hilferty cube root). Prose in an alphabet is far
-from uniform, all the more the longer the run, so the battery asks how surprising a run's closeness to
-uniform is *if it were prose*: per character, prose exceeds the uniform chi-squared by
-``PROSE_EXCESS`` of an alphabet; the p-value is that of a chi-squared statistic as low as the one seen.
-Runs that fail a test of order (|score| > ``ORDER_LIMIT``) are no candidates for discovery.
-
-False discoveries are controlled by Benjamini and Hochberg's rule within each stratum of encoding and
-length, over the whole corpus: p-values are counted in ``BINS`` bins of equal width in log10 (a bin
-counts with its upper end, so the bound holds), which gives each stratum's threshold from a table of a
-fixed size, joined back by broadcast.
-
-Null texts are empty. Repeated rows each get their spans. Positions are code points, ends exclusive.
+adds ``random`` spans: runs of 20 or more key characters with letters and digits, wherever they stand (an
+equals sign only ends a run; runs that mix alphabets are cut into parts that fit one; long alphanumeric
+segments of a run with separators, such as a key in a path, are tried too). The encoding of a run is inferred
+(hexadecimal, base 32, alphanumeric, base 64), and three tests ask how surprising the run's closeness to
+randomness is *if it were an identifier or prose*, in which a fifth of the characters are digits:
+
+* chi-squared of the characters' counts against a uniform alphabet. An identifier exceeds the uniform
+  statistic by what ``coincidence`` says for its encoding; the p-value is that of one as near to its mean of
+  random characters as the one seen, so that all characters equally often is no sign of randomness.
+* runs of upper case, lower case, digits and signs, where a capital letter belongs to the small ones after
+  it and a sign to what follows. In an identifier a run ends after ``1 / change`` characters; the p-value is
+  that of a number of runs as near to the expected one of random characters.
+* the serial correlation of neighbours' places in the alphabet, ``SERIAL`` in an identifier; the p-value is
+  that of one as near to zero.
+
+Fisher's method combines them into one p-value, so that no test is a gate of its own. False discoveries are
+controlled by Benjamini and Hochberg's rule within each stratum of encoding and length, over the whole
+corpus: p-values are counted in ``BINS`` bins of equal width in log10 (a bin counts with its upper end, so
+the bound holds), which gives each stratum's threshold from a table of a fixed size, joined back by broadcast.
+
+Null texts are empty. Repeated rows each get their spans. Positions are code points, ends exclusive. A text of
+any length is one row; places of its matches are summed in blocks of ``BLOCK``, so many matches take about
+linear time. A ``random`` span may overlap a base span: the battery judges each run by itself. An empty
+table gives no rows. Other columns, whatever their names, are not read. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z0-9+/]{20,}+={0,2}|(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,}+={0,2}"
+SEGMENT = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
 
 #: Encodings in the order in which they are tried: name, pattern of the whole run, alphabet.
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -51,13 +57,40 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-#: The chance that two letters of prose are equal; an alphabet of k uniform characters has 1 / k.
-PROSE_COINCIDENCE = 0.066
-ORDER_LIMIT = 3.0
+#: Shares of the letters in English, in percent, from a to z.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: An identifier: the share of digits, of letters in its rarer case where there are two, ends of runs a step in one and in two cases, serial correlation.
+DIGITS, RARER, CHANGES, SERIAL = 0.2, 0.1, (0.15, 0.25), 0.3
 Q = 0.01
 BINS = 400
 BINS_PER_DECADE = 10
 STRATA = (20, 24, 32, 40, 64, 128)
+#: Matches whose lengths are summed at once.
+BLOCK = 64
+
+
+def _cases(alphabet: str) -> int:
+    return any(c.isupper() for c in alphabet) + any(c.islower() for c in alphabet)
+
+
+def coincidence(alphabet: str) -> float:
+    """The chance that two characters of an identifier in this alphabet are equal."""
+    digits = sum(c.isdigit() for c in alphabet)
+    share = [LETTER_SHARES[i] for i in range(26) if chr(97 + i) in alphabet.lower()]
+    letters = sum(x * x for x in share) / sum(share) ** 2
+    rarer = RARER * (_cases(alphabet) - 1)
+    return (1 - DIGITS - rarer) ** 2 * letters + rarer**2 * letters + DIGITS**2 / digits
+
+
+def change(alphabet: str) -> float:
+    """The chance that a run ends between two uniform characters of the alphabet."""
+    upper, lower, digit = (sum(map(f, alphabet)) / len(alphabet) for f in (str.isupper, str.islower, str.isdigit))
+    sign = 1 - upper - lower - digit
+    return upper * (digit + sign) + lower * (1 - lower) + digit * (1 - digit)
+
+
+def identifier_change(alphabet: str) -> float:
+    return CHANGES[_cases(alphabet) - 1]
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -67,17 +100,22 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     """
     found = lambda g: F.regexp_extract_all(text, F.lit(pattern if "(" in pattern.replace("(?", "") else f"({pattern})"), F.lit(g))
     value = F.struct(F.split(text, pattern, -1).alias("p"), found(0).alias("m"), (found(group) if group else F.array().cast("array<string>")).alias("g"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, n: acc + n)
 
     def placed(v: Column) -> Column:
-        start = F.struct(F.array().cast("array<struct<s:int,e:int,g:string>>").alias("out"), F.lit(0).alias("at"))
+        return let(F.zip_with(F.slice(v["p"], 1, F.size(v["m"])), v["m"], lambda p, m: F.length(p) + F.length(m)), lambda steps: offsets(v, steps))
 
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.get(v["p"], i))
-            e = s + F.length(F.get(v["m"], i))
-            one = F.struct(s.alias("s"), e.alias("e"), F.get(v["g"] if group else v["m"], i).alias("g"))
-            return F.struct(F.array_append(acc["out"], one).alias("out"), e.alias("at"))
+    def offsets(v: Column, steps: Column) -> Column:
+        """``at[b]`` is where the b-th block of matches starts."""
+        blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(steps, b * BLOCK + 1, BLOCK)))
+        at = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return let(at, lambda a: F.transform(v["m"], lambda m, i: one(v, steps, a, m, i)))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(v["m"]) - 1), start, step, lambda acc: acc["out"])
+    def one(v: Column, steps: Column, at: Column, m: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        e = F.get(at, block) + total(F.slice(steps, block * BLOCK + 1, i - block * BLOCK + 1))
+        return F.struct((e - F.length(m)).alias("s"), e.alias("e"), (F.get(v["g"], i) if group else m).alias("g"))
 
     none = F.array().cast("array<struct<s:int,e:int,g:string>>")
     return F.when(text.rlike(pattern), let(value, placed)).otherwise(none)
@@ -105,18 +143,33 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
+def _between(low: Column, high: Column) -> Column:
+    """The normal probability of an interval, by the lower tails, which are exact to several digits."""
+    return F.when(low > 0, _normal_cdf(-low) - _normal_cdf(-high)).otherwise(_normal_cdf(high) - _normal_cdf(low))
+
+
 def battery(run: Column) -> Column:
-    """A struct of the tests of a run of key characters: ``enc, n, p, runs_z, serial_z``."""
+    """A struct of the tests of a run of key characters: ``enc, n, p_chi, p_runs, p_serial, p``; null where no encoding fits."""
     enc = F.lit(None).cast("int")
     for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
         enc = F.when(run.rlike(pattern), F.lit(i)).otherwise(enc)
-    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+    of = lambda f: F.array(*[F.lit(f(a)) for _, _, a in ENCODINGS])
+    known = F.struct(run.alias("run"), enc.alias("enc"), F.get(of(str), enc).alias("alphabet"), F.get(of(coincidence), enc).alias("equal"), F.get(of(change), enc).alias("change"), F.get(of(identifier_change), enc).alias("mu"))
 
     def tested(v: Column) -> Column:
         k = F.length(v["alphabet"]).cast("double")
-        return let(F.struct(k.alias("k"), F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?!^)", -1), lambda c: F.instr(v["alphabet"], c) - 1).alias("x")), lambda u: _tests(v, u))
+        places = F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?<=.)(?=.)", -1), lambda c: F.instr(v["alphabet"], c) - 1)
+        kind = lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3)
+        kinds = F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?<=.)(?=.)", -1), kind)
+        return let(F.struct(k.alias("k"), places.alias("x"), kinds.alias("kinds")), lambda u: let(_tests(v, u), _combined))
 
-    return let(F.struct(run.alias("run"), enc.alias("enc"), F.get(alphabets, enc).alias("alphabet")), lambda v: F.when(v["enc"].isNotNull(), tested(v)))
+    return let(known, lambda v: F.when(v["enc"].isNotNull(), tested(v)))
+
+
+def _neighbours(a: Column, f) -> Column:  # noqa: ANN001
+    """The sum of a function of each element and the one before."""
+    rest = lambda at: F.slice(a, at, F.size(a) - 1)
+    return F.aggregate(F.zip_with(rest(2), rest(1), f), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def _tests(v: Column, u: Column) -> Column:
@@ -125,34 +178,44 @@ def _tests(v: Column, u: Column) -> Column:
     each = F.aggregate(x, F.array_repeat(F.lit(0), F.length(v["alphabet"])), lambda acc, i: F.transform(acc, lambda c, j: F.when(j == i, c + 1).otherwise(c)))
     squares = F.aggregate(each, F.lit(0.0), lambda acc, c: acc + c * c)
     chi2 = squares * k / n - n
-    # if it were prose: a non-central chi-squared, scaled to a central one of the same mean and spread
-    df, excess = k - 1, n * (k * PROSE_COINCIDENCE - 1)
+    # if it were an identifier: a non-central chi-squared, scaled to a central one of the same mean and spread
+    df, excess = k - 1, n * (k * v["equal"] - 1)
     mean, var = df + excess, 2 * (df + 2 * excess)
     scale, eff = var / (2 * mean), 2 * mean * mean / var
-    wilson = (F.pow(F.greatest(chi2, F.lit(1e-9)) / (scale * eff), F.lit(1 / 3)) - (1 - 2 / (9 * eff))) / F.sqrt(2 / (9 * eff))
-    above = F.transform(x, lambda i: (i.cast("double") >= k / 2).cast("int"))
+    cube = lambda c: (F.pow(F.greatest(c, F.lit(1e-9)) / (scale * eff), F.lit(1 / 3)) - (1 - 2 / (9 * eff))) / F.sqrt(2 / (9 * eff))
+    far = F.abs(chi2 - df)
 
-    def ordered(a: Column) -> Column:
-        n1 = F.aggregate(a, F.lit(0), lambda acc, b: acc + b).cast("double")
-        n2 = n - n1
-        changes = F.aggregate(F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, F.size(a) - 1), lambda b, c: (b != c).cast("int")), F.lit(1), lambda acc, b: acc + b).cast("double")
-        mu = 2 * n1 * n2 / n + 1
-        sd2 = F.greatest((mu - 1) * (mu - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
-        return F.when((n1 == 0) | (n2 == 0), F.lit(99.0)).otherwise((changes - mu) / F.sqrt(sd2))
+    ends = lambda b, a: ((a != b) & (a != 3) & ~((a == 1) & (b == 2))).cast("double")
+    changes = _neighbours(u["kinds"], ends)
+    uniform, mu, sd = (n - 1) * v["change"], (n - 1) * v["mu"], F.sqrt((n - 1) * v["mu"] * (1 - v["mu"]))
+    off = F.abs(changes - uniform) + 0.5
 
     middle = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + i) / n
     spread = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + (i - middle) * (i - middle))
-    lagged = F.aggregate(F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda b, c: (b - middle) * (c - middle)), F.lit(0.0), lambda acc, b: acc + b)
-    serial = F.when(spread <= 0, F.lit(99.0)).otherwise((lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
-    return F.struct(v["enc"].alias("enc"), F.size(x).alias("n"), F.greatest(_normal_cdf(wilson), F.lit(1e-300)).alias("p"), let(above, ordered).alias("runs_z"), serial.alias("serial_z"))
+    lagged = _neighbours(x, lambda b, c: (b - middle) * (c - middle))
+    serial = F.when(spread <= 0, F.sqrt(n)).otherwise(F.abs(lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
+    shift = F.sqrt(n) * SERIAL
+    return F.struct(
+        v["enc"].alias("enc"), F.size(x).alias("n"), _between(cube(df - far), cube(df + far)).alias("p_chi"),
+        _between((uniform - off - mu) / sd, (uniform + off - mu) / sd).alias("p_runs"),
+        _between(-serial - shift, serial - shift).alias("p_serial"),
+    )
+
+
+def _combined(t: Column) -> Column:
+    """Fisher's method: the p-value of a product of three."""
+    logs = [F.log(F.least(F.lit(1.0), F.greatest(t[f"p_{name}"], F.lit(1e-90)))) for name in ("chi", "runs", "serial")]
+    return let(-(logs[0] + logs[1] + logs[2]), lambda x: F.struct(t["enc"].alias("enc"), t["n"].alias("n"), t["p_chi"].alias("p_chi"), t["p_runs"].alias("p_runs"), t["p_serial"].alias("p_serial"), (F.exp(-x) * (1 + x + x * x / 2)).alias("p")))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> Column:
     """An array of structs ``s, e, t``: key-like runs of a text with both letters and digits, and their tests."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = F.filter(matches(text, CANDIDATE), lambda x: x["g"].rlike("[0-9]") & x["g"].rlike("[A-Za-z]"))
+    inner = lambda r: F.transform(matches(r["g"], SEGMENT), lambda x: F.struct((r["s"] + x["s"]).alias("s"), (r["s"] + x["e"]).alias("e"), x["g"].alias("g")))
+    both = lambda runs: F.concat(runs, F.flatten(F.transform(F.filter(runs, lambda r: r["g"].rlike("[+/_-]")), inner)))
+    runs = F.filter(let(matches(text, CANDIDATE), both), lambda x: x["g"].rlike("[0-9]") & x["g"].rlike("[A-Za-z]"))
     tested = F.transform(runs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["g"]).alias("t")))
-    return F.filter(tested, lambda x: x["t"].isNotNull() & (F.abs(x["t"]["runs_z"]) <= ORDER_LIMIT) & (F.abs(x["t"]["serial_z"]) <= ORDER_LIMIT))
+    return F.filter(tested, lambda x: x["t"].isNotNull())
 
 
 def _stratum(n: Column) -> Column:
@@ -164,7 +227,7 @@ def _stratum(n: Column) -> Column:
 
 def _bin(p: Column) -> Column:
     """0 is the bin of the smallest p-values."""
-    return F.greatest(F.lit(0), F.lit(BINS) - 1 - F.floor(-F.log10(p) * BINS_PER_DECADE).cast("int"))
+    return F.greatest(F.lit(0), F.lit(BINS) - 1 - F.floor(-F.log10(F.greatest(p, F.lit(1e-90))) * BINS_PER_DECADE).cast("int"))
 
 
 def thresholds(tested: DataFrame, q: float = Q) -> DataFrame:
@@ -178,7 +241,7 @@ def thresholds(tested: DataFrame, q: float = Q) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
-    """Per row: the id, counts, the base's digest and all spans; ``random`` spans overlap no base span."""
+    """Per row: the id, counts, the base's digest and all spans; of a discovered run's segments only the run is told."""
     d = base(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     found = F.concat("__assign", "__access", "__hex")
     d = d.select("doc_id", F.array_sort(found).alias("base"), F.col("text"))
@@ -193,8 +256,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
 
     # one row of at most len(ENCODINGS) * (len(STRATA) + 1) entries
     d = d.join(F.broadcast(limits), F.lit(True), "left")
-    apart = lambda r, b: (r["e"] <= b["s"]) | (r["s"] >= b["e"])
-    extra = F.filter(F.col("runs"), lambda r: discovered(r) & F.forall(F.col("base"), lambda b: apart(r, b)))
+    within = lambda r, o: (o["s"] <= r["s"]) & (o["e"] >= r["e"]) & (o["e"] - o["s"] > r["e"] - r["s"])
+    extra = let(F.filter(F.col("runs"), discovered), lambda held: F.filter(held, lambda r: ~F.exists(held, lambda o: within(r, o))))
     every = F.array_sort(F.concat("base", F.transform(extra, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("k"), r["e"].alias("e")))))
     named = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]), x["s"], x["e"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
