@@ -8,17 +8,23 @@ locates offending sentences.
 
 The model is fit on at most ``MAX_FIT`` labelled documents of each class (those first by a hash of
 their id: a bounded sample, the same on every run) outside the held-out fold, and then scores every
-row in tasks. Labels, language, source and id are no inputs of a score; rows are scored by text alone.
+row in tasks. Only features that go with the label have a weight: those whose number of toxic documents
+in the sample has a chance of at most ``ALPHA`` (hypergeometric tail). The others would only learn the
+sample by heart. Labels, language, source and id are no inputs of a score; rows are scored by text alone.
+Of the sample, the counts of features that may pass and the places of those that do come to the driver.
 
 Null, empty and wordless texts get the score of a text without sentences: zero. Without labels of both
-classes the weights stay at their start and every score is low. Sentences longer than ``LONG`` words
-are cut, so that texts without punctuation still have instances.
+classes the weights stay at their start and every score is low. Equal texts have equal scores; repeated
+rows are scored each. Sentences longer than ``LONG`` words are cut, so that texts without punctuation still
+have instances; a text of any length is one row of a task. An empty table gives no rows. Ids may be of any
+type; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import table
+from barloom.llm.common import table, written
 
 DIM = 1 << 18
 MAX_FIT = 2_500
@@ -35,6 +41,7 @@ LONG = 40
 EPOCHS, MAX_EPOCHS, STEPS, BATCH = 12, 60, 1_200, 32
 #: The score of a sentence without evidence is about 2e-4, so that long documents don't add up to toxic ones.
 BIAS = -8.5
+ALPHA = 1e-4
 KNOWN = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -56,27 +63,45 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield part[0][0], part[-1][1], [w for _, _, w in part]
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature places of the sentences' distinct words, and where each sentence starts in them."""
+def _tail(a: int, n: int, k: int, total: int) -> float:
+    """The chance of ``a`` or more marked ones among ``n`` drawn of ``total``, ``k`` of which are marked."""
+    log = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    return sum(exp(log(k, i) + log(total - k, n - i) - log(total, n)) for i in range(a, min(n, k) + 1) if n - i <= total - k)
+
+
+def least_toxic(k: int, total: int, alpha: float = ALPHA) -> int:
+    """In how many toxic documents of ``k`` a feature must be at least, were it in no other."""
+    return next((a for a in range(1, k + 1) if _tail(a, a, k, total) <= alpha), k + 1)
+
+
+def goes_with_label(toxic: int, docs: int, k: int, total: int, alpha: float = ALPHA) -> bool:
+    return toxic * total > docs * k and _tail(toxic, docs, k, total) <= alpha
+
+
+def _features_of(text: str) -> set[int]:
+    return {f for w in {w for _, _, words in sentences(text) for w in words} for f in features(w)}
+
+
+def bag(text: str, kept: frozenset[int]) -> tuple[list[int], list[int], int]:
+    """Places of the kept features of each sentence's distinct words, where each sentence with any starts in them, and how many have none."""
     places: list[int] = []
-    at: list[int] = []
-    known: dict[str, tuple[int, ...]] = {}
-    for t in texts:
-        for _, _, words in sentences(t):
-            at.append(len(places))
-            for w in dict.fromkeys(words):
-                f = known.get(w)
-                if f is None:
-                    f = known[w] = features(w)
-                places.extend(f)
-    return np.array(places, dtype=np.int32), np.array(at, dtype=np.int64)
-
-
-def fit(texts: list, labels: np.ndarray, share: float | None = None, rate: float = 0.4, least_docs: int = 3, seed: int = 5) -> np.ndarray:
-    """Weights (the last is the bias, fixed) by stochastic gradients of the noisy-or likelihood, from texts or their bags.
-
-    Step sizes shrink for each weight with its gradients; features of fewer than ``least_docs`` documents
-    keep weight zero. Classes weigh as the geometric mean of being equal and of ``share``, that of class 1.
+    starts: list[int] = []
+    plain = 0
+    for _, _, words in sentences(text):
+        own = [f for w in dict.fromkeys(words) for f in features(w) if f in kept]
+        if own:
+            starts.append(len(places))
+            places += own
+        else:
+            plain += 1
+    return places, starts, plain
+
+
+def fit(bags: list[tuple[list[int], list[int], int]], labels: np.ndarray, share: float | None = None, rate: float = 0.4, seed: int = 5) -> np.ndarray:
+    """Weights (the last is the bias, fixed) by stochastic gradients of the noisy-or likelihood.
+
+    Step sizes shrink for each weight with its gradients. Classes weigh as the geometric mean of being equal
+    and of ``share``, that of class 1.
     """
     w = np.zeros(DIM + 1)
     w[-1] = BIAS
@@ -86,24 +111,21 @@ def fit(texts: list, labels: np.ndarray, share: float | None = None, rate: float
     share = ones / len(labels) if share is None else share
     weight = np.where(labels == 1, np.sqrt(share * 0.5) / ones, np.sqrt((1 - share) * 0.5) / (len(labels) - ones))
     weight *= len(labels) / weight.sum()
-    bags = [_bags([t]) if isinstance(t, str) else t for t in texts]
-    docs_with = np.zeros(DIM, dtype=np.int32)
-    for places, _ in bags:
-        docs_with[np.unique(places)] += 1
-    rare = docs_with < least_docs
+    held = [(np.array(p, dtype=np.int64), np.array(s, dtype=np.int64), n) for p, s, n in bags]
+    alone = np.log1p(-1 / (1 + np.exp(-BIAS)))  # of a sentence without evidence
     squares = np.full(DIM + 1, 1e-2)
     rng = np.random.default_rng(seed)
-    for _ in range(min(MAX_EPOCHS, max(EPOCHS, STEPS * BATCH // len(texts)))):
-        order = rng.permutation(len(texts))
+    for _ in range(min(MAX_EPOCHS, max(EPOCHS, STEPS * BATCH // len(held)))):
+        order = rng.permutation(len(held))
         for lo in range(0, len(order), BATCH):
             at_places, values = [], []
             for i in order[lo : lo + BATCH]:
-                places, at = bags[i]
+                places, at, plain = held[i]
                 if not len(at):
                     continue
                 z = np.add.reduceat(w[places], at) + w[-1]
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                none = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())  # the chance that no sentence is toxic
+                none = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum() + plain * alone)  # the chance that no sentence is toxic
                 d = weight[i] * (p if labels[i] == 0 else -p * none / max(1 - none, 1e-9))
                 at_places.append(places)
                 values.append(np.repeat(d, np.diff(np.append(at, len(places)))))
@@ -111,7 +133,6 @@ def fit(texts: list, labels: np.ndarray, share: float | None = None, rate: float
                 continue
             used, back = np.unique(np.concatenate(at_places), return_inverse=True)
             g = np.bincount(back, weights=np.concatenate(values)) / BATCH
-            g[rare[used]] = 0
             squares[used] += g * g
             w[used] -= rate * g / np.sqrt(squares[used])
     return w
@@ -152,16 +173,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         pick = of_class if pick is None else pick.unionByName(of_class)
     # at most 2 * max_fit rows of ids and labels
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
-    chosen = chosen.select("doc_id", "label", "text").mapInArrow(_bagged, "doc_id long, label int, places array<int>, starts array<long>")
-    rows = sorted(((r["doc_id"], r["label"], (np.array(r["places"], dtype=np.int32), np.array(r["starts"], dtype=np.int64))) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2][0])))
-    return fit([b for _, _, b in rows], np.array([c for _, c, _ in rows], dtype=np.int64), n.get(1, 0) / max(1, sum(n.values())))
+    chosen = written(chosen.select("label", "text"))
+    size = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    k, total = size.get(1, 0), sum(size.values())
+    if k in (0, total):
+        return fit([], np.zeros(0))
+    counts = chosen.mapInArrow(_counted, "place int, docs long, toxic long").groupBy("place").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    may = counts.filter(F.col("toxic") >= least_toxic(k, total)).collect()  # at most DIM rows
+    kept = frozenset(r["place"] for r in may if goes_with_label(r["toxic"], r["docs"], k, total))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [bag(t.as_py(), kept) for t in b.column("text")]
+            lists = [pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), *lists, pa.array([g[2] for g in got], pa.int32())], ["label", "places", "starts", "plain"])
+
+    rows = sorted((r["label"], r["places"], r["starts"], r["plain"]) for r in chosen.mapInArrow(bagged, "label int, places array<int>, starts array<int>, plain int").collect())
+    return fit([r[1:] for r in rows], np.array([r[0] for r in rows]), n.get(1, 0) / sum(n.values()))
 
 
-def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only features of the sample's texts go to the driver."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents, and toxic ones, of a task each feature is."""
+    of = np.zeros((2, DIM), dtype=np.int64)
     for b in batches:
-        got = [_bags([t.as_py()]) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array([p for p, _ in got], pa.list_(pa.int32())), pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", "label", "places", "starts"])
+        for label, t in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
+            of[label, list(_features_of(t.as_py()))] += 1
+    at = np.flatnonzero(of.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(of.sum(axis=0)[at]), pa.array(of[1, at])], ["place", "docs", "toxic"])
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
