@@ -2,17 +2,22 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern. What they name are
 the protected entities. A term discloses an entity if knowing the term leaves little doubt about it:
-over all documents, among the distinct contexts of a term (``WINDOW`` words on either side), the share
-that holds the entity estimates p(entity | term), and ``-log2 p`` is the doubt that is left, in bits.
-Terms seen with an entity in at least ``SUPPORT`` distinct contexts and leaving at most ``DOUBT`` bits
-are generalised to what kind of word they are; those leaving at most ``CERTAIN`` bits are removed.
-Distinct contexts are counted, so copies of a passage count once.
-
-Counts cover all documents: mentions are aggregated before and after the shuffle, and candidates'
-contexts are counted over the whole corpus. The terms go to the tasks as a set of at most
-``MAX_TERMS``; beyond it, words are joined with the table of terms instead, with the same result.
-
-Null texts are empty. Equal texts give equal spans. Rows are never dropped.
+over all documents, among the ``n`` distinct contexts of a term (``WINDOW`` words on either side), ``n_e`` hold
+the entity it is seen with most. ``(n_e + 1) / (n + 2)`` estimates p(entity | term), and ``-log2 p`` is the
+doubt that is left, in bits. The estimate is cautious with few contexts: a term that is seen once, with an
+entity, leaves 0.58 bits. Terms that leave at most ``DOUBT`` bits are generalised to what kind of word they
+are; those leaving at most ``CERTAIN`` bits are removed. Distinct contexts are counted, so copies of a passage
+count once.
+
+Counts cover all documents. A term that is seen near entities in too many contexts without one is ruled
+out by the mentions alone; the contexts of the others are counted over the whole corpus, and a task gives a term
+up when it alone has seen too many of its contexts. Up to ``MAX_TERMS`` terms go to the tasks as a table. Beyond
+it they go as a bitmap of bounded size, and the words that it lets pass are joined with the table of terms, with
+the same result.
+
+Null texts are empty. Equal texts give equal spans. Rows are never dropped, repeated ones neither. A text of any
+length is one row of a task, and patterns take linear time. An empty table gives no rows. Ids may be of any
+type; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -20,22 +25,22 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import table, written
+from barloom.llm.common import Bitmap, joined, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 6
-SUPPORT = 3
-DOUBT = 1.0
+DOUBT = 0.6
 CERTAIN = 0.2
-MAX_TERMS = 50_000
+MAX_TERMS = 100_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,35 +128,41 @@ def _mentions(text: str) -> Iterator[tuple[str, str, int]]:
 class _Contexts:
     """Distinct contexts of terms; a term with more than its limit is given up, told by a row without a context.
 
-    One task that sees more than the limit is enough: the corpus has at least as many.
+    ``limits`` is a table of terms, or a bitmap and one limit for all. One task that sees more than the limit
+    is enough: the corpus has at least as many.
     """
 
     HELD = 300_000
 
-    def __init__(self, limits: dict[str, float] | None) -> None:
-        self.limits, self.of, self.n = limits, {}, 0
+    def __init__(self, limits: dict[str, float] | Bitmap, most: float) -> None:
+        self.live = dict(limits) if isinstance(limits, dict) else limits
+        self.most, self.of, self.n, self.done = most, {}, 0, set()
 
     def add(self, text: str) -> None:
-        if self.limits is not None and self.limits.keys().isdisjoint({w.lower() for w in WORD.findall(text)}):
+        words = {w.lower() for w in WORD.findall(text)}
+        wanted = words & self.live.keys() if isinstance(self.live, dict) else {w for w in words if w in self.live and w not in self.done}
+        if not wanted:
             return
         terms = _terms(text, base_spans(text))
         for i, (t, _, _) in enumerate(terms):
-            if self.limits is not None and t not in self.limits:
+            if t not in wanted:
                 continue
             seen = self.of.setdefault(t, set())
-            if seen is not None:
-                before = len(seen)
-                seen.add(_context(terms, i))
-                self.n += len(seen) - before
-                if self.limits is not None and len(seen) > self.limits[t]:
-                    self.n -= len(seen)
-                    self.of[t] = None
+            before = len(seen)
+            seen.add(_context(terms, i))
+            self.n += len(seen) - before
+            if len(seen) > (self.live[t] if isinstance(self.live, dict) else self.most):
+                self.n -= len(seen)
+                self.of[t] = {None}
+                self.done.add(t)
+                wanted.discard(t)
+                if isinstance(self.live, dict):
+                    del self.live[t]
 
     def rows(self) -> list[tuple[str, int | None]]:
         """All that is held; terms given up stay so."""
-        out = [(t, c) for t, seen in self.of.items() for c in (seen if seen is not None else (None,))]
-        self.of = {t: None for t, seen in self.of.items() if seen is None} if self.limits is not None else {}
-        self.n = 0
+        out = [(t, c) for t, seen in self.of.items() for c in seen]
+        self.of, self.n = {}, 0
         return out
 
 
@@ -180,11 +191,12 @@ def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | None) -> DataFrame:
-    """``(term, context)`` of the terms with a limit, or of all; see :class:`_Contexts`."""
+def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | Bitmap, most: float) -> DataFrame:
+    """``(term, context)`` of the terms; see :class:`_Contexts`."""
+    shared = docs.sparkSession.sparkContext.broadcast(limits)  # at most MAX_TERMS terms or MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Contexts(limits)
+        held = _Contexts(shared.value, most)
         for b in batches:
             for t in b.column(0):
                 held.add(t.as_py() or "")
@@ -195,50 +207,77 @@ def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | None) -
     return docs.select(F.col(text_col)).mapInArrow(run, "term string, context long")
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, doubt: float = DOUBT, max_terms: int = MAX_TERMS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", doubt: float = DOUBT, max_terms: int = MAX_TERMS) -> DataFrame:
     """``(term, bits)``: the doubt that the term leaves about the entity it discloses most."""
-    with_entity = _flat(docs, text_col).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    candidates = written(with_entity.groupBy("term").agg(F.max("n_e").alias("n_e")))
+    bits = lambda n_e, n: F.log2(n + 2) - F.log2(n_e + 1)
+    limit = lambda n_e: 2.0**doubt * (n_e + 1) - 2
+    mentions = written(_flat(docs, text_col).distinct())
+    most_seen = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_e")).groupBy("term").agg(F.max("n_e").alias("n_e"))
+    near_any = mentions.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    candidates = written(most_seen.join(near_any, "term").filter(F.col("n") <= limit(F.col("n_e"))).select("term", "n_e"))
     got = candidates.limit(max_terms + 1).collect()
     if not got:
         return candidates.select("term", F.lit(0.0).alias("bits"))
-    limits = {r["term"]: r["n_e"] * 2.0**doubt for r in got} if len(got) <= max_terms else None
-    seen = _contexts(docs, text_col, limits)
-    if limits is None:
+    if len(got) <= max_terms:
+        limits: dict[str, float] | Bitmap = {r["term"]: limit(r["n_e"]) for r in got}
+        most = 0.0
+    else:
+        limits, most = Bitmap.of(candidates, "term"), limit(candidates.agg(F.max("n_e")).first()[0])
+    seen = _contexts(docs, text_col, limits, most)
+    if len(got) > max_terms:
         seen = seen.join(candidates.select("term"), "term", "left_semi")
     of_term = seen.distinct().groupBy("term").agg(F.count("context").alias("n"), F.bool_or(F.col("context").isNull()).alias("many")).filter(~F.col("many"))
-    bits = candidates.join(of_term, "term").select("term", (F.log2(F.col("n")) - F.log2(F.col("n_e"))).alias("bits"))
-    return written(bits.filter(F.col("bits") <= doubt))
-
-
-def _few(terms: DataFrame, most: int) -> set[str] | None:
-    """The terms, if they are at most so many."""
-    got = [r[0] for r in terms.select("term").limit(most + 1).collect()]
-    return set(got) if len(got) <= most else None
-
-
-def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, max_terms: int) -> tuple[DataFrame, set[str] | None]:
-    """``docs`` and the set of terms; where they are too many, ``docs`` with a column ``__found`` of structs ``term, bits`` of those in its text."""
-    few = _few(terms, max_terms)
-    if few is not None:
-        return docs, few
-    key = F.xxhash64(F.coalesce(text_col, F.lit("")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = list({w.lower() for w in WORD.findall(t.as_py() or "")})
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int64()), pa.array(words, pa.string())], ["__key", "term"])
-
-    words = docs.select(key.alias("__key"), F.col(text_col)).mapInArrow(run, "__key long, term string")
-    found = words.distinct().join(terms.select("term", "bits"), "term").groupBy("__key").agg(F.collect_list(F.struct("term", "bits")).alias("__found"))
-    return docs.withColumn("__key", key).join(found, "__key", "left").drop("__key"), None
-
-
-def spans_of(text: str, terms: set[str] | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    found = candidates.join(of_term, "term").select("term", bits(F.col("n_e"), F.col("n")).alias("bits"))
+    return written(found.filter(F.col("bits") <= doubt))
+
+
+class Terms:
+    """The disclosing terms as the tasks get them: a table of ``bits`` of at most ``most`` terms, else a bitmap and, by text, those found."""
+
+    def __init__(self, docs: DataFrame, terms: DataFrame, text_col: str, most: int) -> None:
+        got = terms.limit(most + 1).collect()
+        self.few = {r["term"]: r["bits"] for r in got} if len(got) <= most else None
+        self.shared = docs.sparkSession.sparkContext.broadcast(self.few)
+        self.found = None
+        self.key, self.column = f"__{uuid.uuid4().hex}", f"__{uuid.uuid4().hex}"
+        if self.few is None:
+            self.found = written(self._found(docs, terms, text_col))
+
+    def _found(self, docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+        bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(terms, "term"))
+        names = (self.key, "term")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            may = bitmap.value
+            for b in batches:
+                rows = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for w in {w.lower() for w in WORD.findall(t.as_py() or "")} if w in may]
+                columns = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string()), strict=True)], list(names))
+
+        words = docs.select(self._key(text_col), F.col(text_col)).mapInArrow(run, f"`{self.key}` long, term string")
+        words = words.groupBy(*names).agg(F.count("*").alias("n")).join(terms, "term")
+        return words.groupBy(self.key).agg(F.max("n").alias("n"), F.collect_list(F.struct("term", "bits")).alias(self.column))
+
+    def _key(self, text_col: str) -> Column:
+        return F.xxhash64(F.coalesce(text_col, F.lit(""))).alias(self.key)
+
+    def beside(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """``docs`` with a column of the structs ``term, bits`` of those in each text, null where the tasks have the table."""
+        if self.found is None:
+            return docs.withColumn(self.column, F.lit(None).cast("array<struct<term:string,bits:double>>"))
+        packed = docs.select(F.struct("*").alias("row"), self._key(text_col))  # so that no name of ``docs`` clashes
+        return joined(packed, self.found, self.key, "left").select("row.*", self.column)
+
+    @staticmethod
+    def of(shared, found: list[dict] | None) -> dict[str, float]:  # noqa: ANN001
+        """The bits of the terms for one text."""
+        return shared.value if shared.value is not None else {x["term"]: x["bits"] for x in (found if found is not None else ())}
+
+
+def spans_of(text: str, terms: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and the spans of disclosing terms (kind 4) of a text."""
     base = base_spans(text)
-    if not terms or terms.isdisjoint(w.lower() for w in WORD.findall(text)):
+    if not terms or terms.keys().isdisjoint([w.lower() for w in WORD.findall(text)]):
         return base, []
     return base, [(len(KINDS), s, e) for t, s, e in _terms(text, base) if t in terms]
 
@@ -249,27 +288,26 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
     """Per row: the id, counts of each kind, the base's digest and all spans."""
-    terms = disclosing_terms(docs, text_col, max_terms=max_terms)
-    with_found, few = _with_terms(docs, terms, id_col, text_col, max_terms)
-    names = ("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    terms = Terms(d, disclosing_terms(d, "text", max_terms=max_terms), "text", max_terms)
+    names, shared = ("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"), terms.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t in enumerate(b.column(1)):
-                base, more = spans_of(t.as_py() or "", few if few is not None else {x["term"] for x in b.column(2)[i].as_py() or ()})
+            for t, found in zip(b.column(1), b.column(2), strict=True):
+                base, more = spans_of(t.as_py() or "", Terms.of(shared, found.as_py()))
                 n = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
                 rows.append((*n, hashlib.sha256(named(base).encode()).hexdigest(), named(base + more)))
             columns = zip(*rows, strict=True) if rows else [()] * 6
             kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], list(names))
 
-    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(["__found"] if few is None else [])]
-    kind = docs.select(id_col).dtypes[0][1]
-    return with_found.select(*cols).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    rows = terms.beside(d, "text").select("doc_id", "text", terms.column)
+    return rows.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
-def sanitised_text(text: str, base: list, more: list, bits: dict[str, float] | None = None) -> str:
+def sanitised_text(text: str, base: list, more: list, bits: dict[str, float]) -> str:
     """Base spans become their kind; disclosing terms become the kind of word they are, or go."""
     cut, at = [], 0
     for k, s, e in sorted(base + more, key=lambda x: (x[1], -x[2])):
@@ -280,7 +318,7 @@ def sanitised_text(text: str, base: list, more: list, bits: dict[str, float] | N
         cut.append(text[at:s])
         if k < len(KINDS):
             cut.append(f"[{KINDS[k].upper()}]")
-        elif bits is None or bits.get(text[s:e].lower(), 0.0) > CERTAIN:
+        elif bits[text[s:e].lower()] > CERTAIN:
             w = text[s:e]
             cut.append("[NUMBER]" if any(c.isdigit() for c in w) else "[NAME]" if w[:1].isupper() else "[TERM]")
         at = e
@@ -289,28 +327,22 @@ def sanitised_text(text: str, base: list, more: list, bits: dict[str, float] | N
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", max_terms: int = MAX_TERMS) -> DataFrame:
     """``docs`` with sanitised texts; ``chars_col``, where it exists, is counted anew; null texts stay null."""
-    terms = disclosing_terms(docs, text_col, max_terms=max_terms)
-    certain = terms.filter(F.col("bits") <= CERTAIN).select("term")
-    with_found, few = _with_terms(docs, terms, id_col, text_col, max_terms)
-    gone = {r[0] for r in certain.collect()} if few is not None else None
-    bits = None if gone is None else {t: 0.0 if t in gone else 1.0 for t in few}
-
-    @F.pandas_udf("string")
-    def clean(text):  # noqa: ANN001, ANN202
-        return text.map(lambda t: None if t is None else sanitised_text(t, *spans_of(t, few), bits))
+    d = docs.select(F.col(text_col).alias("text"))
+    terms = Terms(d, disclosing_terms(d, "text", max_terms=max_terms), "text", max_terms)
+    shared = terms.shared
 
     @F.pandas_udf("string")
-    def clean_found(text, found):  # noqa: ANN001, ANN202
+    def clean(text, found):  # noqa: ANN001, ANN202
         import pandas as pd
 
         def one(t: str | None, f) -> str | None:  # noqa: ANN001
-            doubt = {x["term"]: x["bits"] for x in f} if f is not None else {}
-            return None if t is None else sanitised_text(t, *spans_of(t, set(doubt)), doubt)
+            bits = Terms.of(shared, f)
+            return None if t is None else sanitised_text(t, *spans_of(t, bits), bits)
 
         return pd.Series([one(t, f) for t, f in zip(text, found, strict=True)], dtype=object)
 
-    new = clean(F.col(text_col)) if few is not None else clean_found(F.col(text_col), F.col("__found"))
-    out = with_found.withColumn(text_col, new).drop("__found")
+    out = terms.beside(docs, text_col)
+    out = out.withColumn(text_col, clean(F.col(text_col), F.col(terms.column))).drop(terms.column)
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return out.select(*docs.columns)
@@ -322,4 +354,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doubt_bits(n_with_entity: int, n: int) -> float:
     """What is left unknown of an entity, in bits, by a term with so many contexts, so many of them with it."""
-    return -math.log2(n_with_entity / n)
+    return -math.log2((n_with_entity + 1) / (n + 2))
