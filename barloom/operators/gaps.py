@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us
 from barloom.operators.runs import with_next, with_prev, with_running
+from barloom.sources.scratch import cut
 
 Keys = tuple[str, ...]
 #: How many intervals beyond one a step may take within a day and across midnight.
@@ -46,28 +47,43 @@ def statistics(gaps: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
     )
 
 
+def largest(gaps: DataFrame, n: int, keys: Keys = ("symbol",)) -> DataFrame:
+    """The ``n`` longest gaps; ties go by key and start."""
+    return gaps.orderBy(F.desc("duration_us"), *keys, "start_us").limit(n)
+
+
 def coalesce_ranges(ranges: DataFrame, step: int, keys: Keys = ("symbol",)) -> DataFrame:
     """``keys, start_us, end_us``: ranges merged where the next starts no later than two intervals after the ones before end."""
     order = ["start_us", "end_us"]
     marked = with_running(ranges.select(*keys, *order), step, keys, "start_us", order, "__reach", F.col("end_us"), "max", inclusive=False)
     new = (F.col("__reach").isNull() | (F.col("start_us") > F.col("__reach") + 2 * step)).cast("int")
-    islands = with_running(marked, step, keys, "start_us", order, "__island", new, "sum")
+    marked = cut(marked.select(*keys, *order, new.alias("__new")))
+    islands = with_running(marked, step, keys, "start_us", order, "__island", F.col("__new"), "sum")
     return islands.groupBy(*keys, "__island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__island")
 
 
+def within(df: DataFrame, ranges: DataFrame, keys: Keys = ("symbol",), at: str = "open_us", start: str = "from_us", end: str = "to_us") -> DataFrame:
+    """Rows in any of the half-open ranges of their key, as often as they are in one; matched by key and day, so a series isn't compared with all of its ranges."""
+    days = F.sequence(day_us(F.col(start)), day_us(F.greatest(start, F.col(end) - 1)), F.lit(DAY))
+    by_day = ranges.filter(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("__from"), F.col(end).alias("__to"), F.explode(days).alias("__day"))
+    near = df.withColumn("__day", day_us(F.col(at))).join(by_day, [*keys, "__day"])
+    return near.filter((F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to"))).select(*df.columns)
+
+
 def missing_segments(df: DataFrame, wanted: DataFrame, step: int, thresholds: tuple[float, float] = PLAN, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
     """What is missing of the ranges ``wanted`` (one ``from_us, to_us`` a key): before, between and after the bars, coalesced.
 
-    A key without bars misses its whole range.
+    A key without bars misses its whole range. Bars and ranges are matched by key and day, so that a long
+    series is not joined on its key alone.
     """
     bounds = wanted.select(*keys, "from_us", "to_us")
-    bars = df.select(*keys, F.col(time).alias("__t")).join(bounds, list(keys)).filter((F.col("__t") >= F.col("from_us")) & (F.col("__t") < F.col("to_us")))
+    bars = within(df.select(*keys, F.col(time).alias("__t")), bounds, keys, "__t")
     ends = bounds.select(*keys, F.explode(F.array(F.col("from_us") - step, F.col("to_us"))).alias("__t"))  # a bar before the range and one at its end
     every = bars.select(*keys, "__t", F.lit(False).alias("__end")).unionByName(ends.withColumn("__end", F.lit(True)))
     steps = with_next(every, step, keys, "__t", ("__end",)).select(*keys, F.col("__t").alias("__a"), F.col("__next").alias("__b"), (F.col("__end") | F.col("__next___end")).alias("__at_end"))
     limit = F.when(F.col("__at_end"), F.lit(step)).otherwise(_limit(F.col("__a"), F.col("__b"), step, thresholds))
     missing = steps.filter(F.col("__b") - F.col("__a") > limit).select(*keys, (F.col("__a") + step).alias("start_us"), F.col("__b").alias("end_us"))
-    return coalesce_ranges(missing, step, keys)
+    return coalesce_ranges(cut(missing), step, keys)
 
 
 def grid(ranges: DataFrame, step: int, time: str = "open_us") -> DataFrame:

@@ -3,7 +3,8 @@
 A window keyed by the series alone would bring a whole series into one task, however long. Here a series
 is cut into buckets of ``BUCKET`` steps of time: the window runs within (series, bucket), and what crosses
 buckets comes from a table with one row a bucket, over which a second window runs. That table is
-``BUCKET`` times smaller than the series, and joined back on (series, bucket).
+``BUCKET`` times smaller than the series, and joined back on (series, bucket). Both levels read the same
+exchange on (series, bucket), so the series is read and shuffled once.
 """
 
 from __future__ import annotations
@@ -21,47 +22,58 @@ def bucketed(df: DataFrame, time: str, step: int, size: int = BUCKET) -> DataFra
     return df.withColumn("__bucket", F.floor(F.col(time) / (step * size)).cast("long"))
 
 
+def dealt(df: DataFrame, time: str, step: int, keys: Keys, size: int = BUCKET) -> DataFrame:
+    """The same, shuffled once on (series, bucket): the two levels then share that exchange."""
+    return bucketed(df, time, step, size).repartition(*keys, "__bucket")
+
+
 def with_next(df: DataFrame, step: int, keys: Keys, time: str, carry: Keys = (), size: int = BUCKET) -> DataFrame:
     """``df`` with ``__next``, the time of the row after each, null for the last; ``__next_<c>`` for each carried column.
 
     Of rows that share a time, the others come first in no stated order: a step of 0.
     """
-    d = bucketed(df, time, step, size)
+    d = dealt(df, time, step, keys, size)
     w = W.partitionBy(*keys, "__bucket").orderBy(time)
-    d = d.withColumn("__in", F.lead(F.struct(time, *carry)).over(w))
+    rows = d.withColumn("__in", F.lead(F.struct(time, *carry)).over(w))
     heads = d.groupBy(*keys, "__bucket").agg(F.min(F.struct(time, *carry)).alias("__head"))
     after = heads.select(*keys, "__bucket", F.lead("__head").over(W.partitionBy(*keys).orderBy("__bucket")).alias("__out"))
     nxt = F.coalesce("__in", "__out")
-    d = d.join(after, [*keys, "__bucket"])
-    return d.withColumns({"__next": nxt[time]} | {f"__next_{c}": nxt[c] for c in carry}).drop("__bucket", "__in", "__out")
+    return rows.join(after, [*keys, "__bucket"]).withColumns({"__next": nxt[time]} | {f"__next_{c}": nxt[c] for c in carry}).drop("__bucket", "__in", "__out")
 
 
 def with_prev(df: DataFrame, step: int, keys: Keys, time: str, size: int = BUCKET) -> DataFrame:
     """``df`` with ``__prev``, the time of the row before each, null for the first."""
-    d = bucketed(df, time, step, size)
-    d = d.withColumn("__in", F.lag(time).over(W.partitionBy(*keys, "__bucket").orderBy(time)))
+    d = dealt(df, time, step, keys, size)
+    rows = d.withColumn("__in", F.lag(time).over(W.partitionBy(*keys, "__bucket").orderBy(time)))
     tails = d.groupBy(*keys, "__bucket").agg(F.max(time).alias("__tail"))
     before = tails.select(*keys, "__bucket", F.lag("__tail").over(W.partitionBy(*keys).orderBy("__bucket")).alias("__out"))
-    d = d.join(before, [*keys, "__bucket"])
-    return d.withColumn("__prev", F.coalesce("__in", "__out")).drop("__bucket", "__in", "__out")
+    return rows.join(before, [*keys, "__bucket"]).withColumn("__prev", F.coalesce("__in", "__out")).drop("__bucket", "__in", "__out")
+
+
+def with_prev_of(df: DataFrame, keys: Keys, order: str, value: str, size: int = BUCKET) -> DataFrame:
+    """``df`` with ``__prev``, the value of the row before each in the order of a whole-numbered column, null for the first."""
+    d = dealt(df, order, 1, keys, size)
+    rows = d.withColumn("__in", F.lag(F.struct(value)).over(W.partitionBy(*keys, "__bucket").orderBy(order)))
+    tails = d.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(value), order).alias("__tail"))
+    before = tails.select(*keys, "__bucket", F.lag("__tail").over(W.partitionBy(*keys).orderBy("__bucket")).alias("__out"))
+    return rows.join(before, [*keys, "__bucket"]).withColumn("__prev", F.coalesce("__in", "__out")[value]).drop("__bucket", "__in", "__out")
 
 
 def with_running(df: DataFrame, step: int, keys: Keys, time: str, order: list[str], name: str, of: Column, how: str, inclusive: bool = True, size: int = BUCKET) -> DataFrame:
     """``df`` with ``name``, the running ``max`` or ``sum`` of a column over the rows until each (or before it)."""
     agg = {"max": F.max, "sum": F.sum}[how]
-    d = bucketed(df, time, step, size).withColumn("__of", of)
+    d = dealt(df.withColumn("__of", of), time, step, keys, size)
     w = W.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    d = d.withColumn("__in", agg("__of").over(w))
+    rows = d.withColumn("__in", agg("__of").over(w))
     totals = d.groupBy(*keys, "__bucket").agg(agg("__of").alias("__t"))
     before = totals.select(*keys, "__bucket", agg("__t").over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)).alias("__out"))
-    d = d.join(before, [*keys, "__bucket"])
     both = F.greatest("__in", "__out") if how == "max" else F.coalesce(F.col("__in") + F.col("__out"), "__in", "__out")  # greatest skips nulls
-    return d.withColumn(name, both).drop("__bucket", "__of", "__in", "__out")
+    return rows.join(before, [*keys, "__bucket"]).withColumn(name, both).drop("__bucket", "__of", "__in", "__out")
 
 
 def filled(df: DataFrame, step: int, keys: Keys, time: str, columns: list[str], forward: bool = True, size: int = BUCKET) -> DataFrame:
     """``df`` with the nulls of the columns filled by the last value before (or the next one after)."""
-    d = bucketed(df, time, step, size)
+    d = dealt(df.select(*keys, time, *columns), time, step, keys, size)
     pick, best = (F.last, F.max_by) if forward else (F.first, F.min_by)
     span = (W.unboundedPreceding, 0) if forward else (0, W.unboundedFollowing)
     others = (W.unboundedPreceding, -1) if forward else (1, W.unboundedFollowing)
@@ -69,8 +81,8 @@ def filled(df: DataFrame, step: int, keys: Keys, time: str, columns: list[str],
     ends = d.groupBy(*keys, "__bucket").agg(*[best(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns])
     over = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(*others)
     beyond = ends.select(*keys, "__bucket", *[pick(c, ignorenulls=True).over(over).alias(f"__{c}") for c in columns])
-    d = d.select(*keys, time, "__bucket", *[pick(c, ignorenulls=True).over(w).alias(c) for c in columns])
-    return d.join(beyond, [*keys, "__bucket"]).select(*keys, time, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
+    rows = d.select(*keys, time, "__bucket", *[pick(c, ignorenulls=True).over(w).alias(c) for c in columns])
+    return rows.join(beyond, [*keys, "__bucket"]).select(*keys, time, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
 
 
 def with_context(df: DataFrame, step: int, keys: Keys, time: str, back: int, size: int = BUCKET) -> DataFrame:

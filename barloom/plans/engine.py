@@ -13,11 +13,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.intervals import DAY, day_us, ensure_utc, interval_us, resolve_range
+from barloom.functions.intervals import ensure_utc, interval_us, resolve_range
+from barloom.functions.market import COINM, USDM, check_subscriptions
 from barloom.operators import gaps, grid
-from barloom.operators.merge import priority_merge
+from barloom.operators.merge import diagonal_union, keep_first, priority_merge
 from barloom.operators.schema import SOURCE, with_source
 from barloom.operators.validate import ValidationError
+from barloom.sources.scratch import cut
+from barloom.streaming import live
+from barloom.streaming.live import StreamConfig
 
 
 def in_range(df: DataFrame, column: str, start: Column, end: Column, closed: bool = False, strict: bool = False) -> DataFrame:
@@ -52,12 +56,9 @@ class Config:
     loaders_off: frozenset[str] = field(default_factory=frozenset)
 
 
-def restrict(df: DataFrame, ranges: DataFrame, step: int, keys: tuple[str, ...] = ("symbol",), at: str = "open_us") -> DataFrame:
-    """Rows within any of the ranges ``start_us, end_us`` of their key; ranges are matched by day, so a series isn't compared with all of its ranges."""
-    days = F.sequence(day_us(F.col("start_us")), day_us(F.greatest("start_us", F.col("end_us") - 1)), F.lit(DAY))
-    by_day = ranges.select(*keys, "start_us", "end_us", F.explode(days).alias("__day"))
-    near = df.withColumn("__day", day_us(F.col(at))).join(by_day, [*keys, "__day"])
-    return near.filter((F.col(at) >= F.col("start_us")) & (F.col(at) < F.col("end_us"))).select(*df.columns)
+def restrict(df: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("symbol",), at: str = "open_us") -> DataFrame:
+    """Rows within the ranges ``start_us, end_us`` of their key, see :func:`barloom.operators.gaps.within`."""
+    return gaps.within(df, ranges, keys, at, "start_us", "end_us")
 
 
 class Engine:
@@ -72,24 +73,26 @@ class Engine:
 
         Each source fills what the ones before lack: before, between and after their bars, by the
         thresholds of the plan. Where two have a bar, priority decides. With ``regular`` every bar of the
-        range is a row; missing ones are null or filled.
+        range is a row; missing ones are null or filled. Without it, what the first source has of a symbol
+        is enough for that symbol; the symbols that it lacks go on to the next sources.
+
+        What is merged so far is written to the shared folder after each source but the last, so a source is
+        read once and the plan grows by one scan a source.
         """
         step, c = interval_us(interval), self.config
         loaders = [x for x in self.loaders if enforce_source in (None, x.name)]
         if not loaders:
             raise ValidationError("no such source", source=enforce_source)
-        found: list[DataFrame] = []
+        whole = ranges.select("symbol", F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"))
         merged: DataFrame | None = None
         for i, loader in enumerate(loaders):
-            if merged is None:
-                wanted = ranges.select("symbol", F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"))
-            else:
-                wanted = gaps.missing_segments(merged, ranges, step, c.thresholds)
-            got = restrict(with_source(loader.load(self.spark, wanted), loader.name), wanted, step)
-            found.append(got)
-            merged = priority_merge(found)
-            if not c.regular and i == 0 and len(loaders) > 1 and not merged.isEmpty():
-                break  # what the first source has is enough
+            if i == 1 and not c.regular:
+                ranges = cut(ranges.join(merged.select("symbol").distinct(), "symbol", "left_anti"))
+            wanted = whole if merged is None else gaps.missing_segments(merged, ranges, step, c.thresholds)
+            got = restrict(with_source(loader.load(self.spark, wanted), loader.name), wanted)
+            merged = priority_merge([got] if merged is None else [merged, got])
+            if i + 1 < len(loaders):
+                merged = cut(merged)
         if c.regular:
             merged = grid.reindex(merged, ranges, step, c.fill)
         return merged if c.with_source else merged.drop(SOURCE)
@@ -100,10 +103,51 @@ class Engine:
         r = resolve_range(start_us, end_us, days, now, interval_us(interval))
         began = time.time()
         ranges = self.spark.createDataFrame([(s, r.start_us, r.end_us) for s in symbols], "symbol string, from_us long, to_us long")
-        df = self.get_data(ranges, interval, **options)
+        df = cut(self.get_data(ranges, interval, **options))
         return df, time.time() - began, df.count()
 
 
+    def get_funding(self, market: str, load: Callable[[SparkSession], DataFrame], start_us: int, end_us: int, cached: DataFrame | None = None) -> DataFrame:
+        """Funding rates ``symbol, funding_us, funding_rate`` of a closed range: of the cache, and of the source those times that it lacks; futures only."""
+        if market not in (USDM, COINM):
+            raise ValidationError("only futures have funding rates", market=market)
+        fresh = in_range(load(self.spark), "funding_us", F.lit(start_us), F.lit(end_us), closed=True)
+        frames = [with_source(fresh, "REST")] if cached is None else [with_source(in_range(cached, "funding_us", F.lit(start_us), F.lit(end_us), closed=True), "CACHE"), with_source(fresh, "REST")]
+        every = diagonal_union([f.withColumn("__first", F.lit(i)) for i, f in enumerate(frames)])
+        return keep_first(every, ("symbol", "funding_us"), ["__first"]).drop("__first")
+
+    def create_stream(self, market: str, symbols: list[str], path: str, config: StreamConfig | None = None, **options: object) -> DataFrame:
+        """A stream of the symbols' bars, gated, without duplicates, with rows that tell of gaps; ``path`` has the messages."""
+        names = check_subscriptions(market, symbols)
+        raw = self.spark.readStream.format("barloom_updates").options(path=path, **{k: str(v) for k, v in options.items()}).load()
+        c = config or StreamConfig()
+        return live.reconcile(live.gate(raw.filter(F.col("symbol").isin(names)), c), c)
+
+    def run_stream(self, stream: DataFrame, history: DataFrame, interval: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+        """Hands every micro-batch of a stream, backfilled from ``history``, to a sink, until what is there now has been read."""
+        run = live.to_table(history, interval_us(interval), sink)
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Loaders by name, for engines that are made from names.
+LOADERS: dict[str, Loader] = {}
+
+
+def register(loader: Loader, replace: bool = False) -> Loader:
+    if loader.name in LOADERS and not replace:
+        raise ValidationError("there is a loader of this name", name=loader.name)
+    LOADERS[loader.name] = loader
+    return loader
+
+
+def create(spark: SparkSession, *names: str, config: Config | None = None) -> Engine:
+    """An engine of registered loaders, in the order of their names."""
+    missing = [n for n in names if n not in LOADERS]
+    if missing:
+        raise ValidationError("no such loader", missing=missing)
+    return Engine(spark, [LOADERS[n] for n in names], config)
+
+
 def discover() -> dict[str, object]:
     """What the library offers, for tools."""
     from barloom.functions import intervals, market

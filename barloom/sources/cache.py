@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us
+from barloom.operators.gaps import STRICT, missing_segments
 from barloom.operators.merge import priority_merge
 from barloom.operators.schema import SOURCE
-from barloom.sources.scratch import scratch_dir
+from barloom.sources.scratch import cut
 
 PARTITION = ("market", "symbol", "interval", "date")
 SCHEMA = "open_us bigint, open double, high double, low double, close double, volume double, trades bigint, _data_source string, market string, symbol string, interval string, date date"
@@ -26,17 +27,10 @@ def write(bars: DataFrame, path: str, merge: bool = True) -> None:
         days = new.select(*PARTITION).distinct()
         kept = old.join(days, list(PARTITION), "left_semi")
         new = priority_merge([kept, new], keys=PARTITION)
-        new = _cut(new)
+        new = cut(new)  # merged days are written elsewhere before they replace what they were read from
     new.repartition(*PARTITION).sortWithinPartitions(*PARTITION, "open_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The merged days are written elsewhere before they replace what they were read from."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -60,3 +54,14 @@ def scan_valid(spark: SparkSession, path: str, catalog: DataFrame, **range_: obj
     return scan(spark, path, **range_).join(bad, ["symbol", "date"], "left_anti")
 
 
+def scan_missing(spark: SparkSession, path: str, ranges: DataFrame, step: int, thresholds: tuple[float, float] = STRICT, **range_: object) -> tuple[DataFrame, DataFrame]:
+    """A closed scan and what is missing of the ranges ``symbol, from_us, to_us``."""
+    found = scan(spark, path, closed=True, **range_)
+    return found, missing_segments(found, ranges, step, thresholds)
+
+
+def scan_catalogued(spark: SparkSession, path: str, catalog: DataFrame, **range_: object) -> DataFrame:
+    """A scan of the days that the catalogue has and doesn't call invalid: days are told by the catalogue, not by listing."""
+    good = catalog.filter(~F.coalesce("is_invalid", F.lit(False))) if "is_invalid" in catalog.columns else catalog
+    days = good.select("symbol", F.timestamp_micros("day_us").cast("date").alias("date")).distinct()
+    return scan(spark, path, **range_).join(days, ["symbol", "date"], "left_semi")

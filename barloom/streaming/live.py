@@ -73,18 +73,19 @@ class FifoDedup:
 
 
 RECONCILED = UPDATE + ", kind string, gap_start_us long, gap_end_us long"
-STATE = "last_us long, filled_at_us long, seen array<long>"
+STATE = "last_us long, filled_at_us long, from_us long, until_us long, seen array<long>"
 
 
 def reconcile(df: DataFrame, config: StreamConfig = StreamConfig()) -> DataFrame:
     """Bars without duplicates, each gap told by a row of kind ``gap`` before the bar that shows it.
 
-    The last confirmed time never goes back. After a gap, another one within the cooldown (by open time)
-    is let pass in silence. Prices that are NaN and bars without volume pass through.
+    The last confirmed time never goes back. Within the cooldown after a gap (by open time) another one is
+    kept, and told with the first bar after the cooldown; gaps kept together are told as one. Prices that are
+    NaN and bars without volume pass through.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, filled, seen = state.get if state.exists else (None, None, [])
+        last, filled, start, until, seen = state.get if state.exists else (None, None, None, None, [])
         step = INTERVAL_SECONDS.get(key[1], 0) * 1_000_000
         dedup = FifoDedup(config.capacity, list(seen))
         rows = pd.concat(list(parts)).sort_values(["open_us", "close_us"], kind="stable")
@@ -93,12 +94,14 @@ def reconcile(df: DataFrame, config: StreamConfig = StreamConfig()) -> DataFrame
             t = int(r["open_us"])
             if not dedup.is_new(t):
                 continue
-            if last is not None and step and t - last > step and (filled is None or t - filled >= config.cooldown_us):
-                out.append({"symbol": key[0], "interval": key[1], "open_us": t, "kind": "gap", "gap_start_us": last + step, "gap_end_us": min(t, last + step * config.most)})
-                filled = t
+            if last is not None and step and t - last > step:
+                start, until = last + step if start is None else start, t
+            if start is not None and (filled is None or t - filled >= config.cooldown_us):
+                out.append({"symbol": key[0], "interval": key[1], "open_us": t, "kind": "gap", "gap_start_us": start, "gap_end_us": min(until, start + step * (config.most - 1))})
+                filled, start, until = t, None, None
             out.append(r | {"kind": "bar"})
             last = t if last is None else max(last, t)
-        state.update((last, filled, list(dedup.held)))
+        state.update((last, filled, start, until, list(dedup.held)))
         names = [c.split()[0] for c in RECONCILED.split(", ")]
         yield pd.DataFrame(out).reindex(columns=names) if out else pd.DataFrame(columns=names)
 
@@ -106,7 +109,7 @@ def reconcile(df: DataFrame, config: StreamConfig = StreamConfig()) -> DataFrame
 
 
 def backfill(batch: DataFrame, history: DataFrame, step: int) -> DataFrame:
-    """A micro-batch's bars and, for its gaps, the bars that ``history`` has: tagged, closed, ordered by the reader on ``open_us``.
+    """A micro-batch's bars and, for its gaps, the bars that ``history`` has: tagged, closed, their close time that of opening, ordered by the reader on ``open_us``.
 
     For ``foreachBatch``. Bars that came live win.
     """
@@ -115,7 +118,7 @@ def backfill(batch: DataFrame, history: DataFrame, step: int) -> DataFrame:
 
     live = batch.filter("kind = 'bar'").drop("kind", "gap_start_us", "gap_end_us").withColumn("_data_source", F.lit("STREAMING"))
     gaps = batch.filter("kind = 'gap'").select("symbol", F.col("gap_start_us").alias("start_us"), F.col("gap_end_us").alias("end_us"))
-    filled = restrict(history, gaps, step).withColumn("_data_source", F.lit("REST")).withColumn("is_closed", F.lit(True)).withColumn("close_us", F.col("open_us") + step - 1)
+    filled = restrict(history, gaps).withColumn("_data_source", F.lit("REST")).withColumn("is_closed", F.lit(True)).withColumn("close_us", F.col("open_us"))
     return priority_merge([filled, live], keys=("symbol",))
 
 
@@ -135,3 +138,16 @@ def counters(batch: DataFrame) -> DataFrame:
     us = F.element_at(F.create_map(*[F.lit(x) for k, v in INTERVAL_SECONDS.items() for x in (k, v * 1_000_000)]), F.col("interval"))
     lost = F.when(F.col("kind") == "gap", (F.col("gap_end_us") - F.col("gap_start_us")) / us).otherwise(0)
     return batch.groupBy("symbol", "interval").agg(F.count_if(F.col("kind") == "bar").alias("bars"), F.count_if(F.col("kind") == "gap").alias("gaps"), F.sum(lost.cast("long")).alias("to_fill"))
+
+
+def outcome(batch: DataFrame, history: DataFrame, step: int) -> DataFrame:
+    """Per series of a batch: gaps asked for, those that the history filled whole, those that it didn't, and bars that it gave."""
+    from barloom.plans.engine import restrict
+
+    gaps = batch.filter("kind = 'gap'").select("symbol", F.col("gap_start_us").alias("start_us"), F.col("gap_end_us").alias("end_us"))
+    inside = restrict(history, gaps).select("symbol", "open_us").distinct()
+    held = inside.join(gaps, "symbol").filter((F.col("open_us") >= F.col("start_us")) & (F.col("open_us") < F.col("end_us")))  # gaps of a batch are few
+    n = held.groupBy("symbol", "start_us", "end_us").agg(F.count("*").alias("n"))
+    each = gaps.join(n, ["symbol", "start_us", "end_us"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.col("n") * step >= F.col("end_us") - F.col("start_us")
+    return each.groupBy("symbol").agg(F.count("*").alias("asked"), F.count_if(whole).alias("filled"), F.count_if(~whole).alias("failed"), F.sum("n").cast("long").alias("backfilled"))
