@@ -101,11 +101,11 @@ def estimated_records(start: Column, end: Column, step: int, now_us: Column) ->
     return F.when(start > now_us, F.lit(0).cast("long")).otherwise(F.floor((last - start) / step).cast("long") + 1)
 
 
-def chunks(ranges: DataFrame, step: int, per_chunk: int = 1_000, most: int = 1_000) -> DataFrame:
-    """``ranges`` with ``start_us, end_us`` cut into pieces ``chunk, chunk_start_us, chunk_end_us`` of at most ``per_chunk`` bars."""
+def chunks(ranges: DataFrame, step: int, per_chunk: int = 1_000) -> DataFrame:
+    """``ranges`` with ``start_us, end_us`` cut into pieces ``chunk, chunk_start_us, chunk_end_us`` of at most ``per_chunk`` bars, however many."""
     size = step * per_chunk
     starts = F.sequence(F.col("start_us"), F.greatest(F.col("start_us"), F.col("end_us") - 1), F.lit(size))
-    cut = ranges.filter("end_us > start_us").select("*", F.posexplode(F.slice(starts, 1, most)).alias("chunk", "chunk_start_us"))
+    cut = ranges.filter("end_us > start_us").select("*", F.posexplode(starts).alias("chunk", "chunk_start_us"))
     return cut.withColumn("chunk_end_us", F.least(F.col("chunk_start_us") + size, F.col("end_us")))
 
 
@@ -130,13 +130,52 @@ class TimeRange:
             raise ValueError("a range must start before it ends")
 
 
-def resolve_range(start_us: int | None, end_us: int | None, days: int | None, now_us: int, step: int) -> TimeRange:
-    """The range of any two of start, end and days (default: three days until now), floored, one interval at least."""
+def resolve_range(start_us: int | None, end_us: int | None, days: int | None, now_us: int, step: int | None = None) -> TimeRange:
+    """The range of any two of start, end and days (three by default), counted from the one that is given, else back from now.
+
+    With ``step`` both bounds are floored, and one interval is kept at least.
+    """
     span = (3 if days is None else days) * DAY
     if start_us is None:
         end_us = now_us if end_us is None else end_us
         start_us = end_us - span
     elif end_us is None:
-        end_us = min(now_us, start_us + span) if days is not None else now_us
+        end_us = start_us + span
+    r = TimeRange(start_us, end_us)
+    if step is None:
+        return r
     low = start_us - start_us % step
     return TimeRange(low, max(end_us - end_us % step, low + step))
+
+
+def resolved(requests: DataFrame, now_us: int, step: int, days: int = 3) -> DataFrame:
+    """The same for a table of requests ``start_us, end_us`` (either may be null), as columns ``from_us, to_us``; rows that end before they start have nulls."""
+    s, e = F.col("start_us"), F.col("end_us")
+    end = F.coalesce(e, s + days * DAY, F.lit(now_us))
+    start = F.coalesce(s, end - days * DAY)
+    low, high = align_us(start, end, step)
+    return requests.withColumn("from_us", F.when(start < end, low)).withColumn("to_us", F.when(start < end, high))
+
+
+def describe_range(r: TimeRange, start_given: bool, end_given: bool, days: int = 3) -> str:
+    """How a range came about, for people."""
+    import datetime as dt
+
+    start, end = (dt.datetime.fromtimestamp(x // SECOND, dt.UTC).strftime("%Y-%m-%d") for x in (r.start_us, r.end_us))
+    if start_given and end_given:
+        return f"from {start} to {end}, as given"
+    if end_given:
+        return f"{days} days back from {end}"
+    return f"{days} days on from {start}" if start_given else f"{days} days back from now"
+
+
+#: Units of free intervals and their lengths in seconds.
+UNIT_SECONDS = {"s": 1, "m": 60, "h": 3_600, "d": 86_400, "w": 604_800, "M": 2_592_000, "y": 31_536_000}
+
+
+def free_interval_us(name: str) -> int:
+    """The length of any interval of 1 to 1,000 units, not only of those that markets have."""
+    n, unit = name[:-1], name[-1:]
+    if not n.isdecimal() or unit not in UNIT_SECONDS or not 1 <= int(n) <= 1_000:
+        raise IntervalError(f"not an interval: {name}")
+    return int(n) * UNIT_SECONDS[unit] * SECOND

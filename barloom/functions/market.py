@@ -13,6 +13,9 @@ from barloom.functions.intervals import INTERVAL_SECONDS
 SPOT, USDM, COINM, OPTIONS = "spot", "um", "cm", "options"
 SYMBOL_PATTERN = r"^[A-Z0-9_-]{1,30}$"
 QUOTES = ("USDT", "USDC", "BUSD", "BTC", "ETH", "BNB")
+#: Fixed values of hyphenated venues: quotes in the order in which they are tried, and their intervals.
+HYPHEN_QUOTES = ("USDT", "USDC", "USD", "BTC", "ETH")
+HYPHEN_INTERVALS = ("1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "12h", "1d", "1w", "1M")
 PATH_CHECKSUM = r"([0-9a-fA-F]{64})"
 
 
@@ -27,6 +30,11 @@ class Market:
     funding: bool
 
 
+#: Names that a market goes by, and where its endpoints are below the venue's root.
+MARKET_NAMES = {"spot": SPOT, "um": USDM, "futures_usdt": USDM, "usdt": USDM, "cm": COINM, "futures_coin": COINM, "coin": COINM, "options": OPTIONS}
+ENDPOINTS = {SPOT: ("api", "v3"), USDM: ("fapi", "v1"), COINM: ("dapi", "v1"), OPTIONS: ("eapi", "v1")}
+#: Streams that one connection may carry.
+MAX_STREAMS = {SPOT: 1_024, USDM: 1_024, COINM: 200}
 _ALL = tuple(INTERVAL_SECONDS)
 MARKETS = {
     SPOT: Market(SPOT, _ALL, 1_000, "BTCUSDT", False),
@@ -40,22 +48,37 @@ def is_safe_symbol(symbol: Column) -> Column:
 
 
 def futures_symbol(symbol: Column, market: str) -> Column:
-    """Coin-margined symbols end in ``_PERP`` unless they are dated; others are as they are."""
+    """Coin-margined symbols are quoted in USD and end in ``_PERP``; those with a digit (dated contracts) and others are as they are."""
     if market != COINM:
         return symbol
-    return F.when(symbol.endswith("_PERP") | symbol.rlike("_[0-9]"), symbol).otherwise(F.concat(symbol, F.lit("_PERP")))
+    perpetual = F.concat(F.regexp_replace(symbol, "USDT$", "USD"), F.lit("_PERP"))
+    return F.when(symbol.endswith("_PERP") | symbol.rlike("[0-9]"), symbol).otherwise(perpetual)
 
 
-def hyphenated(symbol: Column, swap: bool = False) -> Column:
-    """``BTCUSDT`` as ``BTC-USDT``, as a swap ``BTC-USD-SWAP``; symbols with hyphens are as they are."""
-    base = base_asset(symbol)
-    quote = F.regexp_extract(symbol, f"({'|'.join(QUOTES)})$", 1)
-    made = F.concat(base, F.lit("-USD-SWAP")) if swap else F.concat(base, F.lit("-"), quote)
-    return F.when(symbol.contains("-"), symbol).when(base == "", symbol).otherwise(made)
+def hyphenated(symbol: Column, market: str = SPOT) -> Column:
+    """``BTCUSDT`` as ``BTC-USDT`` on spot and ``BTC-USD-SWAP`` on futures; with hyphens as it is, of an unknown quote with ``-USDT`` added."""
+    pattern = f"^(.*)({'|'.join(HYPHEN_QUOTES)})$"
+    base, quote = F.regexp_extract(symbol, pattern, 1), F.regexp_extract(symbol, pattern, 2)
+    made = F.concat(base, F.lit("-"), quote) if market == SPOT else F.concat(base, F.lit("-USD-SWAP"))
+    return F.when(symbol.contains("-"), symbol).when(quote == "", F.concat(symbol, F.lit("-USDT"))).otherwise(made)
+
+
+def display_symbol(symbol: Column, market: str) -> Column:
+    """The hyphenated form that requests name: spot symbols are cut before their last four (or three) letters, swaps are made of USDT pairs only."""
+    cut = lambda n: F.concat(F.left(symbol, F.length(symbol) - n), F.lit("-"), F.right(symbol, F.lit(n)))
+    n = F.length(symbol)
+    if market == SPOT:
+        four, three = symbol.rlike("(USDT|BUSD|USDC)$") & (n >= 6), symbol.rlike("(BTC|ETH|USD)$") & (n >= 4)
+        made = F.when(four, cut(4)).when(three, cut(3)).when(n > 4, cut(4)).otherwise(symbol)
+    elif market == USDM:
+        made = F.when(symbol.endswith("USDT"), F.regexp_replace(symbol, "USDT$", "-USD-SWAP")).otherwise(symbol)
+    else:
+        made = symbol
+    return F.when(symbol.contains("-"), symbol).otherwise(made)
 
 
 def format_symbol(symbol: Column, market: str, style: str = "joined") -> Column:
-    return hyphenated(symbol, swap=market == COINM) if style == "hyphen" else futures_symbol(symbol, market)
+    return display_symbol(symbol, market) if style == "hyphen" else futures_symbol(symbol, market)
 
 
 def base_asset(symbol: Column) -> Column:
@@ -70,8 +93,8 @@ def base_symbol(symbol: Column) -> Column:
 
 
 def hyphen_interval(interval: Column) -> Column:
-    """Hours, days and weeks with a capital letter, as hyphenated venues write them."""
-    return F.when(interval.rlike("[hdw]$"), F.upper(interval)).otherwise(interval)
+    """Hours, days and weeks with a capital letter, as hyphenated venues write them; null for those that they lack."""
+    return F.when(interval.isin(*HYPHEN_INTERVALS), F.when(interval.rlike("[hdw]$"), F.upper(interval)).otherwise(interval))
 
 
 def stream_name(symbol: Column, interval: Column) -> Column:
@@ -128,3 +151,24 @@ def printable(text: Column) -> Column:
 def interval_list(text: Column) -> Column:
     """A quoted, comma-separated list as an array of trimmed names; ``1mo`` is ``1M``."""
     return F.transform(F.filter(F.split(F.regexp_replace(text, '"', ""), ","), lambda x: F.trim(x) != ""), lambda x: F.when(F.trim(x) == "1mo", "1M").otherwise(F.trim(x)))
+
+
+def market_of(name: Column) -> Column:
+    """The market of a name in any case; null for others."""
+    return F.create_map(*[F.lit(x) for pair in MARKET_NAMES.items() for x in pair])[F.lower(name)]
+
+
+def endpoint(market: Column, name: str, root: str, version: str | None = None) -> Column:
+    """The address of a market's endpoint; unknown markets go by the spot form."""
+    made = F.lit(None).cast("string")
+    for m, (folder, v) in ENDPOINTS.items():
+        made = F.when(market == m, F.lit(f"{root}/{folder}/{version or v}/{name}")).otherwise(made)
+    return F.coalesce(made, F.lit(f"{root}/api/{version or ENDPOINTS[SPOT][1]}/{name}"))
+
+
+def check_subscriptions(market: str, symbols: list[str]) -> list[str]:
+    """The symbols, each once, if a connection of the market may carry as many."""
+    names = list(dict.fromkeys(symbols))
+    if len(names) > MAX_STREAMS.get(market, 1_024):
+        raise ValueError(f"{len(names)} streams are more than {MAX_STREAMS.get(market, 1_024)}")
+    return names

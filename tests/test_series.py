@@ -58,6 +58,25 @@ def test_resolve_range():
     assert I.resolve_range(None, None, None, now, H) == I.TimeRange(now - 3 * I.DAY, now)
     assert I.resolve_range(T0 + 5, None, 1, now, H) == I.TimeRange(T0, T0 + I.DAY)
     assert I.resolve_range(None, T0, 2, now, H).start_us == T0 - 2 * I.DAY
+    assert I.resolve_range(T0, None, None, now) == I.TimeRange(T0, T0 + 3 * I.DAY)
+    assert I.resolve_range(now - I.DAY, None, 3, now) == I.TimeRange(now - I.DAY, now + 2 * I.DAY)
+    assert I.resolve_range(T0 + 5, T0 + 9, None, now) == I.TimeRange(T0 + 5, T0 + 9)
+    with pytest.raises(ValueError):
+        I.resolve_range(T0, T0, None, now)
+    assert "back" in I.describe_range(I.TimeRange(T0, now), False, False) and "2024-01-15" in I.describe_range(I.TimeRange(T0, now), True, False)
+
+
+def test_free_intervals():
+    assert I.free_interval_us("7m") == 420_000_000 and I.free_interval_us("1000d") == 1000 * I.DAY and I.free_interval_us("2y") == 730 * I.DAY
+    for bad in ("", "m", "0m", "1001s", "5q", "1.5h", "-1h"):
+        with pytest.raises(I.IntervalError):
+            I.free_interval_us(bad)
+
+
+def test_long_ranges_are_cut_whole(spark):
+    r = spark.createDataFrame([("A", T0, T0 + 2_500 * H)], "symbol string, start_us long, end_us long")
+    c = I.chunks(r, H, 1)
+    assert c.count() == 2_500 and c.agg(F.max("chunk_end_us")).first()[0] == T0 + 2_500 * H
 
 
 def test_empty_ranges_have_no_chunks(spark):
@@ -138,11 +157,21 @@ def test_fills(spark):
 
 
 def test_symbols(spark):
-    df = spark.createDataFrame([("BTCUSDT",), ("BTCUSD_PERP",), ("BTCUSD_240329",), ("bad!",)], "s string")
+    df = spark.createDataFrame([("BTCUSDT",), ("BTCUSD_PERP",), ("BTCUSD_240329",), ("1INCHUSDT",), ("ETHUSD",), ("BTC-USD-SWAP",), ("DOGEXYZ",), ("BTCBUSD",), ("bad!",)], "s string")
     s = F.col("s")
-    got = {r[0]: tuple(r[1:]) for r in df.select("s", K.futures_symbol(s, K.COINM), K.hyphenated(s), K.hyphenated(s, swap=True), K.base_symbol(s), K.is_safe_symbol(s)).collect()}
-    assert got["BTCUSDT"] == ("BTCUSDT_PERP", "BTC-USDT", "BTC-USD-SWAP", "BTC", True)
-    assert got["BTCUSD_240329"][0] == "BTCUSD_240329" and got["BTCUSD_PERP"][3] == "BTC" and got["bad!"][4] is False
+    got = {r[0]: tuple(r[1:]) for r in df.select("s", K.futures_symbol(s, K.COINM), K.hyphenated(s), K.hyphenated(s, K.USDM), K.hyphenated(s, K.COINM), K.base_symbol(s), K.is_safe_symbol(s)).collect()}
+    assert got["BTCUSDT"] == ("BTCUSD_PERP", "BTC-USDT", "BTC-USD-SWAP", "BTC-USD-SWAP", "BTC", True)
+    assert got["ETHUSD"][:2] == ("ETHUSD_PERP", "ETH-USD") and got["1INCHUSDT"][0] == "1INCHUSDT"
+    assert got["BTCUSD_240329"][0] == "BTCUSD_240329" and got["BTCUSD_PERP"][4] == "BTC" and got["bad!"][5] is False
+    assert got["BTC-USD-SWAP"][1:4] == ("BTC-USD-SWAP",) * 3 and got["DOGEXYZ"][1:3] == ("DOGEXYZ-USDT",) * 2
+    shown = {r[0]: tuple(r[1:]) for r in df.select("s", *[K.format_symbol(s, m, "hyphen") for m in (K.SPOT, K.USDM, K.COINM)]).collect()}
+    assert shown["BTCUSDT"] == ("BTC-USDT", "BTC-USD-SWAP", "BTCUSDT") and shown["BTCBUSD"][0] == "BTC-BUSD"
+    assert shown["ETHUSD"] == ("ETH-USD", "ETHUSD", "ETHUSD") and shown["DOGEXYZ"][0] == "DOG-EXYZ" and shown["BTC-USD-SWAP"] == ("BTC-USD-SWAP",) * 3
+
+
+def test_hyphen_intervals(spark):
+    df = spark.createDataFrame([(x,) for x in ("1m", "1h", "1d", "1w", "1M", "1s", "8h", "3d")], "i string")
+    assert [r[0] for r in df.select(K.hyphen_interval(F.col("i"))).collect()] == ["1m", "1H", "1D", "1W", "1M", None, None, None]
 
 
 def test_requests_are_checked():
@@ -174,6 +203,40 @@ def test_cascade(spark):
     assert n == 3 and seconds >= 0
 
 
+def test_irregular_cascade_decides_by_symbol(spark):
+    """The first source has A only: A stays as it is, B and C come from the second, C's rest from the third."""
+    r = spark.createDataFrame([(x, T0, T0 + 6 * H) for x in "ABCD"], "symbol string, from_us long, to_us long")
+    cache = E.Loader("CACHE", lambda s, w: series(s, [0, 1]))
+    bulk = E.Loader("VISION", lambda s, w: series(s, range(6), "B").union(series(s, range(3), "C")).union(series(s, range(6), "A")))
+    rest = E.Loader("REST", lambda s, w: series(s, range(6), "C").union(series(s, range(6), "A")))
+    got = E.Engine(spark, [cache, bulk, rest], E.Config(regular=False)).get_data(r, "1h").groupBy("symbol", S.SOURCE).count()
+    assert values(got, "symbol", S.SOURCE, "count") == [("A", "CACHE", 2), ("B", "VISION", 6), ("C", "REST", 3), ("C", "VISION", 3)]
+
+
+def test_each_source_is_scanned_once(spark, tmp_path):
+    """The plan reads each source once, however many there are."""
+    r = spark.createDataFrame([("A", T0, T0 + 20 * H)], "symbol string, from_us long, to_us long")
+    reads = []
+    loaders = []
+    for i in range(4):
+        series(spark, range(i, 20, 4)).write.parquet(f"{tmp_path}/s{i}")
+        loaders.append(E.Loader(f"S{i}", lambda s, w, i=i: reads.append(i) or s.read.parquet(f"{tmp_path}/s{i}")))
+    for n in range(1, 5):
+        reads.clear()
+        df = E.Engine(spark, loaders[:n], E.Config(thresholds=G.STRICT)).get_data(r, "1h")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert reads == list(range(n)) and plan.count("parquet") <= 5
+        assert df.filter("open is null").count() == 20 - 5 * n
+
+
+def test_segments_of_several_ranges_and_empty_keys(spark):
+    df = series(spark, [0, 1, 5]).union(series(spark, [2], "B"))
+    w = spark.createDataFrame([(x, T0, T0 + 8 * H) for x in "ABC"], "symbol string, from_us long, to_us long")
+    got = values(G.missing_segments(df, w, H), "symbol", "start_us", "end_us")
+    at = lambda s, a, b: (s, T0 + a * H, T0 + b * H)
+    assert got == [at("A", 2, 8), at("B", 0, 8), at("C", 0, 8)]
+
+
 def test_strict_filter(spark):
     df = series(spark, [0, 1])
     with pytest.raises(V.ValidationError):
