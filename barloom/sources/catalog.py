@@ -120,3 +120,26 @@ def flatten_metadata(docs: DataFrame, json_col: str = "json") -> DataFrame:
     m = docs.select(F.explode(F.from_json(json_col, f"map<string,map<string,map<string,{entry}>>>")).alias("symbol", "x"))
     m = m.select("symbol", F.explode("x").alias("interval", "y")).select("symbol", "interval", F.explode("y").alias("day", "e"))
     return m.select("symbol", "interval", F.to_date("day").alias("day"), "e.*")
+
+
+def availability(catalog: DataFrame, ranges: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
+    """Per key and day of the ranges whether the catalogue has it."""
+    there = catalog.select(*keys, "day_us").distinct().withColumn("available", F.lit(True))
+    return _days(ranges).join(there, [*keys, "day_us"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def by_market(catalog: DataFrame, path: str = "path") -> DataFrame:
+    """Entries and records by the market that a path names."""
+    market = F.when(F.col(path).like("%/um/%"), "um").when(F.col(path).like("%/cm/%"), "cm").when(F.col(path).like("%/spot/%"), "spot").otherwise("unknown")
+    return catalog.groupBy(market.alias("market")).agg(F.count("*").alias("entries"), F.sum("num_records").alias("records"))
+
+
+def by_interval(catalog: DataFrame, elapsed_s: float | None = None) -> DataFrame:
+    """Per interval: days, records and, given how long a build took, records a second."""
+    g = catalog.groupBy("interval").agg(F.count("*").alias("days"), F.sum("num_records").alias("records"))
+    return g if elapsed_s is None else g.withColumn("per_second", F.col("records") / elapsed_s)
+
+
+def with_metadata(catalog: DataFrame, path: str) -> None:
+    """Appends a table's catalogue to the one that is kept beside the data."""
+    catalog.write.mode("append").parquet(path)

@@ -148,3 +148,68 @@ def test_catalogue_work(spark):
     assert late.latest_us == T0 + DAY and catalog.latest_within(cat, T0 + 50 * DAY).first().terminated
     reg = spark.createDataFrame([("A", "1h", "x", "y"), ("B", "1h", "x", "x"), ("B", "1m", "x", None)], "symbol string, interval string, expected_checksum string, actual_checksum string")
     assert catalog.failures(reg).count() == 2 and catalog.failures(reg, "B", "1m").count() == 1
+
+
+def second(h, symbol="A"):
+    t = T0 // 1000 + h * 1000
+    return json.dumps({"e": "kline", "s": symbol, "k": {"t": t, "T": t + 999, "s": symbol, "i": "1s", "o": "1", "c": "1", "h": "1", "l": "1", "v": "0", "x": True}})
+
+
+def test_gaps_within_the_cooldown_are_told_after_it(spark, tmp_path):
+    """Gaps at 2 s and at 6 and 11 s; the latter two lie in the cooldown of 30 s and are told as one by the bar at 33 s."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(map(second, [0, 2, 3, 6, 7, 11, 12])))
+    remote.register(spark)
+    s = spark.readStream.format("barloom_updates").option("path", (tmp_path / "in").as_uri()).load()
+    q = live.reconcile(live.gate(s)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join(map(second, [13, 33])))
+    q.processAllAvailable()
+    q.stop()
+    gaps = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'gap'").collect()
+    assert sorted(((r.gap_start_us - T0) // 1_000_000, (r.gap_end_us - T0) // 1_000_000) for r in gaps) == [(1, 2), (4, 33)]
+
+
+def test_files_come_in_batches_and_late_ones_too(tmp_path):
+    import os
+
+    reader = remote.UpdateReader({"path": tmp_path.as_uri(), "files_per_batch": "2"})
+    for i, name in enumerate("dcb"):
+        (tmp_path / f"{name}.jsonl").write_text(message(i))
+        os.utime(tmp_path / f"{name}.jsonl", (1_000 + i, 1_000 + i))
+    ends = [reader.initialOffset(), reader.latestOffset(), reader.latestOffset()]
+    (tmp_path / "a.jsonl").write_text(message(9))  # late, with the smallest name
+    ends.append(reader.latestOffset())
+    ends.append(reader.latestOffset())
+    read = [[p.path.rpartition("/")[2] for p in reader.partitions(a, b) if p.path] for a, b in zip(ends, ends[1:], strict=False)]
+    assert read == [["d.jsonl", "c.jsonl"], ["b.jsonl"], ["a.jsonl"], []]
+
+
+def test_stream_api(spark, tmp_path):
+    from barloom.plans import engine as E
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join([message(0), message(3), message(1, symbol="B")]))
+    remote.register(spark)
+    engine = E.Engine(spark, [])
+    s = engine.create_stream("spot", ["A", "A"], (tmp_path / "in").as_uri())
+    history = spark.createDataFrame([("A", T0 + h * H, 9.0, 9.0, 9.0, 9.0, 9.0) for h in range(8)], "symbol string, open_us long, open double, high double, low double, close double, volume double")
+    seen = []
+    engine.run_stream(s, history, "1h", lambda df, n: seen.extend((r.symbol, (r.open_us - T0) // H, r._data_source) for r in df.collect()), str(tmp_path / "cp"))
+    assert sorted(seen) == [("A", 0, "STREAMING"), ("A", 1, "REST"), ("A", 2, "REST"), ("A", 3, "STREAMING")]
+    with pytest.raises(ValueError):
+        engine.create_stream("cm", [str(i) for i in range(201)], "x")
+    with pytest.raises(E.ValidationError):
+        engine.get_funding("spot", lambda s: history, 0, 1)
+
+
+def test_loaders_by_name(spark):
+    from barloom.plans import engine as E
+
+    loader = E.Loader("mine", lambda s, w: None)
+    E.register(loader)
+    assert E.create(spark, "mine").loaders == [loader]
+    for bad in (lambda: E.register(loader), lambda: E.create(spark, "other")):
+        with pytest.raises(E.ValidationError):
+            bad()
+    del E.LOADERS["mine"]
