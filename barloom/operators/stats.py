@@ -34,13 +34,17 @@ def correlation(a: DataFrame, b: DataFrame, time: str = "open_us", column: str =
 
 
 def call_metrics(log: DataFrame, endpoint: str = "endpoint", ok: str = "ok", latency: str = "latency", order: str = "id", last: int = 100) -> DataFrame:
-    """Per endpoint: calls, share of successes, and the mean latency of the last calls."""
-    newest = log.withColumn("__r", F.row_number().over(W.partitionBy(endpoint).orderBy(F.desc(order)))).filter(F.col("__r") <= last)
-    recent = newest.groupBy(endpoint).agg(F.round(F.avg(latency), 6).alias("recent_latency"))
+    """Per endpoint: calls, share of successes, and the mean latency of the last calls, which are picked before the shuffle."""
+    recent = last_rows(log, endpoint, order, last).groupBy(endpoint).agg(F.round(F.avg(latency), 6).alias("recent_latency"))
     calls = log.groupBy(endpoint).agg(F.count("*").alias("calls"), F.round(F.avg(F.col(ok).cast("int")) * 100, 6).alias("success_pct"))
     return calls.join(recent, endpoint)
 
 
+def last_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each key: each task keeps its own last ``n`` before the shuffle."""
+    return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__r") <= n).drop("__r")
+
+
 def missing_time(ranges: DataFrame, total_us: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Per key the seconds that ranges add up to, and their share of a total."""
     lost = F.sum(F.col("end_us") - F.col("start_us"))
@@ -53,3 +57,8 @@ def group_counts(df: DataFrame, key: str) -> DataFrame:
 
 def duplicate_count(df: DataFrame, keys: tuple[str, ...], time: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.count(time) - F.count_distinct(time)).alias("duplicates"))
+
+
+def spans(df: DataFrame, keys: tuple[str, ...] = ("symbol",), time: str = "open_us") -> DataFrame:
+    """Per key the first and last times and the rows."""
+    return df.groupBy(*keys).agg(F.min(time).alias("earliest_us"), F.max(time).alias("latest_us"), F.count("*").alias("rows"))

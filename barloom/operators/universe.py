@@ -60,3 +60,20 @@ def with_suffix(df: DataFrame, suffixes: tuple[str, ...], symbol: str = "symbol"
 
 def first_rows(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
+
+
+def union_of_keys(frames: dict[str, DataFrame], key: str = "base") -> DataFrame:
+    """Each key of any frame once, and the names of the frames that have it, sorted and comma-joined."""
+    every = None
+    for name, f in frames.items():
+        one = f.select(key).distinct().withColumn("frame", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("frame")), ",").alias("frames"))  # a row a frame
+
+
+def common_times(frames: list[DataFrame], keys: tuple[str, ...] = ("symbol",), time: str = "open_us") -> DataFrame:
+    """Times at which all frames have a bar of the key."""
+    out = frames[0].select(*keys, time)
+    for f in frames[1:]:
+        out = out.intersect(f.select(*keys, time))
+    return out

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import SECOND
+from barloom.operators.runs import with_prev_of
 
 Keys = tuple[str, ...]
 
@@ -34,9 +34,43 @@ def structure(df: DataFrame, keys: Keys = ("symbol",), time: str = "open_us") ->
 
 
 def monotonic(df: DataFrame, order: str, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
-    """Per key whether time rises strictly in the order of a column."""
-    up = F.col(time) > F.lag(time).over(W.partitionBy(*keys).orderBy(order))
-    return df.select(*keys, up.alias("__up")).groupBy(*keys).agg(F.coalesce(F.bool_and("__up"), F.lit(True)).alias("is_monotonic"))
+    """Per key whether time rises strictly in the order of a whole-numbered column; in buckets of the order, so that one key spreads over tasks."""
+    rows = with_prev_of(df.select(*keys, order, time), keys, order, time)
+    return rows.groupBy(*keys).agg(F.coalesce(F.bool_and(F.col(time) > F.col("__prev")), F.lit(True)).alias("is_monotonic"))
+
+
+def reserved(columns: list[str], index: str = "open_time") -> list[str]:
+    """The columns, none of which may be the one that holds the time."""
+    if not all(isinstance(c, str) for c in columns):
+        raise TypeError("names of columns are strings")
+    if index in columns:
+        raise ValidationError(f"{index} is the column of time", columns=columns)
+    return columns
+
+
+def kline_problems(df: DataFrame, keys: Keys = ("symbol",), required: Keys = ("open_us", "open", "high", "low", "close", "volume")) -> DataFrame:
+    """Per key: rows, values of required columns that are null, NaN or no numbers, repeated times, and whether the bars are sound. Missing columns are an error."""
+    require_columns(df, (*keys, *required))
+    prices = [F.col(c).try_cast("double") for c in required[1:]]
+    bad = sum((F.count_if(p.isNull() | F.isnan(p)) for p in prices[1:]), F.count_if(prices[0].isNull() | F.isnan(prices[0])))
+    g = df.groupBy(*keys).agg(F.count("*").alias("rows"), bad.alias("bad_values"), (F.count(required[0]) - F.count_distinct(required[0])).alias("duplicates"))
+    return g.withColumn("sound", (F.col("bad_values") == 0) & (F.col("duplicates") == 0))
+
+
+def recent_coverage(df: DataFrame, ranges: DataFrame, now_us: int, keys: Keys = ("symbol",), time: str = "open_us", most_pct: float = 10.0, recent_us: int = 86_400 * SECOND) -> DataFrame:
+    """Per key of ``ranges``: what is missing at head and tail in percent, and whether to warn: only of recent data, beyond ``most_pct``."""
+    span = df.groupBy(*keys).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    zero = F.lit(0).cast("long")
+    lost = F.greatest(F.col("__lo") - F.col("from_us"), zero) + F.greatest(F.col("to_us") - F.col("__hi"), zero)
+    pct = F.round(lost / (F.col("to_us") - F.col("from_us")) * 100, 6)
+    out = ranges.join(span, list(keys), "left").withColumn("missing_pct", F.coalesce(pct, F.lit(100.0)))
+    recent = F.coalesce(F.lit(now_us) - F.col("__hi") <= recent_us, F.lit(False))
+    return out.withColumn("warn", recent & (F.col("missing_pct") > most_pct)).drop("__lo", "__hi")
+
+
+def cache_report(df: DataFrame, like: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
+    """Per key of a cached table: structure, and whether it starts, ends and counts as another one does."""
+    return structure(df, keys).join(boundaries_equal(df, like, keys), list(keys), "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
 
 
 def ohlc_violations(df: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
