@@ -1,6 +1,7 @@
 """The operators as queries over the test tables, and the same in SQL.
 
-The tables hold no bars, so bars are made of ``events``: an event type is a symbol, its value a price.
+The tables hold no bars, so bars are made of ``events``: an event type is a symbol, its value a price. Most event
+numbers are left out where a series must have holes, which is what the operators on gaps and grids are about.
 Three overlapping sources are those events whose number is no multiple of 3, no multiple of 5, and a
 multiple of 7. Time leaves the engine as integer microseconds (``*_us``) or as time stamps without zone.
 """
@@ -202,7 +203,8 @@ def schema_alias_cast(spark, d):
 @query("select event_id, coalesce(case when event_id % 3 = 0 then null else value end, value * 2) as quote_asset_volume from events")
 def coalesce_fallback(spark, d):
     e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("quote_asset_volume"), (F.col("value") * 2).alias("quote_volume"))
-    return e.join(e.select("event_id"), "event_id", "left_semi").select("event_id", F.coalesce("quote_asset_volume", "quote_volume").alias("quote_asset_volume"))
+    both = S.canonical(e.withColumnRenamed("event_id", "count"))
+    return both.select(F.col("count").alias("event_id"), "quote_asset_volume")
 
 
 @query("""select event_id, case when event_id % 3 = 0 then null when event_id % 2 = 0 then 'ms' else 'us' end as unit,
@@ -341,7 +343,7 @@ def integrity_report(spark, d):
 
 @query(f"with b as ({bars_sql(H, SPARSE)}), {REPORT_SQL} select {_GAP_COLUMNS} from g order by duration_us desc, symbol, start_us limit 5")
 def topk_gaps(spark, d):
-    return G.detect(bars(spark, d, "1h", SPARSE), H).orderBy(F.desc("duration_us"), "symbol", "start_us").limit(5)
+    return G.largest(G.detect(bars(spark, d, "1h", SPARSE), H), 5)
 
 
 @query()
@@ -488,7 +490,7 @@ def spot_futures_correlation(spark, d):
 
 @query(f"select symbol, min(open_us) as earliest_us, max(open_us) as latest_us, count(*) as rows from ({bars_sql()}) group by symbol")
 def latest_earliest(spark, d):
-    return bars(spark, d).groupBy("symbol").agg(F.min("open_us").alias("earliest_us"), F.max("open_us").alias("latest_us"), F.count("*").alias("rows"))
+    return A.spans(bars(spark, d))
 
 
 @query("""select 'u' || (user_id % 7) as endpoint, count(*) as calls, round(avg(case when event_type <> 'error' then 1.0 else 0.0 end) * 100, 6) as success_pct, round(avg(case when r <= 100 then value end), 6) as recent_latency
@@ -520,10 +522,10 @@ def _symbols(spark, d):
     return read(spark, d, "customer").select("c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.upper(F.substring("n_name", 1, 4)), quote).alias("symbol"))
 
 
-@query(f"""select c_custkey, symbol, case when symbol like '%\\_PERP' escape '\\' or regexp_matches(symbol, '_[0-9]') then symbol else symbol || '_PERP' end as coin_symbol,
+@query(f"""select c_custkey, symbol, case when symbol like '%\\_PERP' escape '\\' or regexp_matches(symbol, '[0-9]') then symbol else regexp_replace(symbol, 'USDT$', 'USD') || '_PERP' end as coin_symbol,
     regexp_extract(symbol, '^(.+?)(USDT|USDC|BUSD|BTC|ETH|BNB)$', 1) as base_asset,
     regexp_extract(regexp_replace(symbol, '_(PERP|[0-9]+)$', ''), '^(.*?)(USDT|USDC|BUSD|USD)?$', 1) as base_symbol,
-    case when regexp_matches(symbol, '(USDT|USDC|BUSD|BTC|ETH|BNB)$') then regexp_replace(symbol, '^(.+?)(USDT|USDC|BUSD|BTC|ETH|BNB)$', '\\1-\\2') else symbol end as hyphenated,
+    case when regexp_matches(symbol, '(USDT|USDC|USD|BTC|ETH)$') then regexp_replace(symbol, '^(.*)(USDT|USDC|USD|BTC|ETH)$', '\\1-\\2') else symbol || '-USDT' end as hyphenated,
     lower(symbol) || '@kline_1h' as stream from ({_SYMBOL_SQL})""")
 def symbol_formats(spark, d):
     s = F.col("symbol")
@@ -678,8 +680,9 @@ def _replayed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFram
     from barloom.sources.scratch import scratch_dir
 
     base = scratch_dir(spark)
-    b = bars(spark, d, "1h", SPARSE).select("symbol", F.lit("1h").alias("interval"), "open_us", (F.col("open_us") + H - 1).alias("close_us"), "open", "high", "low", "close", "volume", (F.pmod(F.xxhash64("open_us"), F.lit(10)) != 0).alias("is_closed"))
-    b.unionByName(b.filter("open_us % 7200000000 = 0")).repartition(3, "symbol").write.parquet(f"{base}/in")
+    closed = F.pmod(F.floor(F.col("open_us") / H), F.lit(10)) != 0
+    b = bars(spark, d, "1h", SPARSE).select("symbol", F.lit("1h").alias("interval"), "open_us", (F.col("open_us") + H - 1).alias("close_us"), "open", "high", "low", "close", F.round("volume", 6).alias("volume"), closed.alias("is_closed"))
+    b.unionByName(b.filter(f"open_us % {2 * H} = 0")).repartition(3, "symbol").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     name = f"replay_{uuid.uuid4().hex}"
     q = build(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").queryName(name).trigger(availableNow=True).start()
@@ -687,15 +690,22 @@ def _replayed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFram
     return spark.read.parquet(f"{base}/out")
 
 
-@query()
+_LIVE_SQL = f"lv as (select symbol, '1h' as interval, open_us, open_us + {H - 1} as close_us, open, high, low, close, round(volume, 6) as volume, true as is_closed from ({bars_sql(H, SPARSE)}) where open_us // {H} % 10 <> 0)"
+
+
+@query(f"with {_LIVE_SQL} select * from lv union all select * from lv where open_us % {2 * H} = 0")
 def stream_closed_gate(spark, d):
     from barloom.streaming import live
 
     return _replayed(spark, d, live.gate)
 
 
-@query()
+@query(f"""with {_LIVE_SQL}, p as (select *, lag(open_us) over (partition by symbol order by open_us) as prev from lv)
+    select 'bar' as kind, symbol, open_us, close, -1 as gap_start_us, -1 as gap_end_us from lv union all select 'gap', symbol, open_us, -1.0, prev + {H}, least(open_us, prev + {1440 * H}) from p where open_us - prev > {H}""")
 def stream_reconcile(spark, d):
+    """Replayed bars without duplicates, and a row for each gap before the bar that shows it: what a batch over all bars gives."""
     from barloom.streaming import live
 
-    return _replayed(spark, d, lambda s: live.reconcile(live.gate(s)))
+    got = _replayed(spark, d, lambda s: live.reconcile(live.gate(s)))
+    none = lambda c, t: F.coalesce(c, F.lit(-1).cast(t)).alias(c)
+    return got.select("kind", "symbol", "open_us", none("close", "double"), none("gap_start_us", "long"), none("gap_end_us", "long"))

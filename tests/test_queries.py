@@ -1,6 +1,7 @@
 import pytest
 
 from barloom import queries as Q
+from barloom import service_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -26,11 +27,3 @@ def test_range_scan_reaches_the_file(spark, data):
 
 def test_closed_gate_drops_open_bars(spark, data):
     assert Q.QUERIES["stream_closed_gate"](spark, data).filter("not is_closed").count() == 0
-
-
-def test_reconciled_stream_equals_batch(spark, data):
-    """Replayed bars without duplicates; every gap row starts after a bar."""
-    out = Q.QUERIES["stream_reconcile"](spark, data)
-    bars = out.filter("kind = 'bar'")
-    assert bars.count() == bars.select("symbol", "open_us").distinct().count()
-    assert out.filter("kind = 'gap' and gap_start_us >= gap_end_us").count() == 0
