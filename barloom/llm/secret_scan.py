@@ -161,7 +161,8 @@ def battery(run: Column) -> Column:
         places = F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?<=.)(?=.)", -1), lambda c: F.instr(v["alphabet"], c) - 1)
         kind = lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3)
         kinds = F.transform(F.split(F.rtrim(v["run"], F.lit("=")), "(?<=.)(?=.)", -1), kind)
-        return let(F.struct(k.alias("k"), places.alias("x"), kinds.alias("kinds")), lambda u: let(_tests(v, u), _combined))
+        mean = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, i: acc + i) / F.size(x)
+        return let(F.struct(k.alias("k"), places.alias("x"), kinds.alias("kinds")), lambda u: let(mean(u["x"]), lambda middle: let(_tests(v, u, middle), _combined)))
 
     return let(known, lambda v: F.when(v["enc"].isNotNull(), tested(v)))
 
@@ -172,7 +173,7 @@ def _neighbours(a: Column, f) -> Column:  # noqa: ANN001
     return F.aggregate(F.zip_with(rest(2), rest(1), f), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _tests(v: Column, u: Column) -> Column:
+def _tests(v: Column, u: Column, middle: Column) -> Column:
     k, x = u["k"], u["x"]
     n = F.size(x).cast("double")
     each = F.aggregate(x, F.array_repeat(F.lit(0), F.length(v["alphabet"])), lambda acc, i: F.transform(acc, lambda c, j: F.when(j == i, c + 1).otherwise(c)))
@@ -190,7 +191,6 @@ def _tests(v: Column, u: Column) -> Column:
     uniform, mu, sd = (n - 1) * v["change"], (n - 1) * v["mu"], F.sqrt((n - 1) * v["mu"] * (1 - v["mu"]))
     off = F.abs(changes - uniform) + 0.5
 
-    middle = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + i) / n
     spread = F.aggregate(x, F.lit(0.0), lambda acc, i: acc + (i - middle) * (i - middle))
     lagged = _neighbours(x, lambda b, c: (b - middle) * (c - middle))
     serial = F.when(spread <= 0, F.sqrt(n)).otherwise(F.abs(lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
