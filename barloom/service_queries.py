@@ -239,12 +239,13 @@ def catalog_sound_entries(spark, d):
     return C.sound_entries(cat).withColumn("num_records", F.col("num_records") + 1)
 
 
-@query(f"with {_DAYS_SQL}, b as (select *, (open_us // {DAY}) * {DAY} as day_us from ({bars_sql()})) select symbol, day_us, count(*) as num_records, min(open_us) as first_us, max(open_us) as last_us from b anti join cat using (symbol, day_us) group by 1, 2")
+@query(f"with {_DAYS_SQL}, b as (select *, (open_us // {DAY}) * {DAY} as day_us from ({bars_sql()})), held as (select * from cat where not ({_BAD})) select symbol, day_us, count(*) as num_records, min(open_us) as first_us, max(open_us) as last_us from b anti join held using (symbol, day_us) group by 1, 2")
 def catalog_incremental_build(spark, d):
     """Only days that the catalogue lacks are loaded, written and catalogued."""
     path = f"{_url(spark)}/built"
     load = lambda days: bars(spark, d).withColumn("day_us", I.day_us(F.col("open_us"))).join(days, ["symbol", "day_us"], "left_semi").drop("day_us")
-    new = C.build(_days(spark, d), ranges(spark, d), load, lambda b: b.write.parquet(path))
+    held = _days(spark, d).filter(F.floor(F.col("day_us") / DAY) % 5 != 0)
+    new = C.build(held, ranges(spark, d), load, lambda b: b.write.parquet(path))
     return new.join(C.of_table(spark.read.parquet(path)).select("symbol", "day_us"), ["symbol", "day_us"])
 
 
