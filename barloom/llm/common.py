@@ -112,8 +112,9 @@ def without(rows: DataFrame, gone: DataFrame, key: str, few: int | None = None)
         held = shared.value
         return keys.map(lambda k: str(k) in held).astype(bool)
 
-    split = rows.withColumn("__may", may(F.col(key)))
-    sure, rest = split.filter("not __may").drop("__may"), split.filter("__may").drop("__may")
+    name = f"__{uuid.uuid4().hex}"
+    split = rows.withColumn(name, may(F.col(key)))
+    sure, rest = split.filter(~F.col(name)).drop(name), split.filter(F.col(name)).drop(name)
     return sure.unionByName(rest.join(gone, key, "left_anti").select(*rows.columns))
 
 

@@ -20,9 +20,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Self loops only name a node; nulls on either end are dropped; repeated edges count once; no edges
     give no rows.
     """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
-    nodes = e.select(F.col("x").alias("node")).union(e.select("y")).distinct()
-    e = written(e.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+    # written first: what made the edges runs once
+    first = written(edges.dropna(subset=[a, b]).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    nodes = first.select(F.col("hi").alias("node")).union(first.select("lo")).distinct()
+    e = first.filter("hi <> lo")
     before = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()

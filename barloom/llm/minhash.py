@@ -5,9 +5,15 @@ all in numpy. ``PERMS`` universal hash permutations of 32-bit numbers (multiply,
 from a fixed seed; a signature holds the low 16 bits of the least value of each. The likeness of two
 signatures is the share of equal places, an unbiased estimate of the Jaccard similarity up to 2**-16.
 
+Near-duplicates share a band of their signatures and are verified (:mod:`barloom.llm.bands`); the query tells
+the class of each row. Texts travel compressed, and only those of candidates travel for verification.
+
 Texts of fewer than five words are one shingle; texts without words (null, empty) share a signature
 of their own, so their likeness is 1 to each other and about 0 to others. Equal texts have equal
-signatures; repeated rows are kept.
+signatures; repeated rows and rows without an id are kept, the latter last in the order. A text of any
+length is one row of a task; its shingles are permuted in blocks. An empty table gives no rows. Columns
+that are not asked for, whatever their names, are not read. Ids must be numbers for the comparison of
+neighbours; :func:`near_duplicates` takes any kind.
 """
 
 from __future__ import annotations
@@ -18,17 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import range_bounds, range_of, table, written
-from barloom.llm.graph import connected_components
+from barloom.llm import bands
+from barloom.llm.common import joined, range_bounds, range_of, sliced, table, text_key, written
 
 PERMS = 128
 SHINGLE = 5
 #: Shingles that are hashed at once: a block of PERMS rows stays in a core's cache.
 BLOCK = 512
-KNOWN = 400_000
+KNOWN = 200_000
 ROWS_PER_RANGE = 2_048
 _rng = np.random.default_rng(7)
 #: x -> A x + B modulo 2**32 with odd A: permutations of the 32-bit numbers.
@@ -88,216 +95,142 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def band_buckets(sig: np.ndarray, bands: int = 32) -> list[int]:
-    """A 64-bit bucket for each band of a signature."""
-    width = PERMS // bands
-    return [xxhash.xxh64_intdigest(sig[i : i + width].tobytes(), i) - (1 << 63) for i in range(0, PERMS, width)]
+def judged(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """For each text the first one of its class of similar texts."""
+    return bands.set_links([np.unique(shingle_hashes(t)) for t in texts], similarity)
 
 
-def shingle_sets(docs: DataFrame, node_col: str, text_col: str = "text") -> DataFrame:
-    """``(node, shingles)`` per row: the set of the text's shingle hashes."""
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or "")).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return docs.select(F.col(node_col).cast("long"), text_col).mapInArrow(run, "node long, shingles array<long>")
-
-
-def set_links(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each set the first one of its class: each in turn is compared with all, until one class is left."""
-    n, sizes = len(sets), np.array([len(x) for x in sets])
-    parent = np.arange(n)
-    _, places = np.unique(np.concatenate(sets), return_inverse=True)
-    places = places.astype(np.int32)
-    starts, full = np.concatenate([[0], np.cumsum(sizes)]), np.flatnonzero(sizes)
-    both, present = np.zeros(n, dtype=np.int64), np.zeros(int(places.max(initial=-1)) + 1, dtype=bool)
-    for i in range(n):
-        mine = places[starts[i] : starts[i + 1]]
-        present[mine] = True
-        if len(full):
-            both[full] = np.add.reduceat(present[places], starts[full], dtype=np.int32)
-        present[mine] = False
-        every = sizes + sizes[i] - both
-        near = np.unique(parent[(every == 0) | (both / np.maximum(every, 1) >= similarity)])
-        if len(near) > 1:
-            parent[np.isin(parent, near)] = near[0]
-        if not parent.any():
-            break
-    return parent.tolist()
-
-
-def bucket_links(left: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` links whose components are those of all similar pairs within the buckets ``left`` (``node, bucket``).
-
-    Buckets of equal members are judged once, each in one task that holds the sets of one bucket
-    (``shingles``: ``node, shingles``) and gives at most a link a node. A bucket of one class is mostly
-    settled by its first sets; one of many classes takes time by the square of its members.
-    """
-    members = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
-    once = members.filter("n > 1").groupBy("n", "first", "h", "g").agg(F.min("bucket").alias("bucket")).select("bucket")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
-        for b in batches:
-            for bucket, node, found in zip(*b.columns, strict=True):
-                if bucket.as_py() != now:
-                    yield judged(nodes, sets)
-                    now, nodes, sets = bucket.as_py(), [], []
-                nodes.append(node.as_py())
-                sets.append(found.values.to_numpy())
-        yield judged(nodes, sets)
+def classes(rows: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``(key, n, best)`` of similar texts; see :func:`barloom.llm.bands.similar_classes`."""
+    return bands.similar_classes(rows, texts, lambda held: judged(held, similarity), shingle_set, similarity)
 
-    def judged(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        of = set_links(sets, similarity) if sets else []
-        linked = [(nodes[f], nodes[i]) for i, f in enumerate(of) if f != i]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = left.join(once, "bucket", "left_semi").join(shingles, "node").select("bucket", "node", "shingles")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def verified_links(left: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame | None:
-    """``(a, b)`` links whose components are those of all similar pairs within the buckets ``left`` (``node, bucket``).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, class_id)`` per row: classes of documents linked by the Jaccard similarity of their shingle sets.
 
-    ``shingles`` has each node's set (``node, shingles``). See :func:`near_duplicates`.
+    Candidates share a band of the signature (:mod:`barloom.llm.bands`: a pair of similarity 0.8 is missed with
+    a chance of 5e-5), and each link is verified on the whole texts. The class is named by its smallest id, null
+    if no row of it has one.
     """
-    links, far = None, 1 - 2 * (1 - similarity)
-    while True:
-        firsts = left.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        met = written(left.join(firsts.drop("n"), "bucket").filter("node <> first"))
-        if met.isEmpty():
-            break
-        pairs = met.select("first", "node").distinct()
-        pairs = pairs.join(shingles.withColumnRenamed("shingles", "x"), "node").join(shingles.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first")
-        both, every = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-        j = F.when(every == 0, F.lit(1.0)).otherwise(both / F.greatest(every - both, F.lit(1)))
-        judged = written(pairs.select("first", "node", j.alias("j")))
-        found = judged.filter(F.col("j") >= similarity).select(F.col("first").alias("a"), F.col("node").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        seen = met.join(judged, ["first", "node"])
-        apart = seen.filter(F.col("j") < similarity).select("node", "bucket")
-        between = (F.col("j") < similarity) & (F.col("j") >= far - 1e-9)
-        mixed = seen.filter(between).select("bucket").distinct()
-        again = seen.filter(F.col("j") >= far - 1e-9).join(mixed, "bucket", "left_semi").select("node", F.xxhash64("bucket", "first").alias("bucket"))
-        left = written(apart.unionByName(again))
-    return links
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, class_id)`` per row with an id: classes of documents linked by Jaccard similarity of their shingle sets.
-
-    Equal texts are one node. Signatures are cut into bands, and nodes that share a band's bucket are
-    compared in rounds, each with the bucket's smallest node only, by the exact Jaccard similarity. Nodes
-    that are not similar to it meet again in a bucket of their own. Jaccard's distance is a metric: a node
-    can be similar to one that was linked to the smallest only if its distance to the smallest is at most
-    twice the limit. Such nodes, if there are any, meet the linked ones again in another bucket. So no link
-    within a bucket is lost, a bucket emits at most its size in a round, and buckets shrink. A band
-    holds ``PERMS / bands`` places; at 32 bands a pair of similarity 0.8 is missed with a chance below 1e-7.
-    """
-    d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    keyed = d.select("doc_id", F.sha2("text", 256).alias("key"), "text")
-    of_doc = written(keyed.select("doc_id", "key"))
-    nodes = keyed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("text").alias("text"))
-    width = PERMS // bands
+    keyed = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, band, bucket, sets = [], [], [], []
-            for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = np.unique(shingle_hashes(t.as_py()))
-                sig = signature(h)
-                node.append(n)
-                bucket.append([xxhash.xxh64_intdigest(sig[i : i + width].tobytes(), i) - (1 << 63) for i in range(0, PERMS, width)])
-                sets.append(h.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bucket, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "buckets", "shingles"])
-
-    signed = written(nodes.select(F.col("node").cast("long"), "text").mapInArrow(run, "node long, buckets array<long>, shingles array<long>"))
-    shingles = signed.select("node", "shingles")
-    left = signed.select("node", F.posexplode("buckets").alias("band", "bucket")).select("node", F.xxhash64("band", "bucket").alias("bucket"))
-    links = verified_links(left, shingles, similarity)
-    firsts_of = of_doc.groupBy("key").agg(F.min("doc_id").alias("node"))
-    by_key = firsts_of
-    if links is not None:
-        roots = connected_components(links)
-        by_key = by_key.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
-    return of_doc.join(by_key, "key").select("doc_id", F.col("node").alias("class_id"))
-
-
-def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """``docs`` dealt by ranges of the id, each range also with the row that follows it, ids descending.
-
-    Columns ``part, doc_id, text, extra``: in a range's order the row after ``extra`` rows' predecessors
-    is the next document; after the last document comes the first. Only one row a range is copied.
+        for b in sliced(batches):
+            hashes = [shingle_hashes(t.as_py() or "") for t in b.column(2)]
+            size, fp = pa.array([len(h) for h in hashes], pa.int64()), pa.array([signature(h).tobytes().hex() for h in hashes], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, fp], ["doc_id", "key", "size", "fingerprint"])
+
+    rows = keyed.mapInArrow(run, f"doc_id {keyed.dtypes[0][1]}, key binary, size long, fingerprint string")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = classes(rows.withColumn("rank", F.col("doc_id")), keyed.select("key", "text"), similarity)
+    return joined(rows.select("doc_id", "key"), found, "key", "left").select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best")).alias("class_id"))
+
+
+LOWEST = -(1 << 63)
+
+
+def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` dealt by ranges of the id, each range also with the row that follows it, ids descending, rows without an id last.
+
+    Columns ``part, extra, doc_id, key, packed`` (the text, compressed) in that order: the row after a row is the
+    next document, and ``extra`` rows stand for the first of the next range; after the last document comes the
+    first. Only one row a range is copied. The driver holds two numbers for each range.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    bounds = range_bounds(d, "doc_id", ROWS_PER_RANGE)
+    at = F.coalesce("doc_id", F.lit(LOWEST)).alias("at")
+    bounds = range_bounds(d.select(at), "at", ROWS_PER_RANGE)
 
-    @F.pandas_udf("int")
-    def part(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(range_of(bounds, ids.fillna(-(1 << 63)).to_numpy(dtype="int64")))
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            of = range_of(bounds, ids)
+            parts = np.unique(of)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([ids[of == p].max() for p in parts], pa.int64())], ["part", "h"])
 
-    numbered = d.select("doc_id").withColumn("part", part("doc_id"))
-    heads = {r["part"]: r["h"] for r in numbered.groupBy("part").agg(F.max("doc_id").alias("h")).collect()}
-    if not heads:
-        return d.withColumn("part", F.lit(0)).withColumn("extra", F.lit(False)).limit(0), bounds
+    heads = {r["part"]: r["h"] for r in d.select(at).mapInArrow(numbers, "part int, h long").groupBy("part").agg(F.max("h").alias("h")).collect()}
     order = sorted(heads, reverse=True)
     # the first row of each range also goes to the range before it, descending; that of the first to the last
     also = {heads[p]: order[i - 1] for i, p in enumerate(order)}
 
-    @F.pandas_udf("array<int>")
-    def parts(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in sliced(batches):
+            ids = b.column(0).fill_null(LOWEST).to_numpy()
+            own = range_of(bounds, ids)
+            packed = pa.array([press.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())
+            twice = np.flatnonzero([i in also for i in ids.tolist()])
+            take = pa.array(np.append(np.arange(len(ids)), twice), pa.int64())
+            part = np.append(own, [also[i] for i in ids[twice].tolist()]).astype(np.int32)
+            extra = np.append(np.zeros(len(ids), dtype=bool), np.ones(len(twice), dtype=bool))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(extra), b.column(0).take(take), b.column(2).take(take), packed.take(take)], ["part", "extra", "doc_id", "key", "packed"])
 
-        own = range_of(bounds, ids.fillna(-(1 << 63)).to_numpy(dtype="int64")).tolist()
-        return pd.Series([[p, also[i]] if i in also else [p] for i, p in zip(ids.tolist(), own, strict=True)], dtype=object)
-
-    d = d.select(F.posexplode(parts("doc_id")).alias("extra", "part"), "doc_id", "text").withColumn("extra", F.col("extra") > 0)
-    return d.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("part"), "extra", F.desc("doc_id"), "text"), bounds
+    keyed = d.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    dealt = keyed.mapInArrow(deal, "part int, extra boolean, doc_id long, key binary, packed binary")
+    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("part"), "extra", F.desc_nulls_last("doc_id"), "key")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its fingerprint, that of its edited text and their likeness, and that to the next document's.
+    """Per row: its fingerprint, that of its edited text and their likeness, and that to the next document's; also ``key, size``.
 
     The edit replaces the last floor(n/2) code points by the first as many of the next document in
-    descending order of ids. Of rows that share an id the text decides the order. Rows without an id are left out.
+    descending order of ids, rows without an id last. Of rows that share an id a digest of the text decides the order.
     """
-    dealt, _ = next_in_order(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         held, rows = None, []
         for b in batches:
-            for part, extra, doc_id, text in zip(*(c for c in b.columns), strict=True):
-                part, extra, doc_id, text = part.as_py(), extra.as_py(), doc_id.as_py(), text.as_py()
-                sig = text_signature(text)
+            for part, extra, doc_id, key, packed in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
+                text = unpress.decompress(packed.as_py()).decode()
+                hashes = shingle_hashes(text)
+                sig = signature(hashes)
                 if held is not None and held[0] == part:
                     rows.append(_compared(held, text, sig))
-                held = None if extra else (part, doc_id, text, sig)
+                held = None if extra else (part, doc_id, text, sig, key, len(hashes))
                 if len(rows) == 500:
                     yield _batch(rows)
                     rows = []
         yield _batch(rows)
 
-    return dealt.select("part", "extra", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return next_in_order(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in COMPARED))
+
+
+COMPARED = (
+    ("doc_id", "long", pa.int64()), ("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()), ("fingerprint", "string", pa.string()),
+    ("edited_fingerprint", "string", pa.string()), ("near_edited", "double", pa.float64()), ("near_next", "double", pa.float64()),
+    ("key", "binary", pa.binary()), ("size", "long", pa.int64()),
+)
 
 
 def _compared(held: tuple, next_text: str, next_sig: np.ndarray) -> tuple:
-    _, doc_id, text, sig = held
+    _, doc_id, text, sig, key, size = held
     half = len(text) // 2
     edited = text[: len(text) - half] + next_text[:half]
     e = text_signature(edited)
-    return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), sig.tobytes().hex(), e.tobytes().hex(), likeness(sig, e), likeness(sig, next_sig))
+    digests = (hashlib.sha256(edited.encode()).hexdigest(), sig.tobytes().hex(), e.tobytes().hex())
+    return (doc_id, len(text), *digests, likeness(sig, e), likeness(sig, next_sig), key, size)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    columns = zip(*rows, strict=True) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(names))
+    columns = zip(*rows, strict=True) if rows else [()] * len(COMPARED)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, _, k) in zip(columns, COMPARED, strict=True)], [n for n, _, _ in COMPARED])
+
+
+def compare_and_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of :func:`compare_with_edits` with ``class_id``, the smallest id of the class of verified near-duplicates."""
+    rows = written(compare_with_edits(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    found = classes(rows.withColumn("rank", F.col("doc_id")), _keyed(docs, id_col, text_col).select("key", "text"), similarity)
+    out = joined(rows.drop("size", "row"), found, "key", "left")
+    return out.withColumn("class_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best"))).drop("key", "n", "best")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_edits(table(spark, sf_dir, "documents"))
+    return compare_and_class(table(spark, sf_dir, "documents"))

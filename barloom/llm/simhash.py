@@ -12,8 +12,13 @@ free, so a shard never holds more than some 2**13 fingerprints: that is the boun
 the data. Trees travel to tasks by the shuffle on the shard key; nothing that grows with the corpus
 is broadcast or collected. Equal fingerprints are merged before, so exact copies cost one node.
 
+The pipeline's stage (:func:`one_of_each`) links texts of five-word Jaccard similarity 0.8 or more: there
+a BK-tree of each bucket of MinHash bands is searched within 20 bits, and what it finds is verified.
+
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows get
-the same class. A null id takes part in a class but is never its smallest id, unless all are null.
+the same class. A null id takes part in a class but is never its smallest id, unless all are null. A text
+of any length is one row of a task; its hashes are counted in blocks. An empty table gives no rows. Other
+columns, whatever their names, are not read, but for ``__row`` in :func:`one_of_each`, which must be free.
 """
 
 from __future__ import annotations
@@ -27,14 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import minhash
-from barloom.llm.common import table, written
+from barloom.llm import bands, minhash
+from barloom.llm.common import joined, sliced, table, text_key, without, written
 from barloom.llm.graph import connected_components
 
 BITS = 64
 SHARD = 2_000
 LEVELS = 4
 CHUNK = 1 << 16
+#: The radius within which texts of five-word Jaccard similarity 0.8 or more lie.
+WIDE = 20
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -69,18 +76,20 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, value: int) -> None:
+    def add(self, value: int) -> int:
+        """The number of the value's node."""
         at = 0
         while self.values:
             d = (self.values[at] ^ value).bit_count()
             if d == 0:
-                return
+                return at
             if d not in self.children[at]:
                 self.children[at][d] = len(self.values)
                 break
             at = self.children[at][d]
         self.values.append(value)
         self.children.append({})
+        return len(self.values) - 1
 
     def near(self, value: int, radius: int) -> Iterator[int]:
         """The numbers of the nodes within the radius."""
@@ -182,67 +191,73 @@ def links(fps: DataFrame, radius: int = 2, fp_col: str = "fp") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row: the class is named by its smallest id."""
     fps = written(fingerprints(docs, id_col, text_col, shingle))
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(fps, radius))
-    classed = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    roots = connected_components(links(firsts, radius))
+    classed = written(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     lowest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = classed.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = written(classed.join(lowest, "root").select("fp", "component_id", "n"))
+    return joined(fps, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def signed(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(row, doc_id, key, fp, buckets)`` per row of ``rows``: a digest of the text, its fingerprint and its MinHash buckets."""
+def tree_judged(texts: list[str], similarity: float, radius: int = WIDE, shingle: int = 3) -> list[int]:
+    """For each text the first one of its class: a BK-tree of the fingerprints gives the candidates, Jaccard's similarity decides.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, fp, buckets = [], [], []
-            for t in b.column(2):
-                text = t.as_py() or ""
-                data = text.encode()
-                key.append(xxhash.xxh3_128_digest(data))
-                fp.append(fingerprint(data, shingle))
-                buckets.append(minhash.band_buckets(minhash.signature(np.unique(minhash.shingle_hashes(text)))))
-            fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), fps, pa.array(buckets, pa.list_(pa.int64()))], ["row", "doc_id", "key", "fp", "buckets"])
-
-    kind = rows.select(id_col).dtypes[0][1]
-    return rows.select("__row", id_col, text_col).mapInArrow(run, f"row long, doc_id {kind}, key binary, fp long, buckets array<long>")
-
-
-def similar_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """``(row, doc_id, key, class)`` per row: classes linked by the exact Jaccard similarity of five-word shingle sets.
-
-    ``rows`` has a column ``__row`` that numbers its rows and must not change when it is read again. Candidates
-    share a class of the trees or a band of a MinHash signature. The trees alone can't cover the similarity: at
-    0.8 the fingerprints differ in some 8 bits and up to 18, where a tree's search is a scan and a fingerprint
-    goes to a hundred shards and more. Bands miss a pair of similarity 0.8 with a chance below 1e-7. Every
-    candidate is verified (see :func:`minhash.bucket_links`), and only candidates' shingle sets are made.
+    Fingerprints of texts of similarity 0.8 differ in some 8 bits, with a spread of 2.6, so ``WIDE`` = 20 bits
+    lose about one in a million.
+    """
+    tree, members, parent, sets = BKTree(), [], list(range(len(texts))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, t in enumerate(texts):
+        fp = fingerprint(t.encode(), shingle)
+        sets.append(minhash.shingle_set(t))
+        for node in tree.near(fp, radius):
+            for j in members[node]:
+                a, b = root(i), root(j)
+                if a != b and bands.jaccard(sets[i], sets[j]) >= similarity:
+                    parent[max(a, b)] = min(a, b)
+        at = tree.add(fp)
+        if at == len(members):
+            members.append([])
+        members[at].append(i)
+    return [root(i) for i in range(len(texts))]
+
+
+def similar_classes(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, radius: int = WIDE, shingle: int = 3) -> DataFrame:
+    """``(key, n, best)`` of similar texts, see :func:`barloom.llm.bands.similar_classes`: each bucket is the shard of a BK-tree.
+
+    A search of ``WIDE`` bits can't be sharded by groups of agreeing bits: a fingerprint would go to a hundred
+    shards and each search would be a scan. So the shards are the buckets of MinHash bands.
     """
-    all_rows = written(signed(rows, id_col, text_col, shingle))
-    firsts = written(all_rows.groupBy("key").agg(F.min("row").alias("node")))
-    nodes = all_rows.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    trees = connected_components(links(all_rows, radius))
-    in_tree = nodes.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("bucket"))
-    left = nodes.select("node", F.explode("buckets").alias("bucket")).unionByName(in_tree)
-    shared = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = written(left.join(shared, "bucket", "left_semi"))
-    met = left.select(F.col("node").alias("__row")).distinct()
-    sets = written(minhash.shingle_sets(rows.join(met, "__row", "left_semi"), "__row", text_col))
-    classes = connected_components(written(minhash.bucket_links(left, sets, similarity)))
-    of_key = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    return all_rows.select("row", "doc_id", "key").join(of_key.select("key", "class"), "key")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their class of similar texts, with their columns as they are.
-
-    Ids are taken to be unique; rows that share an id share its decision, and rows without an id stay.
+    return bands.similar_classes(rows, texts, lambda held: tree_judged(held, similarity, radius, shingle), minhash.shingle_set, similarity)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """One row of each class of similar texts, with its columns as they are: the one with the smallest id.
+
+    Rows are told apart by number, not by id: of repeated rows one stays, of rows that share an id each class
+    keeps its own, and rows without an id stay only where their class has no other. Null texts are empty.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = written(similar_classes(rows, id_col, text_col, shingle, radius, similarity))
-    lowest = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    gone = found.filter(F.col("doc_id").isNotNull()).join(lowest, ["class", "doc_id"], "left_anti").select(F.col("doc_id").alias("__gone")).distinct()
-    return rows.join(gone, rows[id_col] == gone["__gone"], "left_anti").drop("__row")
+    keyed = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            hashes = [minhash.shingle_hashes(t.as_py() or "") for t in b.column(3)]
+            size, fp = pa.array([len(h) for h in hashes], pa.int64()), pa.array([minhash.signature(h).tobytes().hex() for h in hashes], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), size, fp], ["row", "doc_id", "key", "size", "fingerprint"])
+
+    signed = written(keyed.mapInArrow(run, f"row long, doc_id {keyed.dtypes[1][1]}, key binary, size long, fingerprint string"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    signed = signed.withColumn("rank", rank)
+    found = similar_classes(signed, keyed.select("key", "text"), similarity)
+    gone = written(joined(signed.select("row", "key"), found, "key").filter("row <> best.row").select(F.col("row").alias("__row")))
+    return without(rows, gone, "__row").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
