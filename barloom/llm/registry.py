@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import bpe, minhash, packing, pii, quality_rules, records, secret_scan, simhash, toxicity, weak_quality
+from barloom.llm import bpe, importance, minhash, packing, pii, quality_rules, records, secret_scan, simhash, toxicity, weak_quality
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
+    "op11_importance": importance.op11_importance,
 }
 
 ORACLE_SQL = {
     "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
 }
