@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from barloom.llm import bpe, importance, minhash, packing, pii, quality_rules, records, secret_scan, simhash, sketch, toxicity, weak_quality
+from barloom.llm import alignment, bpe, importance, minhash, packing, pii, quality_rules, records, secret_scan, simhash, sketch, toxicity, weak_quality
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_importance": importance.op11_importance,
     "op12_fast_sketch": sketch.op12_fast_sketch,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
