@@ -40,69 +40,135 @@ BLOCK_WORDS = 4_000_000
 WEIGHED_WORDS = 500_000
 #: Rows that a task ranks, about.
 ROWS_PER_RANGE = 1_000_000
-#: Other ASCII becomes a blank, and A-Z become a-z; bytes beyond ASCII are those of word characters.
-_KEPT = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_KEPT).split()
+#: What each byte becomes: A-Z become a-z, other ASCII nothing; bytes beyond ASCII are those of word characters.
+_KEPT = np.array([b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 0 for b in range(256)], dtype=np.uint8)
 
 
 class Block:
     """Some texts, and the dictionary of their distinct features."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.texts: list[np.ndarray] = []
-        self.n_words = 0
-
-    def add(self, text: str | None) -> None:
-        w = words(text)
-        for x in dict.fromkeys(w):
-            self.number.setdefault(x, len(self.number))
-        self.texts.append(np.fromiter(map(self.number.__getitem__, w), dtype=np.int64, count=len(w)))
-        self.n_words += len(w)
+        self.letters: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []  # of words, in bytes
+        self.n_words: list[np.ndarray] = []  # of texts
+        self.total = 0
+
+    def add(self, texts: pa.Array) -> None:
+        """Cuts the texts of a column of strings into words, all at once; a word ends with its text."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+        until = np.cumsum(size)
+        raw = _KEPT[np.frombuffer(b"".join(t.as_buffer() for t in texts if t.is_valid), dtype=np.uint8)]
+        kept = raw > 0
+        first, last = kept.copy(), kept.copy()
+        first[1:] &= ~kept[:-1]
+        last[:-1] &= ~kept[1:]
+        some = size > 0
+        starts, ends = (until - size)[some], until[some] - 1
+        first[starts], last[ends] = kept[starts], kept[ends]
+        begin = np.flatnonzero(first)
+        self.letters.append(raw[kept])
+        self.sizes.append(np.flatnonzero(last) + 1 - begin)
+        self.n_words.append(np.diff(np.searchsorted(begin, until), prepend=0))
+        self.total += len(begin)
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words in order, and the number of the word at each place."""
+        ends = np.cumsum(np.concatenate([[0], *self.sizes]), dtype=np.int32)
+        every = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, *map(pa.py_buffer, (ends, np.concatenate([_KEPT[:0], *self.letters])))]).dictionary_encode()
+        order = pc.sort_indices(every.dictionary)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        return every.dictionary.take(order), rank[every.indices.to_numpy()]
 
     def runs(self, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """For each length of runs: the distinct runs, and for each place that begins one the place and the run's number."""
-        single = pa.array(list(self.number), pa.binary())
-        at = np.concatenate([np.zeros(0, dtype=np.int64), *self.texts])
-        sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(at))  # words from a place to its text's end
-        strings, number, places = single, at, np.arange(len(at))
+        single, at = self.numbered()
+        strings, number, places, left = single, at, np.arange(len(at), dtype=np.int32), self._left()
         yield strings, places, number
         for k in range(1, longest):
-            go_on = left[places] > k
-            places = places[go_on]
-            distinct, number = np.unique(number[go_on] * max(1, len(single)) + at[places + k], return_inverse=True)
-            first, last = (pa.array(x) for x in np.divmod(distinct, max(1, len(single))))
-            strings = pc.binary_join_element_wise(strings.take(first), single.take(last), b" ")
+            places, codes = _longer(k, len(single), at, left, places, number)
+            distinct, number = np.unique(codes, return_inverse=True)
+            strings = _joined(distinct, strings, single)
             yield strings, places, number
 
+    def counted(self, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """For each length of runs the distinct ones, by their first words, and how often they occur; the longest are only sorted."""
+        single, at = self.numbered()
+        strings, number, places, left = single, at, np.arange(len(at), dtype=np.int32), self._left()
+        yield strings, np.bincount(number, minlength=len(strings))
+        for k in range(1, longest):
+            places, codes = _longer(k, len(single), at, left, places, number)
+            if k + 1 < longest:
+                distinct, number, n = np.unique(codes, return_inverse=True, return_counts=True)
+            else:
+                codes.sort()
+                new = np.flatnonzero(np.diff(codes, prepend=-1))
+                distinct, n = codes[new], np.diff(new, append=len(codes))
+                del codes
+            strings = _joined(distinct, strings, single)
+            yield strings, n
+
+    def _left(self) -> np.ndarray:
+        """The number of words from each place to its text's end."""
+        n = np.concatenate([np.zeros(0, dtype=np.int64), *self.n_words])
+        return (np.repeat(np.cumsum(n), n) - np.arange(self.total)).astype(np.int32)
+
+
+def _longer(k: int, words: int, at: np.ndarray, left: np.ndarray, places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of ``k`` words that go on, and a code of each run with the next word."""
+    go_on = left[places] > k
+    places = places[go_on]
+    return places, number[go_on] * np.int64(words) + at[places + k]
+
+
+def _joined(codes: np.ndarray, runs: pa.Array, single: pa.Array) -> pa.Array:
+    first, last = (pa.array(x) for x in np.divmod(codes, max(1, len(single))))
+    return pc.binary_join_element_wise(runs.take(first), single.take(last), b" ")
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list[pa.RecordBatch], Block]]:
     """The batches in slices, with the block of their texts."""
     held, block = [], Block()
     for b in sliced(batches, 128):
         held.append(b)
-        for t in b.column(column):
-            block.add(t.as_py())
-        if block.n_words >= most:
+        block.add(b.column(column))
+        if block.total >= most:
             yield held, block
             held, block = [], Block()
     if held:
         yield held, block
 
 
+def crc32(strings: pa.Array) -> np.ndarray:
+    """The unsigned CRC-32 of each string: all at once, byte by byte; long ones by zlib."""
+    ends = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8)
+    size = np.diff(ends)
+    crc = np.full(len(strings), 0xFFFFFFFF, dtype=np.uint32)
+    live = np.flatnonzero(size <= LONG)
+    for i in range(LONG):
+        live = live[size[live] > i]
+        if not len(live):
+            break
+        crc[live] = _CRC[(crc[live] ^ data[ends[live] + i]) & np.uint32(255)] ^ crc[live] >> np.uint32(8)
+    crc ^= np.uint32(0xFFFFFFFF)
+    for i in np.flatnonzero(size > LONG):
+        crc[i] = zlib.crc32(data[ends[i] : ends[i + 1]])
+    return crc
+
+
+LONG = 64
+#: The checksum's step for each byte: checksums of equal lengths differ as those of what their texts differ by.
+_CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], dtype=np.uint32)
+
+
 def feature_counts(texts: DataFrame, text_col: str = "text", longest: int = RUN) -> DataFrame:
     """``(feature, n)``: each distinct feature string of the whole table and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0, BLOCK_WORDS):
-            for strings, _, number in block.runs(longest):
-                n = np.bincount(number, minlength=len(strings))
-                order = pc.sort_indices(strings)
-                strings, n = strings.take(order).cast(pa.string()), pa.array(n).take(order)
+            for strings, n in block.counted(longest):
+                strings, n = strings.cast(pa.string()), pa.array(n)
                 for i in range(0, len(strings), 1 << 16):
                     yield pa.RecordBatch.from_arrays([strings[i : i + (1 << 16)], n[i : i + (1 << 16)]], ["feature", "n"])
 
@@ -133,16 +199,16 @@ def weights(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bucket = shared.value
         for held, block in _blocks(batches, 2, WEIGHED_WORDS):
-            ends = np.cumsum([len(t) for t in block.texts], dtype=np.int64)
+            n_words = np.concatenate(block.n_words)
+            ends = np.cumsum(n_words)
             n, total = np.zeros(len(ends), dtype=np.int64), np.zeros(len(ends), dtype=np.int64)
             for strings, places, number in block.runs(longest):
-                bucket = np.fromiter(map(zlib.crc32, strings.to_pylist()), dtype=np.int64, count=len(strings)) % len(of_bucket)
+                bucket = crc32(strings) % np.uint32(len(of_bucket))
                 sums = np.concatenate([[0], np.cumsum(of_bucket[bucket][number])])
                 until = np.searchsorted(places, ends)  # runs that begin in a text or before
                 n += np.diff(until, prepend=0)
                 total += np.diff(sums[until], prepend=0)
             weight = np.where(n > 0, total // np.maximum(n, 1), 0)
-            n_words = np.diff(ends, prepend=0)
             at = 0
             for b in held:
                 of = slice(at, at := at + b.num_rows)
