@@ -7,6 +7,7 @@ series end up in one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us
@@ -18,6 +19,8 @@ Keys = tuple[str, ...]
 REPORT = (0.3, 1.5)
 PLAN = (0.3, 1.0)
 STRICT = (0.1, 1.0)
+#: Ranges that are sent to all tasks (one a key), or that a key's one window takes.
+FEW_RANGES = 10_000
 
 
 def _limit(a: Column, b: Column, step: int, thresholds: tuple[float, float]) -> Column:
@@ -52,13 +55,24 @@ def largest(gaps: DataFrame, n: int, keys: Keys = ("symbol",)) -> DataFrame:
     return gaps.orderBy(F.desc("duration_us"), *keys, "start_us").limit(n)
 
 
-def coalesce_ranges(ranges: DataFrame, step: int, keys: Keys = ("symbol",)) -> DataFrame:
-    """``keys, start_us, end_us``: ranges merged where the next starts no later than two intervals after the ones before end."""
+def coalesce_ranges(ranges: DataFrame, step: int, keys: Keys = ("symbol",), few: int = FEW_RANGES) -> DataFrame:
+    """``keys, start_us, end_us``: ranges merged where the next starts no later than two intervals after the ones before end.
+
+    The ranges are written once and counted. Few of them are one plain window a key; of many, a key's ranges run in
+    buckets of time, so that one key spreads over tasks.
+    """
     order = ["start_us", "end_us"]
-    marked = with_running(ranges.select(*keys, *order), step, keys, "start_us", order, "__reach", F.col("end_us"), "max", inclusive=False)
-    new = (F.col("__reach").isNull() | (F.col("start_us") > F.col("__reach") + 2 * step)).cast("int")
-    marked = cut(marked.select(*keys, *order, new.alias("__new")))
-    islands = with_running(marked, step, keys, "start_us", order, "__island", F.col("__new"), "sum")
+    held = cut(ranges.select(*keys, *order))
+    if held.count() <= few:
+        w = W.partitionBy(*keys).orderBy(*order)
+        marked = held.withColumn("__reach", F.max("end_us").over(w.rowsBetween(W.unboundedPreceding, -1)))
+        new = (F.col("__reach").isNull() | (F.col("start_us") > F.col("__reach") + 2 * step)).cast("int")
+        islands = marked.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        marked = with_running(held, step, keys, "start_us", order, "__reach", F.col("end_us"), "max", inclusive=False)
+        new = (F.col("__reach").isNull() | (F.col("start_us") > F.col("__reach") + 2 * step)).cast("int")
+        marked = cut(marked.select(*keys, *order, new.alias("__new")))
+        islands = with_running(marked, step, keys, "start_us", order, "__island", F.col("__new"), "sum")
     return islands.groupBy(*keys, "__island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__island")
 
 
@@ -83,7 +97,7 @@ def missing_segments(df: DataFrame, wanted: DataFrame, step: int, thresholds: tu
     steps = with_next(every, step, keys, "__t", ("__end",)).select(*keys, F.col("__t").alias("__a"), F.col("__next").alias("__b"), (F.col("__end") | F.col("__next___end")).alias("__at_end"))
     limit = F.when(F.col("__at_end"), F.lit(step)).otherwise(_limit(F.col("__a"), F.col("__b"), step, thresholds))
     missing = steps.filter(F.col("__b") - F.col("__a") > limit).select(*keys, (F.col("__a") + step).alias("start_us"), F.col("__b").alias("end_us"))
-    return coalesce_ranges(cut(missing), step, keys)
+    return coalesce_ranges(missing, step, keys)
 
 
 def grid(ranges: DataFrame, step: int, time: str = "open_us") -> DataFrame:
@@ -100,10 +114,23 @@ def missing_times(df: DataFrame, ranges: DataFrame, step: int, keys: Keys = ("sy
 
 
 def missing_islands(df: DataFrame, ranges: DataFrame, step: int, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
-    """``keys, start_us, end_us, missing``: runs of missing bars, from the first to the end of the last."""
-    missing = missing_times(df, ranges, step, keys, time)
-    counted = with_running(missing, step, keys, time, [time], "__n", F.lit(1), "sum")
-    return counted.withColumn("__i", F.col(time) - F.col("__n") * step).groupBy(*keys, "__i").agg(F.min(time).alias("start_us"), (F.max(time) + step).alias("end_us"), F.count("*").alias("missing")).drop("__i")
+    """``keys, start_us, end_us, missing``: runs of missing bars of half-open ranges (one a key), from the first to the end of the last.
+
+    Told by arithmetic from each bar to the next one and to the range's ends, so time without bars costs nothing:
+    no row is made for a bar that might be. Bars off the range's steps don't count.
+    """
+    bounds = ranges.filter("to_us > from_us").select(*keys, F.col("from_us").alias("__from"), (F.col("from_us") + F.ceil((F.col("to_us") - F.col("from_us")) / step) * step).alias("__to"))
+    bars = df.select(*keys, F.col(time).alias("__t"))
+    if bounds.count() <= FEW_RANGES:
+        near = bars.join(F.broadcast(bounds), list(keys))
+    else:
+        day = F.sequence(day_us(F.col("__from")), day_us(F.col("__to") - 1), F.lit(DAY))
+        near = bars.withColumn("__day", day_us(F.col("__t"))).join(bounds.withColumn("__day", F.explode(day)), [*keys, "__day"])
+    on_step = (F.col("__t") >= F.col("__from")) & (F.col("__t") < F.col("__to")) & (F.pmod(F.col("__t") - F.col("__from"), F.lit(step)) == 0)
+    ends = bounds.select(*keys, (F.col("__from") - step).alias("__t")).unionByName(bounds.select(*keys, F.col("__to").alias("__t")))
+    steps = with_next(near.filter(on_step).select(*keys, "__t").unionByName(ends), step, keys, "__t")
+    missing = steps.filter(F.col("__next") - F.col("__t") > step)
+    return missing.select(*keys, (F.col("__t") + step).alias("start_us"), F.col("__next").alias("end_us"), ((F.col("__next") - F.col("__t")) / step - 1).cast("long").alias("missing"))
 
 
 def stream_gaps(df: DataFrame, step: int, most: int = 1_440, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:

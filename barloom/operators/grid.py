@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.gaps import grid
-from barloom.operators.runs import filled, with_context
+from barloom.operators.runs import BUCKET, filled, with_context, with_frame
 
 Keys = tuple[str, ...]
 
@@ -23,8 +23,15 @@ def reindex(df: DataFrame, ranges: DataFrame, step: int, fill: str | None = None
     return filled(full, step, keys, time, values, forward=fill == "forward")
 
 
-def moving_average(full: DataFrame, column: str, n: int, step: int, name: str, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
-    """A regular series with the mean of the last ``n`` rows, null until all of them have a value."""
+def moving_average(full: DataFrame, column: str, n: int, step: int, name: str, keys: Keys = ("symbol",), time: str = "open_us", long: int = BUCKET) -> DataFrame:
+    """A regular series with the mean of the last ``n`` rows, null until all of them have a value.
+
+    A frame shorter than ``long`` is read from the rows of its bucket and a copy of those before it; longer ones,
+    however long, come from differences of running sums, which agree to the last few bits of the sums.
+    """
+    if n >= long:
+        held = with_frame(full, step, keys, time, column, n)
+        return held.withColumn(name, F.when(F.col("__held") == n, F.col("__sum") / n)).drop("__sum", "__held")
     w = W.partitionBy(*keys, "__bucket").orderBy(time).rowsBetween(-(n - 1), 0)
     mean = F.when(F.count(column).over(w) == n, F.avg(column).over(w))
     return with_context(full, step, keys, time, n - 1).withColumn(name, mean).filter(~F.col("__copy")).drop("__bucket", "__copy")

@@ -88,8 +88,28 @@ def filled(df: DataFrame, step: int, keys: Keys, time: str, columns: list[str],
 def with_context(df: DataFrame, step: int, keys: Keys, time: str, back: int, size: int = BUCKET) -> DataFrame:
     """Rows of a regular series with ``__bucket``, and again (``__copy``) in the next bucket if they are within ``back`` steps of it."""
     if back >= size:
-        raise ValueError("the frame must be shorter than a bucket")
+        raise ValueError("the frame must be shorter than a bucket; with_frame takes longer ones")
     d = bucketed(df, time, step, size)
     ahead = F.floor((F.col(time) + back * step) / (step * size)).cast("long")
     both = F.when(ahead > F.col("__bucket"), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("c")), F.struct(ahead.alias("b"), F.lit(True).alias("c")))).otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("c"))))
     return d.withColumn("__x", F.explode(both)).withColumns({"__bucket": F.col("__x.b"), "__copy": F.col("__x.c")}).drop("__x")
+
+
+def with_frame(df: DataFrame, step: int, keys: Keys, time: str, column: str, n: int, size: int = BUCKET) -> DataFrame:
+    """Rows of a regular series with ``__sum, __held``: the sum of a column over the last ``n`` rows and how many of them have a value; a frame of any length.
+
+    Sums run from a bucket's start, and those of whole buckets over the table of buckets; a frame's sum is what
+    both come to at its last row less what they came to at the row before its first, which is joined by its time.
+    """
+    d = dealt(df, time, step, keys, size)
+    w = W.partitionBy(*keys, "__bucket").orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    rows = d.withColumns({"__s": F.coalesce(F.sum(column).over(w), F.lit(0.0)), "__n": F.count(column).over(w)})
+    totals = d.groupBy(*keys, "__bucket").agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("__t"), F.count(column).alias("__c"))
+    over = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*keys, "__bucket", F.coalesce(F.sum("__t").over(over), F.lit(0.0)).alias("__bs"), F.coalesce(F.sum("__c").over(over), F.lit(0)).alias("__bn"))
+    at = rows.join(before, [*keys, "__bucket"])
+    reached = ("__s", "__n", "__bs", "__bn")
+    left = at.select(*keys, (F.col(time) + n * step).alias(time), *[F.col(c).alias(f"{c}0") for c in reached])
+    less = lambda a, b: F.col(a) - F.coalesce(f"{a}0", F.lit(0)) + F.col(b) - F.coalesce(f"{b}0", F.lit(0))
+    both = at.join(left, [*keys, time], "left").withColumns({"__sum": less("__s", "__bs"), "__held": less("__n", "__bn")})
+    return both.drop("__bucket", *reached, *[f"{c}0" for c in reached])

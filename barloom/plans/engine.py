@@ -19,6 +19,7 @@ from barloom.operators import gaps, grid
 from barloom.operators.merge import diagonal_union, keep_first, priority_merge
 from barloom.operators.schema import SOURCE, with_source
 from barloom.operators.validate import ValidationError
+from barloom.sources.remote import Fetched
 from barloom.sources.scratch import cut
 from barloom.streaming import live
 from barloom.streaming.live import StreamConfig
@@ -38,10 +39,10 @@ def in_range(df: DataFrame, column: str, start: Column, end: Column, closed: boo
 
 @dataclass(frozen=True)
 class Loader:
-    """A source: its name, and a function of (session, wanted ranges ``symbol, start_us, end_us``) to bars."""
+    """A source: its name, and a function of (session, wanted ranges ``symbol, start_us, end_us``) to bars, or to bars and what was refused."""
 
     name: str
-    load: Callable[[SparkSession, DataFrame], DataFrame]
+    load: Callable[[SparkSession, DataFrame], DataFrame | Fetched]
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,8 @@ class Engine:
         self.spark, self.config = spark, config or Config()
         by_name = {loader.name: loader for loader in loaders if loader.name not in self.config.loaders_off}
         self.loaders = [by_name[n] for n in self.config.order if n in by_name] if self.config.order else list(by_name.values())
+        #: Of the last call: by source, the ranges that it refused. The next source was asked for them.
+        self.left: dict[str, DataFrame] = {}
 
     def get_data(self, ranges: DataFrame, interval: str, enforce_source: str | None = None) -> DataFrame:
         """Bars of the ranges ``symbol, from_us, to_us`` (half-open).
@@ -76,20 +79,29 @@ class Engine:
         range is a row; missing ones are null or filled. Without it, what the first source has of a symbol
         is enough for that symbol; the symbols that it lacks go on to the next sources.
 
-        What is merged so far is written to the shared folder after each source but the last, so a source is
-        read once and the plan grows by one scan a source.
+        A source is asked only if something is missing: where the cache has all, no other one is opened. What a
+        source refuses (:class:`barloom.sources.remote.Fetched`) is missing for the next one, and told in ``left``.
+        What is merged so far is written to the shared folder after each source but the last, so a source is read once
+        and the plan grows by one scan a source; what is missing is written and counted, a small table beside the bars.
         """
         step, c = interval_us(interval), self.config
         loaders = [x for x in self.loaders if enforce_source in (None, x.name)]
         if not loaders:
             raise ValidationError("no such source", source=enforce_source)
-        whole = ranges.select("symbol", F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"))
+        wanted = ranges.select("symbol", F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"))
         merged: DataFrame | None = None
+        self.left = {}
         for i, loader in enumerate(loaders):
             if i == 1 and not c.regular:
                 ranges = cut(ranges.join(merged.select("symbol").distinct(), "symbol", "left_anti"))
-            wanted = whole if merged is None else gaps.missing_segments(merged, ranges, step, c.thresholds)
-            got = restrict(with_source(loader.load(self.spark, wanted), loader.name), wanted)
+            if i:
+                wanted = gaps.missing_segments(merged, ranges, step, c.thresholds)
+                if wanted.isEmpty():
+                    break
+            got = loader.load(self.spark, wanted)
+            if isinstance(got, Fetched):
+                self.left[loader.name], got = got.left, got.bars
+            got = restrict(with_source(got, loader.name), wanted)
             merged = priority_merge([got] if merged is None else [merged, got])
             if i + 1 < len(loaders):
                 merged = cut(merged)
@@ -107,12 +119,23 @@ class Engine:
         return df, time.time() - began, df.count()
 
 
-    def get_funding(self, market: str, load: Callable[[SparkSession], DataFrame], start_us: int, end_us: int, cached: DataFrame | None = None) -> DataFrame:
-        """Funding rates ``symbol, funding_us, funding_rate`` of a closed range: of the cache, and of the source those times that it lacks; futures only."""
+    def get_funding(self, market: str, load: Callable[[SparkSession, DataFrame], DataFrame], start_us: int, end_us: int, cached: DataFrame | None = None, symbols: list[str] | None = None, interval: str = "8h") -> DataFrame:
+        """Funding rates ``symbol, funding_us, funding_rate`` of a closed range: of the cache, and of the source what the cache lacks; futures only.
+
+        ``load`` gets the ranges ``symbol, start_us, end_us`` that are missing and isn't called where nothing is. Without
+        ``symbols`` those of the cache are meant, and without a cache the source decides: its ranges name no symbol.
+        """
         if market not in (USDM, COINM):
             raise ValidationError("only futures have funding rates", market=market)
-        fresh = in_range(load(self.spark), "funding_us", F.lit(start_us), F.lit(end_us), closed=True)
-        frames = [with_source(fresh, "REST")] if cached is None else [with_source(in_range(cached, "funding_us", F.lit(start_us), F.lit(end_us), closed=True), "CACHE"), with_source(fresh, "REST")]
+        held = None if cached is None else cut(in_range(cached, "funding_us", F.lit(start_us), F.lit(end_us), closed=True))
+        span = [F.lit(start_us).alias("from_us"), F.lit(end_us + 1).alias("to_us")]
+        of = held.select("symbol").distinct() if symbols is None and held is not None else self.spark.createDataFrame([(s,) for s in symbols or [None]], "symbol string")
+        ranges = of.select("symbol", *span)
+        wanted = ranges.withColumnsRenamed({"from_us": "start_us", "to_us": "end_us"}) if held is None else gaps.missing_segments(held, ranges, interval_us(interval), self.config.thresholds, time="funding_us")
+        frames = [] if held is None else [with_source(held, "CACHE")]
+        if not wanted.isEmpty():
+            fresh = in_range(load(self.spark, wanted), "funding_us", F.lit(start_us), F.lit(end_us), closed=True)
+            frames.append(with_source(fresh if held is None and symbols is None else restrict(fresh, wanted, at="funding_us"), "REST"))
         every = diagonal_union([f.withColumn("__first", F.lit(i)) for i, f in enumerate(frames)])
         return keep_first(every, ("symbol", "funding_us"), ["__first"]).drop("__first")
 

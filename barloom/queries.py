@@ -1,7 +1,8 @@
 """The operators as queries over the test tables, and the same in SQL.
 
-The tables hold no bars, so bars are made of ``events``: an event type is a symbol, its value a price. Most event
-numbers are left out where a series must have holes, which is what the operators on gaps and grids are about.
+The tables hold no bars, so bars are made of ``events``: an event type is a symbol, its value a price. Where a series
+must have holes, which is what the operators on gaps and grids are about, some hours of the day are silent, other ones
+for each symbol and day; all events of the other hours count.
 Three overlapping sources are those events whose number is no multiple of 3, no multiple of 5, and a
 multiple of 7. Time leaves the engine as integer microseconds (``*_us``) or as time stamps without zone.
 """
@@ -101,7 +102,10 @@ def steps_sql(within: int, across: int, source: str = "b") -> str:
 
 
 REPORT_SQL = steps_sql(int(H * 1.3), int(H * 2.5))
-SPARSE = "event_id % 4 = 0"
+#: Outages: three of eleven hours, by symbol and day, one after the other or apart.
+SPARSE = "(hour(ts) * 5 + day(ts) * 3 + length(event_type)) % 11 > 2"
+#: Days that a catalogue has: all but one of four, by symbol.
+HELD_DAYS = "(day(ts) + length(event_type)) % 4 <> 0"
 COALESCE_SQL = f"""m as (select *, max(end_us) over (partition by symbol order by start_us, end_us rows between unbounded preceding and 1 preceding) as reach from x),
       n as (select *, sum(case when reach is null or start_us > reach + {2 * H} then 1 else 0 end) over (partition by symbol order by start_us, end_us rows unbounded preceding) as island from m)
       select symbol, min(start_us) as start_us, max(end_us) as end_us from n group by symbol, island"""
@@ -384,6 +388,19 @@ def moving_average_24(spark, d):
     return R.moving_average(full, "close", 24, H, "ma").select("symbol", "open_us", F.round("ma", 6).alias("ma_24"))
 
 
+MIN1, WEEK_ROWS = 60_000_000, 10_080
+
+
+@query(f"""with b as ({bars_sql(MIN1)}), {RANGES_SQL}, f as (select symbol, open_us, last_value(round(close * 100)::bigint ignore nulls) over (partition by symbol order by open_us) as cents
+      from (select symbol, unnest(range({FROM_US}, {TO_US}, {MIN1})) as open_us from r) left join b using (symbol, open_us))
+    select symbol, open_us, case when count(cents) over w = {WEEK_ROWS} then (sum(cents) over w)::double / {WEEK_ROWS} end as ma_week from f window w as (partition by symbol order by open_us rows between {WEEK_ROWS - 1} preceding and current row)""")
+def moving_average_week(spark, d):
+    """The mean of a week of minutes, a frame longer than a bucket; of whole cents, whose sums are exact in any order."""
+    cents = bars(spark, d, "1m").select("symbol", "open_us", F.round(F.col("close") * 100).cast("long").alias("cents"))
+    full = R.reindex(cents, ranges(spark, d), MIN1, "forward")
+    return R.moving_average(full, "cents", WEEK_ROWS, MIN1, "ma_week").select("symbol", "open_us", "ma_week")
+
+
 @query(_FULL_SQL + """ select symbol, count(*) as rows, round((count(open) + count(close)) / 2.0 / count(*) * 100, 6) as pct_values, count(*) filter (open is null or close is null) as rows_with_null,
     round(count(*) filter (open is null or close is null)::double / count(*) * 100, 6) as pct_rows_with_null from f group by symbol""")
 def completeness_pct(spark, d):
@@ -620,11 +637,11 @@ def interval_list_parse(spark, d):
 
 # cache and catalogue ----------------------------------------------------------------------
 
-_CATALOG_SQL = f"cat as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, count(*) as num_records, count(*) * 80 as file_size from events where {SPARSE} and event_id % 16 <> 0 and user_id % 3 = 0 group by 1, 2)"
+_CATALOG_SQL = f"cat as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, count(*) as num_records, count(*) * 80 as file_size from events where {SPARSE} and {HELD_DAYS} group by 1, 2)"
 
 
 def _catalog(spark, d):
-    e = read(spark, d, "events").filter(f"{SPARSE} and event_id % 16 <> 0 and user_id % 3 = 0")
+    e = read(spark, d, "events").filter(f"{SPARSE} and {HELD_DAYS}")
     return e.groupBy(F.col("event_type").alias("symbol"), I.day_us(I.micros(F.col("ts"))).alias("day_us")).agg(F.count("*").alias("num_records"), (F.count("*") * 80).alias("file_size"))
 
 

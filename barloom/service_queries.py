@@ -18,7 +18,7 @@ from barloom.operators import schema as S
 from barloom.operators import universe as U
 from barloom.operators import validate as V
 from barloom.plans import engine as E
-from barloom.queries import COALESCE_SQL, DAY, FROM_US, H, PICK, RANGES_SQL, ROUNDED, SPARSE, TO_US, bars, bars_sql, query, ranges, read, rounded, ticks
+from barloom.queries import COALESCE_SQL, DAY, FROM_US, H, HELD_DAYS, PICK, RANGES_SQL, ROUNDED, SPARSE, TO_US, bars, bars_sql, query, ranges, read, rounded, ticks
 from barloom.queries import _symbols, _SYMBOL_SQL
 from barloom.sources import cache as Q
 from barloom.sources import catalog as C
@@ -180,11 +180,11 @@ def catalog_of_bars(spark, d):
     return spark.read.parquet(path)
 
 
-_DAYS_SQL = f"cat as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, count(*) as num_records from events where event_id % 7 = 0 group by 1, 2)"
+_DAYS_SQL = f"cat as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, count(*) as num_records from events where {HELD_DAYS} group by 1, 2)"
 
 
 def _days(spark, d):
-    return ticks(spark, d, "event_id % 7 = 0").groupBy("symbol", I.day_us(I.micros(F.col("ts"))).alias("day_us")).agg(F.count("*").alias("num_records"))
+    return ticks(spark, d, HELD_DAYS).groupBy("symbol", I.day_us(I.micros(F.col("ts"))).alias("day_us")).agg(F.count("*").alias("num_records"))
 
 
 @query(f"with {_DAYS_SQL} select symbol, '1h' as interval, strftime(make_timestamp(day_us), '%Y-%m-%d') as day, num_records, num_records * 80 as file_size, symbol || '/1h' as path from cat")
@@ -274,8 +274,7 @@ def _zipped(spark, d, where: str = "true") -> str:
 
 
 def _bulk(spark, d, where: str = "true") -> DataFrame:
-    symbols = ",".join(sorted(r[0] for r in ranges(spark, d).select("symbol").collect()))  # a handful of event types
-    return spark.read.format("barloom_bulk").options(path=_zipped(spark, d, where), symbols=symbols, interval="1h", start_us=FROM_US, end_us=TO_US).load()
+    return spark.read.format("barloom_bulk").options(path=_zipped(spark, d, where), interval="1h").load().where(f"open_us >= {FROM_US} and open_us < {TO_US}")
 
 
 @query(f"select symbol, open_us, open, close, trades as count, true as checksum_ok from ({bars_sql()})")
@@ -283,6 +282,28 @@ def bulk_source(spark, d):
     return _bulk(spark, d).select("symbol", "open_us", "open", "close", "count", "checksum_ok")
 
 
+@query(f"select symbol, open_us, close, trades as count from ({bars_sql()}) where symbol in ('click', 'view') and open_us > {D10} and open_us <= {D20} and trades >= 1 and close > 50")
+def bulk_source_where(spark, d):
+    """A plain ``where``: symbols and times choose the files, the price is compared by Spark."""
+    df = spark.read.format("barloom_bulk").options(path=_zipped(spark, d), interval="1h").load()
+    return df.where(f"symbol in ('click', 'view') and open_us > {D10} and open_us <= {D20} and close > 50").select("symbol", "open_us", "close", "count")
+
+
+#: Other ranges for each symbol: a day for each letter of its name, then a pause, then a day more.
+_OWN_SQL = f"own as (select distinct event_type as symbol, {D10} as start_us, {D10} + length(event_type) * {DAY} as end_us from events union select distinct event_type, {D20}, {D20 + DAY} from events)"
+
+
+def _own_ranges(spark, d) -> DataFrame:
+    s = ranges(spark, d).select("symbol")
+    first = s.select("symbol", F.lit(D10).alias("start_us"), (F.lit(D10) + F.length("symbol") * DAY).alias("end_us"))
+    return first.unionByName(s.select("symbol", F.lit(D20).alias("start_us"), F.lit(D20 + DAY).alias("end_us")))
+
+
+@query(f"with {_OWN_SQL} select b.symbol, open_us, close, trades as count from ({bars_sql()}) b join own on b.symbol = own.symbol and open_us >= start_us and open_us < end_us")
+def bulk_ranges_by_symbol(spark, d):
+    return remote.fetch_days(_own_ranges(spark, d), _zipped(spark, d), "1h", task_bytes=1_000).select("symbol", "open_us", "close", "count")
+
+
 @query(f"""with b as ({bars_sql(H, SPARSE)}), e as ({bars_sql(H)}), g as (select symbol, open_us as start_us, nxt as end_us from (select symbol, open_us, lead(open_us) over (partition by symbol order by open_us) as nxt from b)
       where nxt - open_us > case when open_us // {DAY} = nxt // {DAY} then {int(H * 1.3)} else {int(H * 2.5)} end),
     n as (select symbol, start_us - {H // 2} as f, end_us + {H // 2} as t from g where start_us % {DAY} = 0 or end_us % {DAY} = 0),
@@ -313,8 +334,8 @@ def file_checksums(spark, d):
     return both.join(regions.select(F.col("r_regionkey").cast("long").alias("k"), "r_name"), "k").select("r_name", "actual", "matches")
 
 
-def _pages(spark, d, hyphen: bool = False) -> str:
-    """Answers of 12-element arrays a day, each with the first row of the next day again; or of 9-element arrays, newest first."""
+def _pages(spark, d, hyphen: bool = False, refused: str = "false") -> str:
+    """Answers of 12-element arrays a day, each with the first row of the next day again; or of 9-element arrays, newest first. Days that are refused (a condition on ``symbol, day``) answer with a limit."""
     url = f"{_url(spark)}/pages"
     b = bars(spark, d)
     ms = F.floor(F.col("open_us") / 1000).cast("long")
@@ -325,7 +346,8 @@ def _pages(spark, d, hyphen: bool = False) -> str:
     g = rows.groupBy("symbol", "day").agg(F.min("open_us").alias("lo"), F.max("open_us").alias("hi"), F.sort_array(F.collect_list(F.struct("open_us", "r")), asc=not hyphen).alias("a"))
     folder = F.concat_ws("/", "symbol", F.lit("1H" if hyphen else "1h"))
     name = F.concat(folder, F.lit("/"), "lo", F.lit("-"), "hi", F.lit(".json"))
-    remote.write_files(g.select(name.alias("name"), F.to_json(F.transform("a", lambda x: x["r"])).alias("content")), url)
+    content = F.when(F.expr(refused), F.lit('{"status": 429, "retry_after": 5}')).otherwise(F.to_json(F.transform("a", lambda x: x["r"])))
+    remote.write_files(g.select(name.alias("name"), content.alias("content")), url)
     remote.register(spark)
     return url
 
@@ -344,6 +366,57 @@ def paged_source_ranges(spark, d):
     return _paged(spark, _pages(spark, d), ranges=f"{FROM_US}-{FROM_US + DAY},{D10}-{D20}")
 
 
+@query(f"select symbol, open_us, close from ({bars_sql()}) where symbol = 'click' and open_us >= {D10} and open_us < {D20} and close > 50")
+def paged_source_where(spark, d):
+    df = spark.read.format("barloom_paged").options(path=_pages(spark, d), interval="1h", page_rows=100).load()
+    return df.where(f"symbol = 'click' and open_us >= {D10} and open_us < {D20} and close > 50").select("symbol", "open_us", "close")
+
+
+@query(f"with {_OWN_SQL} select b.symbol, open_us, close from ({bars_sql()}) b join own on b.symbol = own.symbol and open_us >= start_us and open_us < end_us")
+def paged_ranges_by_symbol(spark, d):
+    return remote.fetch_pages(_own_ranges(spark, d), _pages(spark, d), "1h", page_rows=30, task_bytes=1_000).bars.select("symbol", "open_us", "close")
+
+
+#: The limit is met on the day of the second range and on the third day of the first one, by symbols of other lengths.
+_REFUSED = f"symbol = 'click' and day = {D20} or symbol = 'view' and day = {D10 + 2 * DAY}"
+#: Pages of 30 hours from each range's start: the one that meets the refused day ends its range.
+_LEFT_SQL = f"lf as (select symbol, {D20} as start_us, {D20 + DAY} as end_us from own where symbol = 'click' and start_us = {D20} union select symbol, start_us + {30 * H}, end_us from own where symbol = 'view' and start_us = {D10})"
+
+
+@query(f"""with {_OWN_SQL}, {_LEFT_SQL}, b as ({bars_sql()}) select 'bar' as kind, b.symbol, open_us as start_us, open_us + {H} as end_us from b join own on b.symbol = own.symbol and open_us >= own.start_us and open_us < own.end_us
+      where not exists (select 1 from lf where lf.symbol = b.symbol and lf.end_us = own.end_us and open_us >= lf.start_us)
+    union all select 'left', symbol, start_us, end_us from lf""")
+def paged_partial(spark, d):
+    """Pages until a limit is met, and the ranges that are left."""
+    got = remote.fetch_pages(_own_ranges(spark, d), _pages(spark, d, refused=_REFUSED), "1h", page_rows=30, task_bytes=1_000)
+    bars_ = got.bars.select(F.lit("bar").alias("kind"), "symbol", F.col("open_us").alias("start_us"), (F.col("open_us") + H).alias("end_us"))
+    return bars_.unionByName(got.left.select(F.lit("left").alias("kind"), "symbol", "start_us", "end_us"))
+
+
+@query(f"""with {RANGES_SQL}, b as ({bars_sql()}), grid as (select symbol, unnest(range({D10}, {D20}, {H})) as open_us from r)
+    select grid.symbol, grid.open_us, b.close, case when b.close is null then 'NONE' when grid.symbol = 'click' and grid.open_us >= {D10 + 100 * H} then 'VISION' else 'REST' end as _data_source from grid left join b using (symbol, open_us)""")
+def get_data_partial(spark, d):
+    """A source that meets a limit on the fifth day of one symbol; the next source is asked for the rest."""
+    url = _pages(spark, d, refused=f"symbol = 'click' and day = {D10 + 5 * DAY}")
+    asked = [E.Loader("REST", lambda s, wanted: remote.fetch_pages(wanted, url, "1h", page_rows=100)), E.Loader("VISION", lambda s, wanted: bars(s, d))]
+    whole = ranges(spark, d).withColumns({"from_us": F.lit(D10), "to_us": F.lit(D20)})
+    return E.Engine(spark, asked).get_data(whole, "1h").select("symbol", "open_us", "close", F.coalesce(S.SOURCE, F.lit("NONE")).alias(S.SOURCE))
+
+
+@query(f"""with b as ({bars_sql()}), {RANGES_SQL}, grid as (select symbol, unnest(range({D10}, {D20}, {H})) as open_us from r)
+    select symbol, open_us, last_value(close ignore nulls) over (partition by symbol order by open_us) as close, 'CACHE' as _data_source from grid left join b using (symbol, open_us)""")
+def get_data_cache_hit(spark, d):
+    """A cache that has every bar of the range: no other source is opened."""
+
+    def asked(s, wanted):  # noqa: ANN001, ANN202
+        raise ValueError("a source was asked though nothing is missing")
+
+    whole = ranges(spark, d).withColumns({"from_us": F.lit(D10), "to_us": F.lit(D20)})
+    full = R.reindex(bars(spark, d).select("symbol", "open_us", "close"), whole, H, "forward")
+    engine = E.Engine(spark, [E.Loader("CACHE", lambda s, wanted: full), E.Loader("REST", asked)])
+    return engine.get_data(whole, "1h").select("symbol", "open_us", "close", S.SOURCE)
+
+
 @query(f"select symbol, open_us, open, close from ({bars_sql()}) where symbol in ('click', 'view') and open_us >= {D10} and open_us < {D20}")
 def paged_source_newest_first(spark, d):
     return _paged(spark, _pages(spark, d, hyphen=True), start_us=D10, end_us=D20, style="hyphen")
@@ -374,7 +447,19 @@ def funding_source(spark, d):
 @query(f"select symbol, funding_us, funding_rate, case when (funding_us // {DAY}) % 2 = 0 then 'CACHE' else 'REST' end as _data_source from ({_RATES_SQL}) where funding_us between {D10} and {D20}")
 def funding_cached(spark, d):
     held = _rates(spark, d).filter(F.floor(F.col("funding_us") / DAY) % 2 == 0)
-    return E.Engine(spark, []).get_funding(K.USDM, lambda s: _funding_files(s, d), D10, D20, held)
+    return E.Engine(spark, []).get_funding(K.USDM, lambda s, wanted: _funding_files(s, d), D10, D20, held)
+
+
+@query(f"select symbol, funding_us, funding_rate, 'CACHE' as _data_source from ({_RATES_SQL}) where funding_us >= {D10} and funding_us < {D20} and symbol = 'click'")
+def funding_cache_hit(spark, d):
+    """A cache that has the whole range: the source isn't asked."""
+
+    def asked(s, wanted):  # noqa: ANN001, ANN202
+        raise ValueError("the source was asked")
+
+    full = R.reindex(_rates(spark, d).filter("symbol = 'click'").withColumn("told", F.lit(True)), spark.createDataFrame([("click", D10, D20)], "symbol string, from_us long, to_us long"), 8 * H, time="funding_us")
+    got = E.Engine(spark, []).get_funding(K.USDM, asked, D10, D20 - 1, full)
+    return got.filter("told").select("symbol", "funding_us", "funding_rate", S.SOURCE)
 
 
 # the live path -------------------------------------------------------------------------------
