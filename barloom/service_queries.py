@@ -482,7 +482,7 @@ _LIVE_GAPS_SQL = f"gp as (select symbol, prev + {H} as start_us, least(open_us,
 def _reconciled(spark, d) -> DataFrame:
     from barloom.queries import _replayed
 
-    return cut(_replayed(spark, d, lambda s: live.reconcile(live.gate(s), live.StreamConfig(most=4))))
+    return cut(_replayed(spark, d, lambda s: live.reconcile(live.gate(s), live.StreamConfig(most=4, tell_duplicates=True))))
 
 
 @query(f"""with {_LIVE_SQL}, {_LIVE_GAPS_SQL}, h as ({bars_sql()}), f as (select symbol, open_us, close, 'REST' as _data_source from h where exists (select 1 from gp where gp.symbol = h.symbol and open_us >= start_us and open_us < end_us))
@@ -491,7 +491,7 @@ def stream_backfill(spark, d):
     return live.backfill(_reconciled(spark, d), bars(spark, d), H).select("symbol", "open_us", "close", S.SOURCE)
 
 
-@query(f"with {_LIVE_SQL}, {_LIVE_GAPS_SQL} select symbol, '1h' as interval, (select count(*) from lv l where l.symbol = s.symbol) as bars, (select count(*) from gp where gp.symbol = s.symbol) as gaps, coalesce((select sum((end_us - start_us) // {H}) from gp where gp.symbol = s.symbol), 0)::bigint as to_fill from (select distinct symbol from lv) s")
+@query(f"with {_LIVE_SQL}, {_LIVE_GAPS_SQL} select symbol, '1h' as interval, (select count(*) from lv l where l.symbol = s.symbol) as bars, (select count(*) from lv l where l.symbol = s.symbol and open_us % {2 * H} = 0) as duplicates, (select count(*) from gp where gp.symbol = s.symbol) as gaps, coalesce((select sum((end_us - start_us) // {H}) from gp where gp.symbol = s.symbol), 0)::bigint as to_fill from (select distinct symbol from lv) s")
 def stream_counters(spark, d):
     return live.counters(_reconciled(spark, d))
 
@@ -502,6 +502,64 @@ def stream_outcome(spark, d):
     return live.outcome(_reconciled(spark, d), bars(spark, d), H)
 
 
+#: Bars of hours that aren't told live at first come late, after what was missing has been filled.
+_LATE_SQL = f"lt as (select symbol, open_us, close from ({bars_sql(H, SPARSE)}) where open_us // {H} % 10 = 0)"
+
+
+def _late_stream(spark, d, sink) -> str:  # noqa: ANN001
+    """Runs a stream of live bars and, after them, late ones through a :class:`live.Backfiller`; gives the folder of what it remembers."""
+    base = _url(spark)
+    late = F.floor(F.col("open_us") / H) % 10 == 0
+    b = bars(spark, d, "1h", SPARSE).select("symbol", F.lit("1h").alias("interval"), "open_us", (F.col("open_us") + H - 1).alias("close_us"), "open", "high", "low", "close", F.round("volume", 6).alias("volume"), F.lit(True).alias("is_closed"))
+    for part in (b.filter(~late), b.filter(late)):
+        part.repartition(2, "symbol").write.mode("append").parquet(f"{base}/in")
+    history = cut(bars(spark, d).withColumn("volume", F.round("volume", 6)))
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = live.Backfiller(history, H, sink, f"{base}/kept")
+    live.reconcile(live.gate(stream), live.StreamConfig(most=4)).writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/kept"
+
+
+_LATE_GAPS_SQL = _LIVE_GAPS_SQL + f", f as (select h.symbol, h.open_us, h.close from ({bars_sql()}) h where exists (select 1 from gp where gp.symbol = h.symbol and open_us >= start_us and open_us < end_us))"
+
+
+@query(f"""with {_LIVE_SQL}, {_LATE_SQL}, {_LATE_GAPS_SQL}
+    select symbol, open_us, close, 'STREAMING' as _data_source from lv union all select symbol, open_us, close, 'REST' from f anti join lv using (symbol, open_us) union all select symbol, open_us, close, 'STREAMING' from lt anti join f using (symbol, open_us)""")
+def stream_backfill_once(spark, d):
+    """Each bar comes out once: live, filled, or late where it hadn't been filled."""
+    path = f"{_url(spark)}/out"
+    _late_stream(spark, d, lambda df, n: df.select("symbol", "open_us", "close", S.SOURCE).write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return spark.read.parquet(path).select("symbol", "open_us", "close", S.SOURCE)
+
+
+@query(f"""with {_LIVE_SQL}, {_LATE_SQL}, {_LATE_GAPS_SQL}
+    select symbol, count(*) as duplicates from lt semi join f using (symbol, open_us) group by symbol""")
+def stream_late_copies(spark, d):
+    """Late live copies of bars that had been filled: dropped and counted."""
+    kept = _late_stream(spark, d, lambda df, n: df.count())
+    return spark.read.parquet(f"{kept}/counters").groupBy("symbol").agg(F.sum("duplicates").alias("duplicates")).filter("duplicates > 0")
+
+
+SILENT = 4 * DAY
+#: One symbol ends, one is silent for ten days; files are of three days each.
+_HEARD = f"(event_type <> 'click' or ts < timestamp '2024-01-20') and (event_type <> 'view' or ts < timestamp '2024-01-10' or ts >= timestamp '2024-01-20')"
+
+
+@query(f"""with b as ({bars_sql(H, _HEARD)}), n as (select symbol, open_us, coalesce(lead(open_us) over (partition by symbol order by open_us), (select max(open_us) from b)) as nxt from b)
+    select symbol, '1h' as interval, open_us as last_us, open_us + {H} as start_us, open_us + {SILENT} as silent_at_us from n where nxt - open_us > {SILENT}""")
+def stream_silences(spark, d):
+    """Series that say nothing for four days, told by a timer when the other series have passed that time."""
+    live.needs_timers(spark)
+    base = _url(spark)
+    b = bars(spark, d, "1h", _HEARD).select("symbol", F.lit("1h").alias("interval"), "open_us")
+    for i in range((TO_US - FROM_US) // (3 * DAY)):  # in the order of time: a file is a micro-batch
+        b.filter((F.col("open_us") >= FROM_US + 3 * i * DAY) & (F.col("open_us") < FROM_US + 3 * (i + 1) * DAY)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = live.silences(stream, SILENT).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # columns, times, symbols ----------------------------------------------------------------------
 
 
