@@ -6,6 +6,10 @@ space itself; neither gives special tokens, whose strings in a text are plain te
 both-label; the numbers of labels in a span are the numbers of A and B tokens of a group. Bytes between two labels
 belong to one A and one B token, so each label is a link of two tokens whose byte ranges overlap.
 
+No token of either vocabulary goes on from a letter into a space, and neither do merges. So a text is cut before
+each space that follows another character than white space, both end tokens there, and what is made of such a
+piece is remembered: frequent words are encoded and aligned once.
+
 An id pair counts the documents that hold it linked. The pairs of each document are written to the shared folder once;
 tasks sum them before the shuffle by pair. At most ``FEW_PAIRS`` counts, after they have been counted, are sent to all
 tasks. Beyond that they go back by shuffle: to the dictionaries of blocks of documents, so a frequent pair travels
@@ -22,7 +26,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe
-from barloom.llm.common import sliced, table, written
+from barloom.llm.common import Remembered, groups_of, sliced, table, written
 
 #: Pairs whose counts are broadcast, of 13 bytes each.
 FEW_PAIRS = 6_000_000
 #: Documents of a block, as a power of two, and pairs that a task sums at once.
 BLOCK_BITS, TASK_PAIRS = 10, 4_000_000
-KNOWN = 100_000
+#: Pieces of texts that a worker remembers, in each of two generations.
+KNOWN = 200_000
 #: Fixed value: the pattern that cuts texts for byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Labels by (A ends) + 2 * (B ends), and spans up to a both-label.
 LABELS = np.frombuffer(b".ab|", dtype=np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
+#: Pieces of a text after a space: where white space of another kind stands before a space, and elsewhere.
+CUT = re.compile(f"(?<=[^{bpe.SPACE}])(?= )")
+PIECES = re.compile(r" +[^ ]+| +\Z")
+MIXED = re.compile(f"[{bpe.SPACE.replace(' ', '')}] ")
 
 
 def piece_bpe_path() -> str:
@@ -81,9 +90,24 @@ class Pieces:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.encode = (sp := sentencepiece.SentencePieceProcessor(model_file=path)).encode
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = map(sp.id_to_piece, range(sp.vocab_size()))
         self.bytes = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(names)]
+        self.sp, self.space = sp, sp.piece_to_id("\u2581")
+        #: Whether no piece has a space after another character.
+        self.by_word = not any(b" " in b.lstrip(b" ") for b in self.bytes)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts that begin with a space, which the model adds itself."""
+        return [ids or [self.space] for ids in self.sp.encode([t[1:] for t in texts], num_threads=1)]
+
+
+#: What is remembered of a piece whose tokens aren't its bytes: a text with one counts less than no tokens.
+UNFIT = (b"", b"", -(1 << 62))
+
+
+def flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64)
 
 
 class Aligner:
@@ -93,18 +117,65 @@ class Aligner:
         self.a, self.b = ByteTokens(a_path), Pieces(b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in v.bytes], dtype=np.int64) for v in (self.a, self.b))
         #: Each id with what follows it: within a group, at the end of its tokens of A, and of B.
-        self.shown = [b"%d%s" % (i, c) for c in (b",", b"|") for i in range(len(self.a_size))] + [b"%d%s" % (i, c) for c in (b",", b";") for i in range(len(self.b_size))]
+        self.names = [b"%d%s" % (i, c) for n, last in ((len(self.a_size), b"|"), (len(self.b_size), b";")) for c in (b",", last) for i in range(n)]
         self.spans: dict[bytes, int] = {}
+        self.known = Remembered(KNOWN)
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of a text by A and by B, None where there are none or their bytes aren't the text after a space."""
-        if not text:
-            return None
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text after a space."""
         lead = f" {text}"
-        a, b, whole = self.a.encode(lead), self.b.encode(text), lead.encode()
-        if b"".join(map(self.b.bytes.__getitem__, b)) != whole or b"".join(map(self.a.bytes.__getitem__, a)) != whole:
-            return None
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        if not self.b.by_word:
+            return [lead]
+        return CUT.split(lead) if MIXED.search(lead) else PIECES.findall(lead)
+
+    def learn(self, pieces: list[str]) -> None:
+        """What is made of pieces: their groups as text, their links and the number of A tokens; ``UNFIT`` where the joined tokens aren't the piece."""
+        for i in range(0, len(pieces), 4_000):
+            some = pieces[i : i + 4_000]
+            tokens, raw = [list(map(self.a.encode, some)), self.b.encode(some)], [p.encode() for p in some]
+            if not self._fits(tokens, raw):
+                fit = [self._fits([[t[k]] for t in tokens], [r]) for k, r in enumerate(raw)]
+                self.known.now.update((p, UNFIT) for p, ok in zip(some, fit, strict=True) if not ok)
+                some, raw = list(compress(some, fit)), list(compress(raw, fit))
+                tokens = [list(compress(t, fit)) for t in tokens]
+                if not some:
+                    continue
+            a, b = map(flat, tokens)
+            labels = self.labels(a, b)
+            in_a, in_b = self.groups(labels)
+            n_a, n_b = ([len(x) for x in t] for t in tokens)
+            # in the text of the groups each token is one name, so a piece has as many as tokens
+            names, links = list(map(self.names.__getitem__, self.named(a, b, in_a, in_b).tolist())), self.links(labels, a, b).tobytes()
+            until_links = 8 * np.searchsorted(np.flatnonzero(labels), np.cumsum([len(r) for r in raw]))
+            lo = at = 0
+            for p, n, m, to in zip(some, n_a, n_b, until_links.tolist(), strict=True):
+                self.known.now[p] = (b"".join(names[lo : lo + n + m]), links[at:to], n)
+                lo, at = lo + n + m, to
+
+    def _fits(self, tokens: list[list[list[int]]], raw: list[bytes]) -> bool:
+        """Whether the joined tokens of all pieces are the pieces, by both vocabularies."""
+        sizes = np.array([len(r) for r in raw])
+        for v, size, t in zip((self.a, self.b), (self.a_size, self.b_size), tokens, strict=True):
+            n, ids = np.array([len(x) for x in t]), flat(t)
+            until = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(n)]
+            if (until != np.cumsum(sizes)).any() or b"".join(map(v.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                return False
+        return True
+
+    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, bytes | None]]:
+        """Per text the numbers of A and B tokens, groups and links, the digest of its groups and its distinct linked pairs, packed."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        self.learn(list(self.known.missing(set().union(*cut))))
+        for c in cut:
+            shown, links, n = zip(*map(self.known.now.__getitem__, c), strict=True) if c else ((), (), (-1,))
+            n_a = sum(n)
+            if n_a < 0:
+                yield (0, 0, 0, 0, "", None)
+                continue
+            text, codes = b"".join(shown)[:-1], np.frombuffer(b"".join(links), dtype=np.int64)
+            groups = text.count(b";") + 1
+            # a group of p and q tokens has p + q - 1 links
+            yield (n_a, len(codes) + groups - n_a, groups, len(codes), hashlib.sha256(text).hexdigest(), packed(*np.unique(codes, return_counts=True)))
 
     def labels(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The label of each byte, as a number: 1 where an A token ends, 2 where a B token does, 3 where both do."""
@@ -115,7 +186,7 @@ class Aligner:
         return out
 
     def groups(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of A and of B tokens in each group."""
+        """The numbers of A and of B tokens in each group: those of the labels in each span up to a both-label."""
         spans = SPAN.findall(LABELS[labels].tobytes())
         if len(self.spans) > KNOWN:
             self.spans.clear()
@@ -124,8 +195,8 @@ class Aligner:
         n = np.fromiter(map(self.spans.__getitem__, spans), dtype=np.int64, count=len(spans))
         return n >> 32, n & 0xFFFFFFFF
 
-    def digest(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
-        """SHA-256 of the groups, written as ``a1,a2|b1;a3|b2,b3``."""
+    def named(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
+        """Places in ``names`` that spell the groups as ``a1,a2|b1;a3|b2,b3;``: of each group its A tokens, then its B tokens."""
         last_a, last_b = np.cumsum(in_a) - 1, np.cumsum(in_b) - 1
         of_a, of_b = a.copy(), b + 2 * len(self.a_size)
         of_a[last_a] += len(self.a_size)
@@ -133,7 +204,7 @@ class Aligner:
         out = np.empty(len(a) + len(b), dtype=np.int64)
         out[np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)] = of_a
         out[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = of_b
-        return hashlib.sha256(b"".join(map(self.shown.__getitem__, out.tolist()))[:-1]).hexdigest()
+        return out
 
     def links(self, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id pairs of all links, as ``a << 32 | b``: each label ends a run of bytes that one A and one B token share."""
@@ -169,19 +240,10 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs)`` per row; ``pairs`` holds the distinct linked id pairs, see :func:`unpacked`."""
 
-    def row(t: Aligner, tokens: tuple[np.ndarray, np.ndarray] | None) -> tuple:
-        if tokens is None:
-            return (0, 0, 0, 0, "", None)
-        labels = t.labels(*tokens)
-        groups = t.groups(labels)
-        links = t.links(labels, *tokens)
-        codes, n = np.unique(links, return_counts=True)
-        return (len(tokens[0]), len(tokens[1]), len(groups[0]), len(links), t.digest(*tokens, *groups), packed(codes, n))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = aligner(a_path, b_path)
         for b in sliced(batches, 256):
-            rows = [row(t, t.tokens(x.as_py() or "")) for x in b.column(1)]
+            rows = [r for g in groups_of(x.as_py() or "" for x in b.column(1)) for r in t.align(g)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in KINDS]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, KINDS.values(), strict=True))], ["doc_id", *KINDS])
 

@@ -101,6 +101,22 @@ class Bitmap:
         return held
 
 
+class Remembered:
+    """What was made of keys, in two generations of at most ``limit`` each (or one call's): a full one is kept until the next is full, and keys that come again move on."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that have to be made and put into ``now``; all others are in it."""
+        lack = keys.difference(self.now)
+        if lack and len(self.now) + len(lack) > self.limit:
+            self.before, self.now, lack = self.now, {}, keys
+        known = self.before.keys() & lack
+        self.now.update((k, self.before[k]) for k in known)
+        return lack - known
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, few: int | None = None) -> DataFrame:
     """The rows whose key isn't in a written table of keys: by broadcast where these are few, else only rows that a bitmap lets pass are shuffled for the join."""
     if gone.count() <= (FEW_KEYS if few is None else few):
