@@ -51,6 +51,23 @@ def interval_us_of(name: Column) -> Column:
     return F.create_map(*[F.lit(x) for k, v in INTERVAL_SECONDS.items() for x in (k, v * SECOND)])[name]
 
 
+def parsed_interval(name: Column, default: str | None = None) -> Column:
+    """The interval of values (``1h``) and long names (``HOUR_1``, in any case) in a column; the default, or null, for others."""
+    units = {"s": "SECOND", "m": "MINUTE", "h": "HOUR", "d": "DAY", "w": "WEEK", "M": "MONTH"}
+    long = F.create_map(*[F.lit(x) for k in INTERVAL_SECONDS for x in (f"{units[k[-1]]}_{k[:-1]}", k)])
+    return F.coalesce(F.when(name.isin(*INTERVAL_SECONDS), name), long[F.upper(name)], F.lit(default).cast("string"))
+
+
+def smaller_of(name: Column) -> Column:
+    """The intervals shorter than that of a column, shortest first; null for unknown names."""
+    return F.create_map(*[x for k in INTERVAL_SECONDS for x in (F.lit(k), F.array(*map(F.lit, smaller_intervals(k))).cast("array<string>"))])[name]
+
+
+def rows_per_day_of(name: Column) -> Column:
+    """Rows of a complete day; 0 for unknown intervals and for those longer than a day."""
+    return F.coalesce(F.create_map(*[F.lit(x) for k in INTERVAL_SECONDS for x in (k, expected_rows_per_day(k))])[name], F.lit(0))
+
+
 def smaller_intervals(name: str) -> list[str]:
     return [k for k, v in INTERVAL_SECONDS.items() if v < INTERVAL_SECONDS[parse_interval(name)]]
 
@@ -179,3 +196,23 @@ def free_interval_us(name: str) -> int:
     if not n.isdecimal() or unit not in UNIT_SECONDS or not 1 <= int(n) <= 1_000:
         raise IntervalError(f"not an interval: {name}")
     return int(n) * UNIT_SECONDS[unit] * SECOND
+
+
+def free_us_of(name: Column) -> Column:
+    """The length of any interval of 1 to 1,000 units in a column; null for other texts."""
+    n = F.regexp_extract(name, "^([0-9]{1,4})([smhdwMy])$", 1).try_cast("int")
+    unit = F.create_map(*[F.lit(x) for k, v in UNIT_SECONDS.items() for x in (k, v * SECOND)])[F.regexp_extract(name, "^([0-9]{1,4})([smhdwMy])$", 2)]
+    return F.when(n.between(1, 1_000), n * unit)
+
+
+def described(start_us: Column, end_us: Column, from_us: Column, to_us: Column, days: int = 3) -> Column:
+    """How the ranges of :func:`resolved` came about, for people: from what was given and what it came to; null where there is no range."""
+    day = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd")
+    ago = F.concat(F.lit(f"{days} days back from "), day(to_us))
+    return (
+        F.when(from_us.isNull(), F.lit(None).cast("string"))
+        .when(start_us.isNotNull() & end_us.isNotNull(), F.concat(F.lit("from "), day(from_us), F.lit(" to "), day(to_us), F.lit(", as given")))
+        .when(end_us.isNotNull(), ago)
+        .when(start_us.isNotNull(), F.concat(F.lit(f"{days} days on from "), day(from_us)))
+        .otherwise(F.lit(f"{days} days back from now"))
+    )

@@ -172,3 +172,12 @@ def check_subscriptions(market: str, symbols: list[str]) -> list[str]:
     if len(names) > MAX_STREAMS.get(market, 1_024):
         raise ValueError(f"{len(names)} streams are more than {MAX_STREAMS.get(market, 1_024)}")
     return names
+
+
+def market_facts(market: Column) -> Column:
+    """``minimum_interval, default_symbol, page_rows, max_streams`` of a market in a column; null for unknown ones."""
+    made = F.lit(None).cast("struct<minimum_interval:string,default_symbol:string,page_rows:int,max_streams:int>")
+    for name, m in MARKETS.items():
+        facts = F.struct(F.lit(minimum_interval(name)).alias("minimum_interval"), F.lit(m.default_symbol).alias("default_symbol"), F.lit(m.page_rows).alias("page_rows"), F.lit(MAX_STREAMS[name]).alias("max_streams"))
+        made = F.when(market == name, facts).otherwise(made)
+    return made

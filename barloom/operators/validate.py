@@ -146,3 +146,14 @@ def check_request(symbol: str, start_us: int, end_us: int, now_us: int, future:
     if start_us > now_us and future != "allow":
         raise ValidationError("the start is in the future", start_us=start_us)
     return start_us, min(end_us, now_us) if future == "truncate" else end_us
+
+
+def request_problem(symbol: Column, start_us: Column, end_us: Column, now_us: int, future: str = "error") -> Column:
+    """What is wrong with the requests of a table, by the rules of :func:`check_request`; null where nothing is."""
+    now = F.lit(now_us)
+    return (
+        F.when(F.coalesce(symbol, F.lit("")) == "", "empty symbol")
+        .when(start_us.isNull() | end_us.isNull() | (start_us >= end_us), "start isn't before end")
+        .when((end_us > now) & F.lit(future == "error"), "the end is in the future")
+        .when((start_us > now) & F.lit(future != "allow"), "the start is in the future")
+    )

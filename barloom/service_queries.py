@@ -22,7 +22,7 @@ from barloom.queries import COALESCE_SQL, DAY, FROM_US, H, HELD_DAYS, PICK, RANG
 from barloom.queries import _symbols, _SYMBOL_SQL
 from barloom.sources import cache as Q
 from barloom.sources import catalog as C
-from barloom.sources import errors, remote
+from barloom.sources import errors, remote, search
 from barloom.sources.scratch import cut, scratch_dir
 from barloom.streaming import live
 
@@ -176,8 +176,45 @@ def cache_report(spark, d):
 @query(f"select symbol, (open_us // {DAY}) * {DAY} as day_us, count(*) as num_records, min(open_us) as first_us, max(open_us) as last_us from ({bars_sql(H, SPARSE)}) group by 1, 2")
 def catalog_of_bars(spark, d):
     path = f"{_url(spark)}/catalog"
-    C.with_metadata(C.of_table(bars(spark, d, "1h", SPARSE)), path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # entered twice, there once
+        table = C.with_metadata(C.of_table(bars(spark, d, "1h", SPARSE)), path)
+    return table.read().drop("version")
+
+
+@query(f"""with e as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, event_id as version, user_id as num_records from events)
+    select symbol, day_us, version, num_records from e qualify row_number() over (partition by symbol, day_us order by version desc) = 1""")
+def catalog_upserts_on_disk(spark, d):
+    """Entries in three parts, the latest ones first and some twice: the latest of each day stays, on disk and through versions."""
+    table = C.kept(spark, f"{_url(spark)}/catalog")
+    e = read(spark, d, "events").select(F.col("event_type").alias("symbol"), I.day_us(I.micros(F.col("ts"))).alias("day_us"), F.col("event_id").alias("version"), F.col("user_id").alias("num_records"), F.lit(0).cast("long").alias("first_us"), F.lit(0).cast("long").alias("last_us"))
+    for days in (f"day_us >= {D20}", f"day_us < {D20} and day_us >= {D10 - 2 * DAY}", f"day_us < {D10}"):
+        table.upsert(e.filter(days))
+    table.forget(1)
+    return table.read().select("symbol", "day_us", "version", "num_records")
+
+
+_INGEST_SQL = f"b as (select *, (open_us // {DAY}) * {DAY} as day_us from ({bars_sql()})), days as (select symbol, day_us, count(*) as num_records, min(open_us) as first_us, max(open_us) as last_us from b group by 1, 2)"
+_SPOILED = f"symbol = 'view' and day_us % {5 * DAY} = {2 * DAY}"
+
+
+@query(f"""with {_INGEST_SQL} select 'entry' as kind, symbol, day_us, num_records, first_us, last_us from days where not ({_SPOILED})
+    union all select 'checksum', symbol, day_us, -1, -1, -1 from days where {_SPOILED}
+    union all select 'no data', symbol, day_us, -1, -1, -1 from (select symbol, unnest(range({FROM_US}, {TO_US}, {DAY})) as day_us from (select distinct symbol from b)) anti join days using (symbol, day_us)""")
+def catalog_ingest(spark, d):
+    """Daily files to the cache and the catalogue in two steps of other ranges; files with a wrong checksum and missing ones are told."""
+    base = _url(spark)
+    url = _zipped(spark, d, spoiled=_SPOILED)
+    table, failed = C.kept(spark, f"{base}/catalog"), []
+    fetch = lambda wanted: remote.fetch_days(wanted, url, "1h")
+    write = lambda b: Q.write(S.with_source(b.withColumnRenamed("count", "trades").select("symbol", "interval", "open_us", "open", "high", "low", "close", "volume", "trades"), "VISION").withColumn("market", F.lit("spot")), f"{base}/cache")
+    for n, to in enumerate((D20, TO_US)):
+        wanted = ranges(spark, d).withColumn("to_us", F.lit(to))
+        failed.append(C.ingest(table, wanted, fetch, write, n)[1])
+    in_cache = Q.scan(spark, f"{base}/cache", "spot", "1h", FROM_US, TO_US)
+    entries = table.read().select(F.lit("entry").alias("kind"), "symbol", "day_us", "num_records", "first_us", "last_us").join(C.of_table(in_cache), ["symbol", "day_us", "num_records", "first_us", "last_us"], "left_semi")
+    none = F.lit(-1).cast("long")
+    lost = failed[0].unionByName(failed[1]).distinct().select(F.col("reason").alias("kind"), "symbol", "day_us", none.alias("num_records"), none.alias("first_us"), none.alias("last_us"))
+    return entries.unionByName(lost)
 
 
 _DAYS_SQL = f"cat as (select event_type as symbol, (epoch_us(ts) // {DAY}) * {DAY} as day_us, count(*) as num_records from events where {HELD_DAYS} group by 1, 2)"
@@ -258,8 +295,8 @@ def distinct_lists(spark, d):
 # files and sources ---------------------------------------------------------------------------
 
 
-def _zipped(spark, d, where: str = "true") -> str:
-    """Daily zipped files of hourly bars: milliseconds on even days, microseconds on odd ones, with a header and a bad row each."""
+def _zipped(spark, d, where: str = "true", spoiled: str = "false") -> str:
+    """Daily zipped files of hourly bars: milliseconds on even days, microseconds on odd ones, with a header and a bad row each. Checksums of spoiled ones (a condition on ``symbol, day_us``) are wrong."""
     url = f"{_url(spark)}/daily"
     b = bars(spark, d, "1h", where)
     t = F.when(F.floor(F.col("open_us") / DAY) % 2 == 0, F.floor(F.col("open_us") / 1000).cast("long")).otherwise(F.col("open_us")).cast("string")
@@ -268,7 +305,9 @@ def _zipped(spark, d, where: str = "true") -> str:
     lines = b.groupBy("symbol", day.alias("day")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("text"))  # a day of a symbol
     head = F.lit("open_time,open,high,low,close,volume,a,b,c,d,e,f\nbad,1,1,1,1,1,1,1,1,1,1,1\n")
     name = F.concat_ws("-", F.concat_ws("/", "symbol", F.lit("1h"), "symbol"), F.lit("1h"), F.concat("day", F.lit(".zip")))
-    remote.write_files(lines.select(name.alias("name"), F.concat(head, "text").alias("content")), url, zipped=True)
+    said = F.when(F.expr(spoiled), F.repeat(F.lit("0"), 64)).alias("said")
+    lines = lines.withColumn("day_us", F.unix_micros(F.to_timestamp("day", "yyyy-MM-dd")))
+    remote.write_files(lines.select(name.alias("name"), F.concat(head, "text").alias("content"), said), url, zipped=True)
     remote.register(spark)
     return url
 
@@ -334,10 +373,10 @@ def file_checksums(spark, d):
     return both.join(regions.select(F.col("r_regionkey").cast("long").alias("k"), "r_name"), "k").select("r_name", "actual", "matches")
 
 
-def _pages(spark, d, hyphen: bool = False, refused: str = "false") -> str:
+def _pages(spark, d, hyphen: bool = False, refused: str = "false", where: str = "true") -> str:
     """Answers of 12-element arrays a day, each with the first row of the next day again; or of 9-element arrays, newest first. Days that are refused (a condition on ``symbol, day``) answer with a limit."""
     url = f"{_url(spark)}/pages"
-    b = bars(spark, d)
+    b = bars(spark, d, "1h", where)
     ms = F.floor(F.col("open_us") / 1000).cast("long")
     values = [ms, *[F.col(c) for c in ("open", "high", "low", "close", "volume")], *[F.lit(1)] * (3 if hyphen else 6)]
     row = F.array(*[v.cast("string") for v in values])
@@ -417,6 +456,22 @@ def get_data_cache_hit(spark, d):
     return engine.get_data(whole, "1h").select("symbol", "open_us", "close", S.SOURCE)
 
 
+@query(f"select symbol, min(open_us) as first_us, true as few_pages from ({bars_sql()}) group by symbol")
+def first_data_search(spark, d):
+    """Where each symbol's data begins, from 400 days before: a few of the many pages are looked at."""
+    early = ranges(spark, d).withColumn("from_us", F.col("from_us") - 400 * DAY)
+    got = search.first_data(early, search.page_probe(_pages(spark, d), "1h"), "1h", page_rows=100)
+    return got.select("symbol", "first_us", (F.col("pages_read") <= 2 * 8).alias("few_pages"))  # of 104 pages
+
+
+@query(f"select symbol, min(open_us) as next_us from ({bars_sql()}) where open_us >= {D20} group by symbol")
+def next_data_search(spark, d):
+    """Where data goes on after a silence of ten days."""
+    url = _pages(spark, d, where=f"ts < timestamp_micros({D10}) or ts >= timestamp_micros({D20})")
+    gap = ranges(spark, d).withColumn("from_us", F.lit(D10))
+    return search.first_data(gap, search.page_probe(url, "1h"), "1h", page_rows=50).select("symbol", F.col("first_us").alias("next_us"))
+
+
 @query(f"select symbol, open_us, open, close from ({bars_sql()}) where symbol in ('click', 'view') and open_us >= {D10} and open_us < {D20}")
 def paged_source_newest_first(spark, d):
     return _paged(spark, _pages(spark, d, hyphen=True), start_us=D10, end_us=D20, style="hyphen")
@@ -540,6 +595,41 @@ def stream_late_copies(spark, d):
     return spark.read.parquet(f"{kept}/counters").groupBy("symbol").agg(F.sum("duplicates").alias("duplicates")).filter("duplicates > 0")
 
 
+COOL = 6 * H
+
+
+@query(f"""with recursive {_LIVE_SQL}, n as (select symbol, open_us, row_number() over (partition by symbol order by open_us) as rn from lv),
+    st as (select symbol, rn, open_us as last, null::bigint as filled, null::bigint as s, null::bigint as u, null::bigint as gap_start_us, null::bigint as gap_end_us from n where rn = 1
+      union all select symbol, rn, t, case when fire then t else filled end, case when not fire then s2 end, case when not fire then u2 end, case when fire then s2 end, case when fire then least(u2, s2 + {(4 - 1) * H}) end
+      from (select *, s2 is not null and (filled is null or t - filled >= {COOL}) as fire from (select st.symbol, n.rn, n.open_us as t, filled, case when n.open_us - last > {H} then coalesce(s, last + {H}) else s end as s2, case when n.open_us - last > {H} then n.open_us else u end as u2
+        from st join n on n.symbol = st.symbol and n.rn = st.rn + 1)))
+    select symbol, last as open_us, gap_start_us, gap_end_us from st where gap_start_us is not null""")
+def stream_cooldown(spark, d):
+    """Gaps told no sooner than six hours after the one before; those between are kept and told as one."""
+    from barloom.queries import _replayed
+
+    got = _replayed(spark, d, lambda s: live.reconcile(live.gate(s), live.StreamConfig(most=4, cooldown_us=COOL)))
+    return got.filter("kind = 'gap'").select("symbol", "open_us", "gap_start_us", "gap_end_us")
+
+
+@query(f"""with b as (select * from ({bars_sql(H, SPARSE)}) where symbol in ('click', 'view')), p as (select symbol, open_us, lag(open_us) over (partition by symbol order by open_us) as prev from b), gp as (select symbol, prev + {H} as s, least(open_us, prev + {4 * H}) as e from p where open_us - prev > {H}),
+    f as (select symbol, open_us, close from ({bars_sql()}) h where exists (select 1 from gp where gp.symbol = h.symbol and open_us >= s and open_us < e))
+    select symbol, open_us, close, 'STREAMING' as _data_source from b union all select symbol, open_us, close, 'REST' from f anti join b using (symbol, open_us)""")
+def stream_session(spark, d):
+    """A session of two symbols among others: messages of files, gated, reconciled and backfilled, each batch handed to a sink."""
+    base = _url(spark)
+    b = bars(spark, d, "1h", SPARSE)
+    ms = F.floor(F.col("open_us") / 1000).cast("long")
+    k = F.struct(ms.alias("t"), (ms + 3_599_999).alias("T"), F.col("symbol").alias("s"), F.lit("1h").alias("i"), *[F.col(c).cast("string").alias(c[0]) for c in ("open", "high", "low", "close", "volume")], F.lit(True).alias("x"))
+    lines = b.groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(F.lit("kline").alias("e"), k.alias("k"))))), "\n").alias("content"))  # a symbol of the test tables
+    remote.write_files(lines.select(F.concat("symbol", F.lit(".jsonl")).alias("name"), "content"), f"{base}/messages")
+    remote.register(spark)
+    engine = E.Engine(spark, [])
+    stream = engine.create_stream(K.SPOT, ["click", "view"], f"{base}/messages", live.StreamConfig(most=4, cooldown_us=0))
+    engine.run_stream(stream, bars(spark, d), "1h", lambda df, n: df.select("symbol", "open_us", "close", S.SOURCE).write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("symbol", "open_us", "close", S.SOURCE)
+
+
 SILENT = 4 * DAY
 #: One symbol ends, one is silent for ten days; files are of three days each.
 _HEARD = f"(event_type <> 'click' or ts < timestamp '2024-01-20') and (event_type <> 'view' or ts < timestamp '2024-01-10' or ts >= timestamp '2024-01-20')"
@@ -605,14 +695,21 @@ def full_days(spark, d):
 
 _NAMES = ("1s", "1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h", "1d", "3d", "1w", "1M")
 _SECONDS = (1, 60, 180, 300, 900, 1_800, 3_600, 7_200, 14_400, 21_600, 28_800, 43_200, 86_400, 259_200, 604_800, 2_592_000)
+_LONG = {"s": "second", "m": "MINUTE", "h": "Hour", "d": "DAY", "w": "WEEK", "M": "MONTH"}
+#: Short names, long ones and others, one for each event by its number.
+_SAID = [*_NAMES, *(f"{_LONG[n[-1]]}_{n[:-1]}" for n in _NAMES), "2m", "HOUR_3", ""]
 
 
-@query("select * from (values " + ", ".join(f"('{n}', {s}000000, {i}, {86_400 // s})" for i, (n, s) in enumerate(zip(_NAMES, _SECONDS, strict=True))) + ") t(name, us, smaller, per_day)")
-def interval_names(spark, d):
-    """Long and short names, lengths by name and as free intervals, smaller ones and rows a day."""
-    units = {"s": "SECOND", "m": "MINUTE", "h": "HOUR", "d": "DAY", "w": "WEEK", "M": "MONTH"}
-    rows = [(I.parse_interval(f"{units[n[-1]]}_{n[:-1]}"), I.interval_us(n), len(I.smaller_intervals(n)), I.expected_rows_per_day(n)) for n in I.INTERVAL_SECONDS if I.free_interval_us(n) == I.interval_us(n)]
-    return spark.createDataFrame(rows, "name string, us long, smaller long, per_day long")
+@query("with names as (select * from (values " + ", ".join(f"({i}, '{said}', " + (f"'{_NAMES[i % 16]}', {_SECONDS[i % 16]}000000, '{','.join(_NAMES[: i % 16])}', {86_400 // _SECONDS[i % 16]}" if i < 32 else "null, -1, 'none', 0") + ")" for i, said in enumerate(_SAID)) + f""") t(i, said, name, us, smaller, per_day))
+    select event_id, said, name, us, smaller, per_day::bigint as per_day, case when event_id % 1100 between 1 and 1000 then (event_id % 1100) * case event_id % 7 when 0 then 1 when 1 then 60 when 2 then 3600 when 3 then 86400 when 4 then 604800 when 5 then 2592000 else 31536000 end * 1000000 else -1 end as free_us
+    from events join names on event_id % {len(_SAID)} = i""")
+def interval_rules(spark, d):
+    """Names of intervals in a table: short, long and unknown ones, lengths, smaller ones, rows a day; and free intervals."""
+    pick = lambda texts, n: F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % n + 1).cast("int"))
+    e = read(spark, d, "events").select("event_id", pick(_SAID, len(_SAID)).alias("said"), F.concat((F.col("event_id") % 1_100).cast("string"), pick("smhdwMy", 7)).alias("free"))
+    name = I.parsed_interval(F.col("said"))
+    e = e.select("event_id", "said", name.alias("name"), I.interval_us_of(name).alias("us"), F.coalesce(F.array_join(I.smaller_of(name), ","), F.lit("none")).alias("smaller"), I.rows_per_day_of(name).cast("long").alias("per_day"), I.free_us_of(F.col("free")).cast("long").alias("free_us"))
+    return _told(e, "us", "free_us")
 
 
 _S, _E = f"case when event_id % 3 <> 0 then epoch_us(ts) end", f"case when event_id % 4 <> 0 then epoch_us(ts) + (event_id % 9 - 2) * {DAY} end"
@@ -626,13 +723,14 @@ def range_resolver(spark, d):
     return _told(I.resolved(q, TO_US, H).select("event_id", "from_us", "to_us"), "from_us", "to_us")
 
 
-@query(f"select * from (values ('both', {FROM_US}, {D10}, 'from 2024-01-01 to 2024-01-10, as given'), ('start', {D10}, {D10 + 3 * DAY}, '3 days on from 2024-01-10'), ('end', {D10 - 3 * DAY}, {D10}, '3 days back from 2024-01-10'), ('none', {TO_US - 3 * DAY}, {TO_US}, '3 days back from now')) t(given, from_us, to_us, said)")
+@query(f"""with q as (select event_id, {_S} as s, {_E} as e from events), v as (select event_id, coalesce(e, s + {3 * DAY}, {TO_US}) as en, s, e from q), u as (select *, coalesce(s, en - {3 * DAY}) as st from v),
+    w as (select *, strftime(make_timestamp(st // {H} * {H}), '%Y-%m-%d') as f, strftime(make_timestamp(greatest(en // {H} * {H}, st // {H} * {H} + {H})), '%Y-%m-%d') as t from u)
+    select event_id, case when st >= en then null when s is not null and e is not null then 'from ' || f || ' to ' || t || ', as given' when e is not null then '3 days back from ' || t when s is not null then '3 days on from ' || f else '3 days back from now' end as said from w""")
 def range_descriptions(spark, d):
-    rows = []
-    for name, s, e in (("both", FROM_US, D10), ("start", D10, None), ("end", None, D10), ("none", None, None)):
-        r = I.resolve_range(s, e, None, TO_US, H)
-        rows.append((name, r.start_us, r.end_us, I.describe_range(r, s is not None, e is not None)))
-    return spark.createDataFrame(rows, "given string, from_us long, to_us long, said string")
+    us = I.micros(F.col("ts"))
+    q = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, us).alias("start_us"), F.when(F.col("event_id") % 4 != 0, us + (F.col("event_id") % 9 - 2) * DAY).alias("end_us"))
+    r = I.resolved(q, TO_US, H)
+    return r.select("event_id", I.described(*[F.col(c) for c in ("start_us", "end_us", "from_us", "to_us")]).alias("said"))
 
 
 _Q = "(USDT|USDC|USD|BTC|ETH)$"
@@ -698,38 +796,50 @@ def recent_coverage(spark, d):
     return V.recent_coverage(b, ranges(spark, d), TO_US, recent_us=6 * DAY)
 
 
-@query(f"""select * from (values ('empty symbol', 'ValidationError'), ('end before start', 'ValidationError'), ('future end', 'ValidationError'), ('future end, cut', '1-5'), ('future end, let be', '1-9'), ('time as a column', 'ValidationError'), ('impossible filter', 'ValidationError'),
-    ('smallest interval, futures', '1m'), ('default symbol, coin', 'BTCUSD_PERP'), ('too many streams', 'ValueError'), ('limit', 'RateLimited'), ('failure', 'BadStatus'), ('error code', 'BadAnswer'), ('kinds', 'network_error file_system_error data_integrity_error validation_error'), ('tried again', '3'), ('not after a limit', '1')) t(what, result)""")
-def service_rules(spark, d):
-    """Checks of requests, limits, kinds of errors and trying again, as what each comes to."""
+_NOW = TO_US - 5 * DAY
+_REQUEST_SQL = f"select event_id, case when event_id % 11 = 0 then '' when event_id % 13 = 0 then null else event_type end as symbol, epoch_us(ts) as s, epoch_us(ts) + (event_id % 5 - 1) * {DAY} as e from events"
+
+
+@query(f"""select event_id, case when coalesce(symbol, '') = '' then 'empty symbol' when s >= e then 'start isn''t before end' when e > {_NOW} then 'the end is in the future' end as strict,
+    case when coalesce(symbol, '') = '' then 'empty symbol' when s >= e then 'start isn''t before end' when s > {_NOW} then 'the start is in the future' end as cut_off,
+    case when coalesce(symbol, '') = '' then 'empty symbol' when s >= e then 'start isn''t before end' end as allowed from ({_REQUEST_SQL})""")
+def request_rules(spark, d):
+    """Requests of a table, with a future end as an error, cut, and let be."""
+    us, n = I.micros(F.col("ts")), F.col("event_id")
+    q = read(spark, d, "events").select("event_id", F.when(n % 11 == 0, "").when(n % 13 != 0, F.col("event_type")).alias("symbol"), us.alias("s"), (us + (n % 5 - 1) * DAY).alias("e"))
+    return q.select("event_id", *[V.request_problem(F.col("symbol"), F.col("s"), F.col("e"), _NOW, how).alias(name) for name, how in (("strict", "error"), ("cut_off", "truncate"), ("allowed", "allow"))])
+
 
-    def of(f) -> str:  # noqa: ANN001
-        try:
-            return str(f())
-        except Exception as e:  # noqa: BLE001
-            return type(e).__name__
+@query("""select event_id, case when st in (418, 429) then 'RateLimited' when st >= 400 then 'BadStatus' when code is not null and code <> 0 then 'BadAnswer' end as error,
+    case when st >= 400 then 'network_error' when code is not null and code <> 0 then 'data_integrity_error' end as kind, case when st in (418, 429) then false when st >= 400 or code is not null and code <> 0 then true end as again
+    from (select event_id, case event_id % 7 when 0 then 429 when 1 then 418 when 2 then 500 when 3 then 404 else 200 end as st, case event_id % 3 when 0 then -1121 when 1 then 0 end as code from events)""")
+def answer_errors(spark, d):
+    """What answers with a status and a code come to, what kind of error that is, and whether a read is tried again."""
+    n = F.col("event_id")
+    status = F.when(n % 7 == 0, 429).when(n % 7 == 1, 418).when(n % 7 == 2, 500).when(n % 7 == 3, 404).otherwise(200)
+    got = errors.answered(status, F.when(n % 3 == 0, -1121).when(n % 3 == 1, 0))
+    return read(spark, d, "events").select("event_id", got.alias("a")).select("event_id", "a.error", "a.kind", "a.again")
 
-    def tried(error: Exception) -> int:
-        seen = []
 
-        def fail() -> None:
-            seen.append(1)
-            raise error
+@query("""select m as market, count(distinct c_custkey) as streams, any_value(case m when 'spot' then '1s' else '1m' end) as minimum_interval, any_value(case m when 'cm' then 'BTCUSD_PERP' else 'BTCUSDT' end) as default_symbol,
+    count(distinct c_custkey) > any_value(case m when 'cm' then 200 else 1024 end) as too_many from (select c_custkey, case when c_custkey % 10 = 0 then 'spot' when c_custkey % 10 < 4 then 'um' else 'cm' end as m from customer) group by m""")
+def subscription_check(spark, d):
+    """Streams a market against what one connection may carry, with the market's least interval and default symbol."""
+    n = F.col("c_custkey") % 10
+    c = read(spark, d, "customer").select("c_custkey", F.when(n == 0, K.SPOT).when(n < 4, K.USDM).otherwise(K.COINM).alias("market"))
+    g = c.groupBy("market").agg(F.count_distinct("c_custkey").alias("streams")).withColumn("f", K.market_facts(F.col("market")))
+    return g.select("market", "streams", "f.minimum_interval", "f.default_symbol", (F.col("streams") > F.col("f.max_streams")).alias("too_many"))
 
-        of(lambda: errors.again(fail, sleep=lambda s: None))
-        return len(seen)
 
-    at = lambda a, b, how="error": "{}-{}".format(*V.check_request("A", a, b, 5, how))
-    events = read(spark, d, "events").select(I.micros(F.col("ts")).alias("open_us"))
-    checks = {
-        "empty symbol": lambda: V.check_request("", 1, 2, 3), "end before start": lambda: at(2, 1), "future end": lambda: at(1, 9), "future end, cut": lambda: at(1, 9, "truncate"), "future end, let be": lambda: at(1, 9, "allow"),
-        "time as a column": lambda: V.reserved(["open", "open_time"]), "impossible filter": lambda: E.in_range(events, "open_us", F.lit(1), F.lit(2), strict=True),
-        "smallest interval, futures": lambda: K.minimum_interval(K.USDM), "default symbol, coin": lambda: K.MARKETS[K.COINM].default_symbol, "too many streams": lambda: K.check_subscriptions(K.COINM, [str(i) for i in range(201)]),
-        "limit": lambda: errors.raise_for(429), "failure": lambda: errors.raise_for(500), "error code": lambda: errors.raise_for(200, code=-1121),
-        "kinds": lambda: " ".join(errors.kind_of(e) for e in (errors.Unreachable("x"), FileNotFoundError(), errors.BadAnswer("x"), ValueError())),
-        "tried again": lambda: tried(errors.BadStatus(500)), "not after a limit": lambda: tried(errors.RateLimited()),
-    }
-    return spark.createDataFrame([(k, of(f)) for k, f in checks.items()], "what string, result string")
+@query(f"select symbol, count(*) as files, sum(n * 60)::bigint as bytes, count(*) filter (n * 60 < 1024) as corrupt, 0::bigint as stale, count(*) as stale_later from (select event_type as symbol, count(*) as n from events group by 1, epoch_us(ts) // {DAY}) group by 1")
+def file_soundness(spark, d):
+    """Sizes and ages of files by folder: too small ones, and old ones now and forty days later."""
+    url = f"{_url(spark)}/plain"
+    e = read(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").cast("int").alias("n"))
+    remote.write_files(e.select(F.concat_ws("/", "symbol", F.concat("day", F.lit(".txt"))).alias("name"), F.repeat(F.lit("x"), F.col("n") * 60).alias("content")), url)
+    later = C.health(C.of_files(spark, url, now=F.current_timestamp() + F.expr("interval 40 days"))).select("folder", F.col("stale").alias("stale_later"))
+    h = C.health(C.of_files(spark, url)).join(later, "folder")
+    return h.select(F.regexp_extract("folder", "([^/]+)$", 1).alias("symbol"), "files", "bytes", "corrupt", "stale", "stale_later")
 
 
 # sets and order ------------------------------------------------------------------------------
@@ -757,8 +867,8 @@ def first_rows_per_source(spark, d):
 def ordered_export(spark, d):
     """Bars written in order and read back: a row's place in its file is its place in time."""
     path = f"{_url(spark)}/export"
-    bars(spark, d).select("open_us", "close", "symbol").repartition("symbol").sortWithinPartitions("symbol", "open_us").write.partitionBy("symbol").csv(path)
-    back = spark.read.schema("open_us long, close double, symbol string").csv(path)
+    Q.export_csv(bars(spark, d).select("symbol", "open_us", "close"), path)
+    back = spark.read.schema("symbol string, open_us long, close double").option("header", "true").csv(path)
     row = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
     from pyspark.sql import Window as W
 

@@ -65,3 +65,8 @@ def scan_catalogued(spark: SparkSession, path: str, catalog: DataFrame, **range_
     good = catalog.filter(~F.coalesce("is_invalid", F.lit(False))) if "is_invalid" in catalog.columns else catalog
     days = good.select("symbol", F.timestamp_micros("day_us").cast("date").alias("date")).distinct()
     return scan(spark, path, **range_).join(days, ["symbol", "date"], "left_semi")
+
+
+def export_csv(bars: DataFrame, path: str, order: tuple[str, ...] = ("symbol", "open_us")) -> None:
+    """Rows as CSV files in order: within each file, and from file to file by name. Ranges of the order are dealt to tasks, so a long series spreads over files."""
+    bars.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", "true").csv(path)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import DAY, day_us, expected_rows_per_day
 from barloom.operators.gaps import grid
 from barloom.operators.merge import keep_first
+from barloom.sources.scratch import cut
+from barloom.sources.versions import Versioned
 
 Keys = tuple[str, ...]
 
@@ -61,16 +67,66 @@ def latest_within(catalog: DataFrame, before_us: int, days: int = 10, keys: Keys
 
 
 def build(catalog: DataFrame, ranges: DataFrame, load: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], force: bool = False) -> DataFrame:
-    """Loads the days that the catalogue lacks (all with ``force``), writes their bars, and returns the catalogue's new rows."""
+    """Loads the days that the catalogue lacks (all with ``force``) once, writes their bars, and returns the catalogue's new rows: of what was written."""
     days = _days(ranges).select("symbol", "day_us") if force else missing_days(catalog, ranges)
-    bars = load(days)
+    bars = cut(load(days))
     write(bars)
     return of_table(bars)
 
 
+#: The catalogue as it is kept on disk.
+KEPT = "symbol string, day_us long, num_records long, first_us long, last_us long, version long"
+
+
+def kept(spark: SparkSession, path: str) -> Versioned:
+    """The catalogue beside the data: a row a symbol and day, in parts of a month."""
+    return Versioned(spark, path, KEPT)
+
+
+def ingest(catalog: Versioned, ranges: DataFrame, fetch: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], version: int) -> tuple[DataFrame, DataFrame]:
+    """One step from a source to the cache: fetches the days that the catalogue lacks, keeps what fits its checksum, writes it and enters it in the catalogue.
+
+    ``fetch`` gets ranges ``symbol, start_us, end_us`` and gives bars with ``day`` and ``checksum_ok``
+    (:func:`barloom.sources.remote.fetch_days`). Returns the new entries and the failures ``symbol, day_us, reason``: days
+    whose file doesn't fit, which are neither written nor entered, and those that the source doesn't have. The source is read once.
+    """
+    days = cut(missing_days(catalog.read(), ranges))
+    got = cut(fetch(days.select("symbol", F.col("day_us").alias("start_us"), (F.col("day_us") + DAY).alias("end_us"))))
+    bars = got.filter("checksum_ok")
+    write(bars.drop("checksum_ok", "day"))
+    new = cut(of_table(bars).withColumn("version", F.lit(version).cast("long")))
+    catalog.upsert(new)
+    spoiled = got.filter("not checksum_ok").select("symbol", day_us(F.col("open_us")).alias("day_us")).distinct().withColumn("reason", F.lit("checksum"))
+    lost = days.join(got.select("symbol", day_us(F.col("open_us")).alias("day_us")).distinct(), ["symbol", "day_us"], "left_anti").withColumn("reason", F.lit("no data"))
+    return new, spoiled.unionByName(lost)
+
+
+#: Bytes that a digest takes at a time.
+CHUNK = 8 << 20
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """``path, bytes, actual``: SHA-256 of the files below a folder, each read by a task in chunks, so a file of any size takes one chunk of memory. Empty files aren't listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for url in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", url))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while chunk := f.read(CHUNK):
+                        digest.update(chunk)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.string())], ["path", "bytes", "actual"])
+
+    return files.mapInArrow(run, "path string, bytes long, actual string")
+
+
 def verified(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Files below a folder with their SHA-256 and whether it is the one expected (``path, checksum``)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("actual"))
+    files = digests(spark, path).drop("bytes")
     return files.join(expected, "path", "left").withColumn("matches", F.coalesce(F.col("actual") == F.lower("checksum"), F.lit(False)))
 
 
@@ -140,6 +196,8 @@ def by_interval(catalog: DataFrame, elapsed_s: float | None = None) -> DataFrame
     return g if elapsed_s is None else g.withColumn("per_second", F.col("records") / elapsed_s)
 
 
-def with_metadata(catalog: DataFrame, path: str) -> None:
-    """Appends a table's catalogue to the one that is kept beside the data."""
-    catalog.write.mode("append").parquet(path)
+def with_metadata(catalog: DataFrame, path: str, version: int = 0) -> Versioned:
+    """Enters a table's catalogue in the one that is kept beside the data: a day that is entered again replaces its row."""
+    table = kept(catalog.sparkSession, path)
+    table.upsert(catalog.withColumn("version", F.lit(version).cast("long")))
+    return table

@@ -7,6 +7,9 @@ import random
 import time
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Kinds of errors as logs and registries name them.
 NETWORK, FILES, INTEGRITY, VALIDATION = "network_error", "file_system_error", "data_integrity_error", "validation_error"
 
@@ -79,3 +82,10 @@ def again(read: Callable[[], object], tries: int = 3, most_s: float = 120.0, sle
                 raise
             sleep(min(most_s, 2.0**i) + random.uniform(0, 1))
     raise ValueError("at least one try is needed")
+
+
+def answered(status: Column, code: Column) -> Column:
+    """``error, kind, again`` of answers in a table, by the rules of :func:`raise_for`: the error, its kind and whether a read is tried again; null for sound ones."""
+    error = F.when(status.isin(418, 429), RateLimited.__name__).when(status >= 400, BadStatus.__name__).when(~F.coalesce(code, F.lit(0)).isin(0, 200), BadAnswer.__name__)
+    kind = F.when(error == BadAnswer.__name__, INTEGRITY).when(error.isNotNull(), NETWORK)
+    return F.when(error.isNotNull(), F.struct(error.alias("error"), kind.alias("kind"), (error != RateLimited.__name__).alias("again")))

@@ -14,6 +14,7 @@ import hashlib
 import io
 import json
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv, fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -421,9 +423,15 @@ class UpdateSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources known to a session, with filters pushed to them. They travel with what they use: Spark also plans them in processes that have no packages of the session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (BulkSource, PagedSource, FundingSource, UpdateSource):
-        spark.dataSource.register(source)
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        for source in (BulkSource, PagedSource, FundingSource, UpdateSource):
+            spark.dataSource.register(source)
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
 
 
 def _dealt(pieces: DataFrame, step: int, size: int) -> DataFrame:
@@ -493,12 +501,12 @@ def fetch_pages(wanted: DataFrame, url: str, interval: str, page_rows: int = 1_0
 
 
 def write_files(files: DataFrame, url: str, zipped: bool = False) -> int:
-    """Writes a file for each row ``name, content`` below a folder, from the tasks; zipped ones with a checksum beside them. Returns how many."""
+    """Writes a file for each row ``name, content`` below a folder, from the tasks; zipped ones with a checksum beside them (of ``said``, where there is such a column and it isn't null). Returns how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(url)
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, content, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data, path = content.encode(), f"{folder}/{name}"
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 if zipped:
@@ -507,9 +515,10 @@ def write_files(files: DataFrame, url: str, zipped: bool = False) -> int:
                         z.writestr(f"{path.rpartition('/')[2].removesuffix('.zip')}.csv", data)
                     data = held.getvalue()
                     with store.open_output_stream(f"{path}.CHECKSUM") as f:
-                        f.write(f"{hashlib.sha256(data).hexdigest()}  {name}\n".encode())
+                        f.write(f"{said or hashlib.sha256(data).hexdigest()}  {name}\n".encode())
                 with store.open_output_stream(path) as f:
                     f.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-    return files.select("name", "content").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+    said = F.col("said") if "said" in files.columns else F.lit(None).cast("string").alias("said")
+    return files.select("name", "content", said).mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0

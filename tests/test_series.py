@@ -277,3 +277,58 @@ def test_common_keys_as_sets_and_multisets(spark):
     a, b = (spark.createDataFrame([(x,) for x in s], "base string") for s in ("AABC", "AABBD"))
     assert values(U.common([a, b]), "base") == [("A",), ("B",)]
     assert values(U.common([a, b], multiset=True), "base") == [("A",), ("A",), ("B",)]
+
+
+def test_means_of_any_frame(spark):
+    """Frames of a bucket and more against plain windows, with holes of value."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    rng, step = random.Random(2), 60_000_000
+    rows = [(s, T0 + i * step, None if rng.random() < 0.01 else float(rng.randint(-50, 50))) for s in "AB" for i in range(900)]
+    df = spark.createDataFrame(rows, "symbol string, open_us long, v double")
+    for n in (1, 7, 64, 100, 333, 900, 2_000):
+        w = W.partitionBy("symbol").orderBy("open_us").rowsBetween(-(n - 1), 0)
+        plain = df.withColumn("m", F.when(F.count("v").over(w) == n, F.sum("v").over(w) / n))
+        for long in (1, 64):
+            got = R.moving_average(df, "v", n, step, "m", long=long) if n >= long else None
+            if got is not None:
+                assert sorted(map(tuple, got.select("symbol", "open_us", "m").collect()), key=str) == sorted(map(tuple, plain.select("symbol", "open_us", "m").collect()), key=str)
+
+
+def test_islands_need_no_grid(spark, monkeypatch):
+    bars = [("A", T0 + h * H) for h in (2, 3, 3, 7)] + [("A", T0 + 4 * H + 1), ("A", T0 - H), ("A", T0 + 10 * H), ("B", T0)]
+    df = spark.createDataFrame(bars, "symbol string, open_us long")
+    ranges = spark.createDataFrame([("A", T0, T0 + 10 * H), ("B", T0, T0 + H), ("C", T0, T0 + 3 * H - 1), ("D", T0, T0)], "symbol string, from_us long, to_us long")
+    want = [("A", 0, 2, 2), ("A", 4, 7, 3), ("A", 8, 10, 2), ("C", 0, 3, 3)]
+    for few in (10_000, 0):
+        monkeypatch.setattr(G, "FEW_RANGES", few)
+        got = G.missing_islands(df, ranges, H)
+        assert sorted((r.symbol, (r.start_us - T0) // H, (r.end_us - T0) // H, r.missing) for r in got.collect()) == want
+    monkeypatch.undo()
+    assert "Generate" not in G.missing_islands(df, ranges, H)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_coalesce_alike_few_or_many(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, a := T0 + rng.randint(0, 400) * H, a + rng.randint(0, 30) * H) for s in "AB" for _ in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, start_us long, end_us long")
+    few, many = (sorted(map(tuple, G.coalesce_ranges(df, H, few=n).select("symbol", "start_us", "end_us").collect())) for n in (1_000, 0))
+    assert few == many
+
+
+def test_requests_of_a_table_as_one_by_one(spark):
+    from barloom.operators import validate as V
+
+    rows = [(s, a, b) for s in (None, "", "A") for a in (1, 5, 9) for b in (None, 1, 4, 9)]
+    df = spark.createDataFrame(rows, "s string, a long, b long")
+    for how in ("error", "truncate", "allow"):
+        for r in df.withColumn("p", V.request_problem(F.col("s"), F.col("a"), F.col("b"), 5, how)).filter("b is not null").collect():
+            try:
+                V.check_request(r.s, r.a, r.b, 5, how)
+                assert r.p is None
+            except V.ValidationError as e:
+                assert r.p == str(e)
