@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import MAX_RANGES, groups_of, range_bounds, range_of, shared_dir, sliced, table, written
+from barloom.llm.common import Remembered, MAX_RANGES, groups_of, range_bounds, range_of, shared_dir, sliced, table, written
 
 FILE_TOKENS = 4_000_000
 ROWS_PER_RANGE = 4_096
 #: A task reads several files, one after the other, where there are more.
 MAX_TASKS = 20_000
-KNOWN = 700_000
+#: Words that a worker remembers, in each of two generations.
+KNOWN = 400_000
 #: Fixed value: added to the rotated checksum.
 MASK = 0xA282EAD8
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u4"), ("flags", "<u4")])
@@ -113,7 +114,7 @@ class Encoder:
         self.ends = np.zeros(self.t.get_vocab_size() + 1, dtype=bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
+        self.words = Remembered(KNOWN)
         #: Bytes that a token id takes at least.
         self.wide = 2 if max(self.t.get_vocab(with_added_tokens=True).values()) <= 0xFFFF else 4
 
@@ -150,14 +151,12 @@ class Encoder:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
         need = set().union(*(c for c in cut if c))
-        missing = need.difference(self.words)
-        if len(self.words) + len(missing) > KNOWN:
-            self.words, missing = {}, need
+        missing, known = self.words.missing(need), self.words.now
         words, chunks = [w for w in missing if w[0] != " "], [w for w in missing if w[0] == " "]
-        self.words.update(zip(words, self._library_words(words), strict=True))
-        self.words.update(zip(chunks, self._library(chunks), strict=True))
+        known.update(zip(words, self._library_words(words), strict=True))
+        known.update(zip(chunks, self._library(chunks), strict=True))
         whole = iter(self._library([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
