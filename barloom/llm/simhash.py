@@ -13,12 +13,14 @@ the data. Trees travel to tasks by the shuffle on the shard key; nothing that gr
 is broadcast or collected. Equal fingerprints are merged before, so exact copies cost one node.
 
 The pipeline's stage (:func:`one_of_each`) links texts of five-word Jaccard similarity 0.8 or more: there
-a BK-tree of each bucket of MinHash bands is searched within 20 bits, and what it finds is verified.
+a BK-tree of each bucket of MinHash bands is searched within ``WIDE`` bits, and what it finds is verified. Its
+fingerprints are of the distinct five-word shingles, the sets that are compared, so lines that are repeated
+move no text away from its likes.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows get
 the same class. A null id takes part in a class but is never its smallest id, unless all are null. A text
 of any length is one row of a task; its hashes are counted in blocks. An empty table gives no rows. Other
-columns, whatever their names, are not read, but for ``__row`` in :func:`one_of_each`, which must be free.
+columns, whatever their names, are not read, and :func:`one_of_each` gives them back as they are.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ BITS = 64
 SHARD = 2_000
 LEVELS = 4
 CHUNK = 1 << 16
-#: The radius within which texts of five-word Jaccard similarity 0.8 or more lie.
-WIDE = 20
+#: The radius within which the fingerprints of sets of Jaccard similarity 0.8 or more lie: a bit of theirs differs with a chance of
+#: 0.15 (0.19 for sets of 4 and 5), so 29 bits or more of 64 do with one of less than 1e-6.
+WIDE = 28
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -50,8 +53,12 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     if not w:
         return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
+    return of_hashes(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the 64-bit hashes; 0 of none."""
+    hashes, ones = hashes.astype("<u8", copy=False), np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
@@ -199,11 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined(fps, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def tree_judged(texts: list[str], similarity: float, radius: int = WIDE, shingle: int = 3) -> list[int]:
-    """For each text the first one of its class: a BK-tree of the fingerprints gives the candidates, Jaccard's similarity decides.
+def scrambled(shingles: np.ndarray) -> np.ndarray:
+    """Shingles' hashes with all bits as good as random."""
+    x = shingles ^ shingles >> np.uint64(32)
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def tree_judged(texts: list[str], similarity: float, radius: int = WIDE) -> list[int]:
+    """For each text the first one of its class: a BK-tree of the fingerprints of their sets gives the candidates, Jaccard's similarity decides.
 
-    Fingerprints of texts of similarity 0.8 differ in some 8 bits, with a spread of 2.6, so ``WIDE`` = 20 bits
-    lose about one in a million.
+    A search of so many bits follows most edges: what the tree saves is comparing sets, not fingerprints.
     """
     tree, members, parent, sets = BKTree(), [], list(range(len(texts))), []
 
@@ -214,8 +227,8 @@ def tree_judged(texts: list[str], similarity: float, radius: int = WIDE, shingle
         return i
 
     for i, t in enumerate(texts):
-        fp = fingerprint(t.encode(), shingle)
         sets.append(minhash.shingle_set(t))
+        fp = of_hashes(scrambled(sets[-1]))
         for node in tree.near(fp, radius):
             for j in members[node]:
                 a, b = root(i), root(j)
@@ -228,13 +241,13 @@ def tree_judged(texts: list[str], similarity: float, radius: int = WIDE, shingle
     return [root(i) for i in range(len(texts))]
 
 
-def similar_classes(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, radius: int = WIDE, shingle: int = 3) -> DataFrame:
+def similar_classes(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
     """``(key, n, best)`` of similar texts, see :func:`barloom.llm.bands.similar_classes`: each bucket is the shard of a BK-tree.
 
     A search of ``WIDE`` bits can't be sharded by groups of agreeing bits: a fingerprint would go to a hundred
     shards and each search would be a scan. So the shards are the buckets of MinHash bands.
     """
-    return bands.similar_classes(rows, texts, lambda held: tree_judged(held, similarity, radius, shingle), minhash.shingle_set, similarity)
+    return bands.similar_classes(rows, texts, lambda held: tree_judged(held, similarity, radius), minhash.shingle_set, similarity)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -243,8 +256,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by number, not by id: of repeated rows one stays, of rows that share an id each class
     keeps its own, and rows without an id stay only where their class has no other. Null texts are empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    keyed = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # the row in a struct, so that no name of ``docs`` clashes
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")))
+    keyed = rows.select("row", F.col(f"held.{id_col}").alias("doc_id"), text_key(F.col(f"held.{text_col}")).alias("key"), F.col(f"held.{text_col}").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -256,8 +270,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     signed = signed.withColumn("rank", rank)
     found = similar_classes(signed, keyed.select("key", "text"), similarity)
-    gone = written(joined(signed.select("row", "key"), found, "key").filter("row <> best.row").select(F.col("row").alias("__row")))
-    return without(rows, gone, "__row").select(*docs.columns)
+    gone = written(joined(signed.select("row", "key"), found, "key").filter("row <> best.row").select("row"))
+    return without(rows, gone, "row").select("held.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
