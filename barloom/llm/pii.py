@@ -3,11 +3,17 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern. What they name are
 the protected entities. A term discloses an entity if knowing the term leaves little doubt about it:
 over all documents, among the ``n`` distinct contexts of a term (``WINDOW`` words on either side), ``n_e`` hold
-the entity it is seen with most. ``(n_e + 1) / (n + 2)`` estimates p(entity | term), and ``-log2 p`` is the
-doubt that is left, in bits. The estimate is cautious with few contexts: a term that is seen once, with an
-entity, leaves 0.58 bits. Terms that leave at most ``DOUBT`` bits are generalised to what kind of word they
-are; those leaving at most ``CERTAIN`` bits are removed. Distinct contexts are counted, so copies of a passage
-count once.
+the entity it is seen with most (of several, the first by name). ``(n_e + 1) / (n + 2)`` estimates p(entity | term),
+and ``-log2 p`` is the doubt that is left, in bits. Terms that leave at most ``DOUBT`` bits are generalised to what kind
+of word they are; those leaving at most ``CERTAIN`` bits are removed. Distinct contexts are counted, so copies of a
+passage count once.
+
+A rare word or a slip of the pen that stands near an entity is no disclosure. So a term needs ``SUPPORT`` distinct
+contexts with the entity, and these must be beyond chance: if its places had nothing to do with the entity, each context
+would be near it with a chance of ``N_e / N`` (the contexts near the entity over all words of the corpus), and
+``ln C(n, n_e) + n_e ln(N_e / N)`` bounds the logarithm of the chance of so many. As any word may stand near any
+entity, ``N`` times the number of entities pairs are tested, and Benjamini and Hochberg's rule on the bounds keeps the expected share
+of false terms below ``Q``; the cut is found from counts by hundredths, so the terms aren't gathered for it.
 
 Counts cover all documents. A term that is seen near entities in too many contexts without one is ruled
 out by the mentions alone; the contexts of the others are counted over the whole corpus, and a task gives a term
@@ -40,6 +46,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 6
 DOUBT = 0.6
 CERTAIN = 0.2
+#: Distinct contexts that a term has with its entity at least, and the share of false terms.
+SUPPORT, Q = 3, 0.01
 MAX_TERMS = 100_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -136,10 +144,12 @@ class _Contexts:
 
     def __init__(self, limits: dict[str, float] | Bitmap, most: float) -> None:
         self.live = dict(limits) if isinstance(limits, dict) else limits
-        self.most, self.of, self.n, self.done = most, {}, 0, set()
+        self.most, self.of, self.n, self.done, self.words = most, {}, 0, set(), 0
 
     def add(self, text: str) -> None:
-        words = {w.lower() for w in WORD.findall(text)}
+        every = WORD.findall(text)
+        self.words += len(every)
+        words = {w.lower() for w in every}
         wanted = words & self.live.keys() if isinstance(self.live, dict) else {w for w in words if w in self.live and w not in self.done}
         if not wanted:
             return
@@ -160,9 +170,9 @@ class _Contexts:
                     del self.live[t]
 
     def rows(self) -> list[tuple[str, int | None]]:
-        """All that is held; terms given up stay so."""
-        out = [(t, c) for t, seen in self.of.items() for c in seen]
-        self.of, self.n = {}, 0
+        """All that is held, and the number of words since the last call without a term; terms given up stay so."""
+        out = [(None, self.words), *((t, c) for t, seen in self.of.items() for c in seen)]
+        self.of, self.n, self.words = {}, 0, 0
         return out
 
 
@@ -192,7 +202,7 @@ def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | Bitmap, most: float) -> DataFrame:
-    """``(term, context)`` of the terms; see :class:`_Contexts`."""
+    """``(term, context)`` of the terms, see :class:`_Contexts`; rows without a term tell numbers of words, all of which make the corpus's."""
     shared = docs.sparkSession.sparkContext.broadcast(limits)  # at most MAX_TERMS terms or MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +217,18 @@ def _contexts(docs: DataFrame, text_col: str, limits: dict[str, float] | Bitmap,
     return docs.select(F.col(text_col)).mapInArrow(run, "term string, context long")
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", doubt: float = DOUBT, max_terms: int = MAX_TERMS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", doubt: float = DOUBT, max_terms: int = MAX_TERMS, support: int = SUPPORT, q: float = Q) -> DataFrame:
     """``(term, bits)``: the doubt that the term leaves about the entity it discloses most."""
     bits = lambda n_e, n: F.log2(n + 2) - F.log2(n_e + 1)
     limit = lambda n_e: 2.0**doubt * (n_e + 1) - 2
     mentions = written(_flat(docs, text_col).distinct())
-    most_seen = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_e")).groupBy("term").agg(F.max("n_e").alias("n_e"))
+    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_e"))
+    # of the entities that a term is seen with most, the first by name: the least of (-count, name)
+    first = pairs.groupBy("term").agg(F.min(F.struct((-F.col("n_e")).alias("less"), "entity")).alias("b")).select("term", (-F.col("b.less")).alias("n_e"), F.col("b.entity").alias("entity"))
     near_any = mentions.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n"))
-    candidates = written(most_seen.join(near_any, "term").filter(F.col("n") <= limit(F.col("n_e"))).select("term", "n_e"))
+    candidates = first.filter(F.col("n_e") >= support).join(near_any, "term").filter(F.col("n") <= limit(F.col("n_e"))).select("term", "n_e", "entity")
+    of_entity = written(mentions.groupBy("entity").agg(F.count("*").alias("near")))
+    candidates = written(candidates.join(of_entity, "entity").select("term", "n_e", "near"))
     got = candidates.limit(max_terms + 1).collect()
     if not got:
         return candidates.select("term", F.lit(0.0).alias("bits"))
@@ -223,12 +237,34 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", doubt: float = DOU
         most = 0.0
     else:
         limits, most = Bitmap.of(candidates, "term"), limit(candidates.agg(F.max("n_e")).first()[0])
-    seen = _contexts(docs, text_col, limits, most)
+    seen = written(_contexts(docs, text_col, limits, most))
+    words = seen.filter("term is null").agg(F.sum("context")).first()[0]
+    seen = seen.filter("term is not null")
     if len(got) > max_terms:
         seen = seen.join(candidates.select("term"), "term", "left_semi")
     of_term = seen.distinct().groupBy("term").agg(F.count("context").alias("n"), F.bool_or(F.col("context").isNull()).alias("many")).filter(~F.col("many"))
-    found = candidates.join(of_term, "term").select("term", bits(F.col("n_e"), F.col("n")).alias("bits"))
-    return written(found.filter(F.col("bits") <= doubt))
+    found = candidates.join(of_term, "term").withColumns({"bits": bits(F.col("n_e"), F.col("n")), "chance": log_chance(F.col("n_e"), F.col("n"), F.col("near") / words)})
+    found = written(found.filter(F.col("bits") <= doubt).select("term", "bits", "chance"))
+    return found.filter(F.col("chance") <= _cut(found, math.log(q) - math.log(words) - math.log(of_entity.count()))).select("term", "bits")
+
+
+def log_chance(n_e: Column, n: Column, rate: Column) -> Column:
+    """A bound of the logarithm of the chance that ``n_e`` or more of ``n`` contexts are near an entity that a share ``rate`` of all is near."""
+    part = n_e / n
+    choices = F.when(n_e < n, -n * (part * F.log(part) + (1 - part) * F.log(1 - part))).otherwise(F.lit(0.0))
+    return F.least(F.lit(0.0), choices + n_e * F.log(rate))
+
+
+def _cut(found: DataFrame, level: float) -> float:
+    """The greatest chance (by hundredths of its logarithm) that Benjamini and Hochberg's rule keeps, where ``level`` is the logarithm of what the least one may be."""
+    step = F.ceil(F.col("chance") * 100)
+    counts = sorted((r["step"], r["n"]) for r in found.groupBy(F.greatest(step, F.lit(-100_000)).alias("step")).agg(F.count("*").alias("n")).collect())
+    kept, n = -math.inf, 0
+    for at, of_step in counts:  # 100,000 steps at most
+        n += of_step
+        if at / 100 <= level + math.log(n):
+            kept = at / 100
+    return kept
 
 
 class Terms:
