@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import SECOND
+from barloom.operators.gaps import FEW_RANGES
 from barloom.operators.runs import with_prev_of
+from barloom.sources.scratch import cut
 
 Keys = tuple[str, ...]
 
@@ -102,9 +104,9 @@ def boundaries_equal(a: DataFrame, b: DataFrame, keys: Keys = ("symbol",), time:
 
 
 def clamp(df: DataFrame, like: DataFrame, keys: Keys = ("symbol",), time: str = "open_us") -> DataFrame:
-    """Rows of ``df`` between the first and last times of ``like``, per key."""
-    span = like.groupBy(*keys).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
-    return df.join(span, list(keys)).filter(F.col(time).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    """Rows of ``df`` between the first and last times of ``like``, per key; the spans, a row a key, are written and counted, and few of them go to all tasks, so that a long series stays where it is."""
+    span = cut(like.groupBy(*keys).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi")))
+    return df.join(F.broadcast(span) if span.count() <= FEW_RANGES else span, list(keys)).filter(F.col(time).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def funding_check(df: DataFrame, band: float = 0.1) -> DataFrame:

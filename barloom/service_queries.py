@@ -578,8 +578,14 @@ def _late_stream(spark, d, sink) -> str:  # noqa: ANN001
 _LATE_GAPS_SQL = _LIVE_GAPS_SQL + f", f as (select h.symbol, h.open_us, h.close from ({bars_sql()}) h where exists (select 1 from gp where gp.symbol = h.symbol and open_us >= start_us and open_us < end_us))"
 
 
-@query(f"""with {_LIVE_SQL}, {_LATE_SQL}, {_LATE_GAPS_SQL}
-    select symbol, open_us, close, 'STREAMING' as _data_source from lv union all select symbol, open_us, close, 'REST' from f anti join lv using (symbol, open_us) union all select symbol, open_us, close, 'STREAMING' from lt anti join f using (symbol, open_us)""")
+#: Late bars after the last live one show gaps of their own.
+_TAIL_SQL = f"""tl as (select lt.symbol, lt.open_us, coalesce(lag(lt.open_us) over (partition by lt.symbol order by lt.open_us), m) as prev from lt join (select symbol, max(open_us) as m from lv group by 1) using (symbol) where lt.open_us > m),
+    f2 as (select h.symbol, h.open_us, h.close from ({bars_sql()}) h where exists (select 1 from tl where tl.symbol = h.symbol and tl.open_us - prev > {H} and h.open_us > prev and h.open_us < least(tl.open_us, prev + {4 * H})))"""
+
+
+@query(f"""with {_LIVE_SQL}, {_LATE_SQL}, {_LATE_GAPS_SQL}, {_TAIL_SQL}
+    select symbol, open_us, close, 'STREAMING' as _data_source from lv union all select symbol, open_us, close, 'REST' from f anti join lv using (symbol, open_us) union all select symbol, open_us, close, 'STREAMING' from lt anti join f using (symbol, open_us)
+    union all select symbol, open_us, close, 'REST' from f2""")
 def stream_backfill_once(spark, d):
     """Each bar comes out once: live, filled, or late where it hadn't been filled."""
     path = f"{_url(spark)}/out"
