@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import groups_of, sliced, table
+from barloom.llm.common import Remembered, groups_of, sliced, table
 
-#: Entries of each worker's tables of known chunks and words; when full they start anew.
-KNOWN = 400_000
+#: Entries of each worker's tables of known chunks and words, in each of two generations.
+KNOWN = 200_000
 #: Unicode white space, the pattern that splits text before merging (for ASCII text) and what starts a chunk.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -180,9 +180,7 @@ class Codec:
         self.v = Vocabulary(path)
         self.letters = _bytes_of_letters()
         self.split_any = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.after_space: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.after_space, self.chunks, self.words = (Remembered(KNOWN) for _ in range(3))
         self.special = re.compile("|".join(map(re.escape, sorted(self.v.special, key=len, reverse=True)))) if self.v.special else None
 
     def _words_of(self, chunk: str) -> list[bytes]:
@@ -190,20 +188,14 @@ class Codec:
             return [p.encode() for p in PIECES.findall(chunk)]
         return [bytes(map(self.letters.__getitem__, p)) for p, _ in self.split_any(chunk)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: self._words_of(c) for c in chunks}
-        every = {w for ws in cut.values() for w in ws}
-        new = list(every.difference(self.words))
-        if len(self.words) + len(new) > KNOWN:
-            self.words, new = {}, list(every)
+    def _learn(self, chunks: set[str], after_space: set[str]) -> None:
+        cut = [(self.chunks, c, self._words_of(c)) for c in chunks] + [(self.after_space, c, self._words_of(f" {c}")) for c in after_space]
+        new = list(self.words.missing({w for *_, ws in cut for w in ws}))
+        known = self.words.now
         for w, t in zip(new, self.v.encode_words(new), strict=True):
-            self.words[w] = np.array(t, dtype="<u4").tobytes()
-        for c, ws in cut.items():
-            ids = b"".join([self.words[w] for w in ws])
-            if c[0] == " ":
-                self.after_space[c[1:]] = ids
-            else:
-                self.chunks[c] = ids
+            known[w] = np.array(t, dtype="<u4").tobytes()
+        for table, c, ws in cut:
+            table.now[c] = b"".join(map(known.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -216,25 +208,24 @@ class Codec:
                 at = m.end()
             out.append(self._cut(text[at:]))
             parts.append(out)
-        missing = self._unknown(parts)
-        if len(self.chunks) + len(self.after_space) + len(missing) > KNOWN:
-            self.chunks, self.after_space = {}, {}
-            missing = self._unknown(parts)
-        if missing:
-            self._learn(missing)
+        chunks, after = self._needed(parts)
+        self._learn(self.chunks.missing(chunks), self.after_space.missing(after))
         return [b"".join(map(self._ids, out)) for out in parts]
 
-    def _unknown(self, parts: list[list]) -> set[str]:
-        """Chunks that aren't in the tables; those of the second kind get their space back."""
-        found: set[str] = set()
-        for out in parts:
-            for p in out:
-                if isinstance(p, list):
-                    found.update(p)
-                elif isinstance(p, tuple):
-                    found.add(p[0])
-                    found.update([f" {w}" for w in set(p[1]).difference(self.after_space)])
-        return {c for c in found if c and (c[1:] not in self.after_space if c[0] == " " else c not in self.chunks)}
+    @staticmethod
+    def _needed(parts: list[list]) -> tuple[set[str], set[str]]:
+        """Chunks of all parts, and those after a space, without it."""
+        chunks: set[str] = set()
+        after: set[str] = set()
+        for p in (p for out in parts for p in out):
+            if isinstance(p, tuple):
+                chunks.add(p[0])
+                after.update(p[1])
+            elif isinstance(p, list):
+                for c in set(p):
+                    (after if c[0] == " " else chunks).add(c[1:] if c[0] == " " else c)
+        chunks.discard("")
+        return chunks, after
 
     @staticmethod
     def _cut(text: str) -> list | tuple:
@@ -247,13 +238,13 @@ class Codec:
         if isinstance(part, int):
             return part.to_bytes(4, "little")
         if isinstance(part, list):
-            return b"".join([self.after_space[c[1:]] if c[0] == " " else self.chunks[c] for c in part])
+            return b"".join([self.after_space.now[c[1:]] if c[0] == " " else self.chunks.now[c] for c in part])
         first = self._first(part[0])
-        return first + b"".join(map(self.after_space.__getitem__, part[1]))
+        return first + b"".join(map(self.after_space.now.__getitem__, part[1]))
 
     def _first(self, chunk: str) -> bytes:
         """The text before the first space can hold other white space: it is a chunk of its own."""
-        return self.chunks[chunk] if chunk else b""
+        return self.chunks.now[chunk] if chunk else b""
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
