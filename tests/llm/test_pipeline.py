@@ -87,7 +87,7 @@ def test_every_document_is_packed_whole(stages):
 
 def test_run_and_registry(spark, data, stages):
     assert P.run(spark, data).count() == stages[-1][1].count()
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
