@@ -2,7 +2,7 @@
 
 ``RULES`` is the table: each row names a sum of measures, a comparison and a limit; a document is rejected
 when any rule fires. :func:`measures` is one Spark projection without user functions, and the table is
-compiled over it. Null texts count as empty (no words); repeated rows are judged alike; a text of any length
+compiled over it. Null texts count as empty (no words); repeated rows are judged alike; ties: a sum that equals its limit passes; a text of any length
 is one row of a projection, and its windows are sorted in n log n. An empty table gives no rows. Ids may be of
 any type; columns of the input that are not asked for, whatever their names, are not read.
 """

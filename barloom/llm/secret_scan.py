@@ -23,7 +23,8 @@ controlled by Benjamini and Hochberg's rule within each stratum of encoding and
 corpus: p-values are counted in ``BINS`` bins of equal width in log10 (a bin counts with its upper end, so
 the bound holds), which gives each stratum's threshold from a table of a fixed size, joined back by broadcast.
 
-Null texts are empty. Repeated rows each get their spans. Positions are code points, ends exclusive. A text of
+Null texts are empty. Repeated rows each get their spans. Ties: p-values that share a bin are discovered together; of spans with one
+start the kind listed first comes first. Positions are code points, ends exclusive. A text of
 any length is one row; places of its matches are summed in blocks of ``BLOCK``, so many matches take about
 linear time. A ``random`` span may overlap a base span: the battery judges each run by itself. An empty
 table gives no rows. Other columns, whatever their names, are not read. Ids may be of any type.

@@ -17,6 +17,7 @@ a BK-tree of each bucket of MinHash bands is searched within ``WIDE`` bits, and
 fingerprints are of the distinct five-word shingles, the sets that are compared, so lines that are repeated
 move no text away from its likes.
 
+Ties: a bit that is set in exactly half of the hashes is 0; of rows that share the smallest id of a class, the first one read stays.
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows get
 the same class. A null id takes part in a class but is never its smallest id, unless all are null. A text
 of any length is one row of a task; its hashes are counted in blocks. An empty table gives no rows. Other

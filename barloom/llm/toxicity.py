@@ -15,7 +15,7 @@ Of the sample, the counts of features that may pass and the places of those that
 
 Null, empty and wordless texts get the score of a text without sentences: zero. Without labels of both
 classes the weights stay at their start and every score is low. Equal texts have equal scores; repeated
-rows are scored each. Sentences longer than ``LONG`` words are cut, so that texts without punctuation still
+rows are scored each. Ties: a score of exactly 0.5 is predicted toxic; of documents whose ids share a hash the smaller id is first in the sample. Sentences longer than ``LONG`` words are cut, so that texts without punctuation still
 have instances; a text of any length is one row of a task. An empty table gives no rows. Ids may be of any
 type; other columns, whatever their names, are not read.
 """
