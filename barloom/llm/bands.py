@@ -1,6 +1,7 @@
 """Classes of similar texts: MinHash bands give candidates, and every link is verified by Jaccard similarity.
 
-A signature is cut into ``BANDS`` bands; texts that share a band's bucket are candidates. Copies of a text are
+A signature is cut into ``BANDS`` bands; texts that share a band's bucket are candidates. Other operators give
+buckets of their own, and their own index of the texts that others are compared with. Copies of a text are
 one node, and buckets of equal members are judged once. First each node is judged in its largest bucket only,
 which joins most of a group of similar texts; then those buckets are judged whole whose members are still in
 different classes. So no link within a bucket is lost, and what a group's many buckets have in common is not
@@ -43,11 +44,35 @@ BLOCK_OF = 512
 Judge = Callable[[list[str]], list[int]]
 
 
+class Listed:
+    """Sets by name. An index gives the names and sets that may be similar to a set: here all, in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.sets: dict[int, np.ndarray] = {}
+
+    def __contains__(self, name: int) -> bool:
+        return name in self.sets
+
+    def add(self, name: int, shingles: np.ndarray) -> None:
+        self.sets[name] = shingles
+
+    def near(self, shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        yield from self.sets.items()
+
+
+Index = Callable[[], Listed]
+
+
 def buckets_of(fingerprint: Column) -> Column:
     """A 64-bit bucket for each band of a signature in hexadecimal digits, four a place."""
     return F.array(*[F.xxhash64(F.lit(i), F.substring(fingerprint, 4 * WIDTH * i + 1, 4 * WIDTH)) for i in range(BANDS)])
 
 
+def in_bands(nodes: DataFrame) -> DataFrame:
+    """``(node, size, bucket)`` of nodes with a ``fingerprint``, a row for each band."""
+    return nodes.select("node", "size", F.explode(buckets_of(F.col("fingerprint"))).alias("bucket"))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """The similarity of two sorted arrays of distinct shingles; 1 of two empty ones."""
     if not len(a) or not len(b):
@@ -79,18 +104,22 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[int]:
     return parent.tolist()
 
 
-def similar_classes(rows: DataFrame, texts: DataFrame, judge: Judge, shingles: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+def similar_classes(
+    rows: DataFrame, texts: DataFrame, judge: Judge, shingles: Callable[[str], np.ndarray], similarity: float, buckets: Callable[[DataFrame], DataFrame] = in_bands, index: Index = Listed
+) -> DataFrame:
     """``(key, n, best)`` of the texts that are repeated or have a similar one: ``n`` rows have the text, ``best`` is the least ``rank`` of its class.
 
-    ``rows`` is a written table ``row long, key binary, rank, size long, fingerprint string``: each row's number,
+    ``rows`` is a written table ``row long, key binary, rank, size long, fingerprint``: each row's number,
     its text's digest, an order of rows, the number of its shingles and its signature. ``texts`` has the
     ``key, text`` of all rows. ``judge`` gives for each text of a small bucket the first one of its class,
-    ``shingles`` a text's sorted set. Texts that aren't in the result are classes of their own.
+    ``shingles`` a text's sorted set, ``buckets`` the ``(node, size, bucket)`` of ``(node, size, fingerprint)``,
+    which it reads once or writes, and ``index`` an empty index for a block of a large bucket. Texts that aren't
+    in the result are classes of their own.
     """
     firsts = written(rows.groupBy("key").agg(F.min("row").alias("node"), F.min("rank").alias("rank"), F.count("*").alias("n")))
     repeated = written(firsts.filter("n > 1").select("key", "node", "n"))
     nodes = joined(rows.select("row", "key", "size", "fingerprint"), repeated, "key", "left").filter("node is null or node = row")
-    left = nodes.select(F.col("row").alias("node"), "size", F.explode(buckets_of(F.col("fingerprint"))).alias("bucket"))
+    left = buckets(nodes.select(F.col("row").alias("node"), "size", "fingerprint"))
     shared = written(left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     left = written(joined(left, shared, "bucket", "left_semi", few=0))
     h, g = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
@@ -100,7 +129,7 @@ def similar_classes(rows: DataFrame, texts: DataFrame, judge: Judge, shingles: C
     in_some = written(firsts.select("node", "key").join(members.select("node").distinct(), "node", "left_semi"))
     of_node = written(_packed(joined(texts, in_some, "key")).groupBy("node").agg(F.first("packed").alias("packed")))  # copies meet before the shuffle
 
-    links = written(_links_at_home(members, of_node, judge, shingles, similarity))
+    links = written(_links_at_home(members, of_node, judge, shingles, similarity, index))
     classed = written(members.join(connected_components(links), "node", "left").select("bucket", "node", "n", "load", F.coalesce("root", "node").alias("root")))
     apart = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
     mixed = joined(classed.drop("n"), written(apart.select("bucket", "n")), "bucket", few=0)
@@ -108,7 +137,7 @@ def similar_classes(rows: DataFrame, texts: DataFrame, judge: Judge, shingles: C
     links = written(links.unionByName(_small_links(mixed.filter(small), of_node, judge)))
     large = mixed.filter(~small).select("bucket", "node", "n")
     if not large.isEmpty():
-        links = _with_large_links(written(large), of_node, links, shingles, similarity)
+        links = _with_large_links(written(large), of_node, links, shingles, similarity, index)
     roots = connected_components(links)
     linked = written(firsts.join(roots, "node").select("key", "rank", "n", "root"))
     best = written(linked.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("n")))
@@ -132,7 +161,7 @@ def _unpacked(packed: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(packed).decode()
 
 
-def _links_at_home(members: DataFrame, texts: DataFrame, judge: Judge, shingles: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+def _links_at_home(members: DataFrame, texts: DataFrame, judge: Judge, shingles: Callable[[str], np.ndarray], similarity: float, index: Index) -> DataFrame:
     """Links within groups of nodes that have the same largest bucket."""
     home = members.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("s"), F.first("size").alias("size")).select("node", "size", F.col("s.bucket").alias("bucket"))
     home = written(home)
@@ -148,7 +177,7 @@ def _links_at_home(members: DataFrame, texts: DataFrame, judge: Judge, shingles:
     for i, many in enumerate(PASSES):
         rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(i)), "node"))
         hubs = written(hubs_from.withColumn("r", rank).filter(F.col("r") <= many).select("bucket", "node", "n"))
-        links = written(links.unionByName(_pass_links(todo, hubs, texts, shingles, similarity)))
+        links = written(links.unionByName(_pass_links(todo, hubs, texts, shingles, similarity, index)))
         classed, largest = _largest_class(large, links)
         todo = written(joined(classed.drop("n"), largest, "bucket").filter("root <> largest").select("bucket", "node", "n"))
         hubs_from = joined(classed.drop("n"), largest, "bucket").filter("root = largest").select("bucket", "node", "n")
@@ -164,29 +193,29 @@ def _largest_class(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
     return classed, written(sizes.groupBy("bucket", "n").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
 
 
-def _pass_links(todo: DataFrame, hubs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
-    """A link from each member to the first hub of its bucket that is similar to it; a hub gets all."""
+def _pass_links(todo: DataFrame, hubs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float, index: Index) -> DataFrame:
+    """A link from each member to the first hub of its bucket that its index finds similar to it; a hub gets all."""
     blocks = F.ceil(F.col("n") / BLOCK_OF).cast("int")
     rows = todo.select("bucket", "node", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int").alias("block"), F.lit(False).alias("is_hub"))
     ends = hubs.select("bucket", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("is_hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, held = None, index()
         for b in batches:
             found = []
             for bucket, block, is_hub, node, packed in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
                 if (bucket, block) != now:
-                    now, held = (bucket, block), {}
+                    now, held = (bucket, block), index()
                 mine = shingles(_unpacked(packed.as_py()))
                 if not is_hub and node in held:
                     continue
-                for hub, other in held.items():  # the hubs come first
+                for hub, other in held.near(mine):  # the hubs come first
                     if jaccard(mine, other) >= similarity:
                         found.append((min(hub, node), max(hub, node)))
                         if not is_hub:
                             break
                 if is_hub:
-                    held[node] = mine
+                    held.add(node, mine)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = rows.unionByName(ends).join(texts, "node").select("bucket", "block", "is_hub", "node", "packed").repartition("bucket", "block")
@@ -214,7 +243,7 @@ def _small_links(members: DataFrame, texts: DataFrame, judge: Judge) -> DataFram
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long")
 
 
-def _with_large_links(large: DataFrame, texts: DataFrame, links: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+def _with_large_links(large: DataFrame, texts: DataFrame, links: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float, index: Index) -> DataFrame:
     """``links`` and those within the large buckets (``bucket, node, n``)."""
     texts = written(joined(texts, written(large.select("node").distinct()), "node", "left_semi"))
     hubs, many = None, HUBS[0]
@@ -230,10 +259,10 @@ def _with_large_links(large: DataFrame, texts: DataFrame, links: DataFrame, shin
             return links
         hubs = new if hubs is None else hubs.unionByName(new)
         many = min(HUBS[2], many * HUBS[1])
-        links = written(links.unionByName(_hub_links(classed, new, texts, shingles, similarity)))
+        links = written(links.unionByName(_hub_links(classed, new, texts, shingles, similarity, index)))
 
 
-def _hub_links(classed: DataFrame, hubs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+def _hub_links(classed: DataFrame, hubs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], similarity: float, index: Index) -> DataFrame:
     """Links between hubs and all members of other classes in their buckets, each pair compared once."""
     of_bucket = written(hubs.groupBy("bucket", "n").agg(F.collect_list(F.struct("node", "root")).alias("hubs")))  # at most HUBS[2] in a row
     pairs = joined(classed.select("bucket", "node", "root"), of_bucket, "bucket").select("node", "n", "root", F.explode("hubs").alias("hub"))
@@ -250,8 +279,11 @@ def _hub_links(classed: DataFrame, hubs: DataFrame, texts: DataFrame, shingles:
             found = []
             for hub, blocks_, block, node, packed in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
                 if (hub, blocks_, block) != now:  # the hub comes first
-                    now, of_hub = (hub, blocks_, block), shingles(_unpacked(packed.as_py()))
-                elif jaccard(of_hub, shingles(_unpacked(packed.as_py()))) >= similarity:
+                    now, of_hub = (hub, blocks_, block), index()
+                    of_hub.add(hub, shingles(_unpacked(packed.as_py())))
+                    continue
+                mine = shingles(_unpacked(packed.as_py()))
+                if any(jaccard(mine, other) >= similarity for _, other in of_hub.near(mine)):
                     found.append((min(hub, node), max(hub, node)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 

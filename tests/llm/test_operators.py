@@ -192,6 +192,59 @@ def test_trees_find_the_classes_of_all_pairs():
     assert len(set(root)) < len(texts) - 10
 
 
+@pytest.mark.parametrize("leaf", [simhash.LEAF, 1])
+def test_shard_classes_equal_all_pairs(monkeypatch, leaf):
+    """Chains and close clusters among random fingerprints, with lists and without them, where the tree prunes and where it can't."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, (3, 300), dtype=np.uint64)
+    for i in range(1, 200):
+        if i % 3:
+            words[:, i] = words[:, i - 1] ^ np.uint64(1 << i % 60)
+    for radius in (2, simhash.RADIUS):
+        values = {i: sum(int(w) << 64 * k for k, w in enumerate(words[:, i])) for i in range(300)}
+        assert simhash.shard_classes(words, radius).tolist() == list(brute_components(values, radius).values())
+
+
+def test_a_wide_fingerprint_is_the_majority_of_the_hashes():
+    for n in (0, 1, 2, 5, 600):
+        shingles = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        of = [[int(h) >> i & 1 for h in row for i in range(64)] for row in simhash.hashed(shingles, 4)]
+        want = [2 * sum(c) > n or (2 * sum(c) == n and c[0] == 1) for c in zip(*of, strict=True)] or [False] * 256
+        got = simhash.wide_fingerprint(shingles, 4)
+        assert [bool(int(w) >> i & 1) for w in got for i in range(64)] == want
+
+
+@pytest.mark.parametrize(("met", "held", "few"), [(simhash.MET, simhash.HELD, bands.FEW), (8, simhash.HELD, bands.FEW), (8, 6, bands.FEW), (8, 6, 2)])
+def test_the_stage_finds_its_candidates_by_fingerprints(spark, monkeypatch, met, held, few):
+    """Classes equal those of all pairs without a MinHash signature: in one shard, in many, in blocks of them, and in large classes."""
+    import random
+
+    def no(*_):
+        raise AssertionError("the stage's method is SimHash")
+
+    monkeypatch.setattr(bands, "buckets_of", no)
+    monkeypatch.setattr(simhash, "MET", met)
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(bands, "FEW", few)
+    random.seed(5)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for n in (8, 9, 12, 30, 30, 80, 200) * 5:
+        first = random.choices(words, k=n)
+        texts += [first, [*first, "end"], [*first[:-1], "last"]]
+    texts = [" ".join(t) for t in texts] + [texts[-1][0], "", " "]
+    sets, root = [minhash.shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and bands.jaccard(sets[i], sets[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
+    with pytest.raises(ValueError, match="0.7"):
+        simhash.one_of_each(df, similarity=0.7)
+
+
 def test_links_of_random_and_dense_fingerprints(spark, monkeypatch):
     """Chains, close clusters and hot shards, with shards so small that all levels are used."""
     monkeypatch.setattr(simhash, "SHARD", 8)
